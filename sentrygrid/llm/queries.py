@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm import bpe, exact_dedup, language_id, media, packing, pii, secrets, sharding
+from sentrygrid.llm import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, secrets, sharding
 from sentrygrid.llm.common import documents
 
 SHARDS = 40
@@ -48,6 +48,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_components(spark, documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.find_secrets(spark, documents(spark, sf_dir)))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
+    "op7_near_dedup": op7_near_dedup,
     "op8_secrets": op8_secrets,
     "op10_media": op10_media,
 }
