@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, secrets, sharding
+from sentrygrid.llm import bpe, exact_dedup, language_id, licenses, media, near_dedup, packing, pii, secrets, sharding
 from sentrygrid.llm.common import documents
 
 SHARDS = 40
@@ -56,6 +56,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.find_secrets(spark, documents(spark, sf_dir)))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``: a directory tree of two levels."""
+    docs = documents(spark, sf_dir)
+    path = F.concat_ws("/", docs["source"], docs["lang"], F.concat(docs["doc_id"].cast("string"), F.lit(".txt")))
+    return licenses.scan(spark, docs, path)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir), with_media=False)
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_media": op10_media,
 }
 
