@@ -8,9 +8,10 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
 3. Each band of ``ROWS`` registers is a bucket key.  In a bucket every class is paired with the smallest one (its
    pivot), never all with all.  A pair's registers are compared jointly: the maximum-likelihood similarity given both
    set sizes and how many registers are larger, smaller and equal.  Pairs ``MARGIN`` below the threshold go.
-4. Pairs are confirmed on the full sets, computed again from the texts: first each class with its likeliest pivot,
-   then the pairs that still join two components, then, in buckets that still hold several components, the remaining
-   pairs of different components.  A true link inside a bucket is thus lost only if it joins nothing new.
+4. Pairs are confirmed on the full sets, computed again from the texts: first each class with the pivot it shares most
+   buckets with, then the pairs with pivots that still join two components, then, in buckets that still hold several
+   components, the remaining pairs of different components.  A true link inside a bucket is thus left out only if it
+   joins nothing new, and a large group of copies costs one pair a class.
 5. Components are the transitive closure of the confirmed links.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
@@ -239,7 +240,7 @@ def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str) ->
     """Distinct pairs (a, b) with their estimated similarity, without the hopeless ones."""
     sides = [reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in ("a", "b")]
     fit = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    sized = pairs.join(sides[1], "b").join(sides[0], "a").where(fit)
+    sized = pairs.join(sides[1].hint("merge"), "b").join(sides[0].hint("merge"), "a").where(fit)
     return materialize(spark, sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimate, "a long, b long, est double"), tag)
 
 
@@ -250,7 +251,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, tag: str)
     partners = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
     pivots = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
     wanted = partners.unionByName(pivots)
-    read = texts.join(wanted, "id").select("a", "salt", "b", "text").mapInArrow(_sets, "a long, salt int, b long, members binary")
+    read = texts.hint("merge").join(wanted, "id").select("a", "salt", "b", "text").mapInArrow(_sets, "a long, salt int, b long, members binary")
     dealt = read.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return materialize(spark, dealt.mapInArrow(_confirm, "u long, v long"), tag)
 
@@ -278,13 +279,13 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other").select("key", "pivot")
     buckets = materialize(spark, bands.join(shared, "key").where("id != pivot"), "buckets")
 
-    stars = _likely(spark, buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    links = _verified(spark, best, texts, "links-best")
+    stars = materialize(spark, buckets.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "stars")
+    best = materialize(spark, stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), "best")
+    links = _verified(spark, _likely(spark, best, reps, "best-likely"), texts, "links-best")
     comps = components(spark, links)
 
     rest = _between(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
-    links = links.unionByName(_verified(spark, rest, texts, "links-stars"))
+    links = links.unionByName(_verified(spark, _likely(spark, rest, reps, "rest-likely"), texts, "links-stars"))
     comps = components(spark, links)
 
     # Pairs without the pivot, in buckets that still hold several components besides it.
