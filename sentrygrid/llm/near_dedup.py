@@ -9,10 +9,13 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
    pivot), never all with all.  A pair's registers are compared jointly: the maximum-likelihood similarity given both
    set sizes and how many registers are larger, smaller and equal.  Pairs ``MARGIN`` below the threshold go.
 4. Pairs are confirmed on the full sets, computed again from the texts: first each class with the pivot it shares most
-   buckets with, then the pairs with pivots that still join two components, then, in buckets that still hold several
-   components, the remaining pairs of different components.  A true link inside a bucket is thus left out only if it
-   joins nothing new, and a large group of copies costs one pair a class.
-5. Components are the transitive closure of the confirmed links.
+   buckets with, then the pairs with pivots that still join two components.
+5. Classes whose best pivots are at all alike (``FAMILY``) form families.  In a family that still holds several
+   components, the classes outside its largest component are compared, block by block, with that component and with
+   each other; only links that join something new are emitted, so a large family costs rows by blocks, not by pairs.
+   In buckets that hold several families, the pairs of different families are compared one by one.
+   A true link inside a bucket is thus left out only if it joins nothing new.
+6. Components are the transitive closure of the confirmed links.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
 
@@ -42,8 +45,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 #: Estimates this far below the threshold (about five standard errors) rule a pair out.
 MARGIN = 0.15
-#: Pairs of one pivot that one task confirms.
+#: Pairs of one pivot that one task confirms, and classes of a block.
 GROUP = 256
+#: Likeness to the best pivot that makes a class one of its family.
+FAMILY = 0.3
 
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,6 +170,15 @@ def enough(common: int, a: int, b: int) -> bool:
     return DENOMINATOR * common >= NUMERATOR * (a + b - common)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets, as ascending arrays, are similar enough."""
+    if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    return enough(int((both[1:] == both[:-1]).sum()), len(x), len(y))
+
+
 SKETCHED = "doc_id long, n_shingles long, digest binary, registers binary"
 
 
@@ -199,23 +213,30 @@ def _band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
 
 
-def _estimate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    limit = NUMERATOR / DENOMINATOR - MARGIN
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            n_a, n_b = (np.asarray(part.column(c)).astype(float) for c in ("n_a", "n_b"))
-            est = similarity(_rows(part.column("r_a")), _rows(part.column("r_b")), n_a, n_b)
-            keep = pa.array(est >= limit)
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est[est >= limit])], ["a", "b", "est"])
+LIKELY = NUMERATOR / DENOMINATOR - MARGIN
+
+
+def _estimate(limit: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                n_a, n_b = (np.asarray(part.column(c)).astype(float) for c in ("n_a", "n_b"))
+                est = similarity(_rows(part.column("r_a")), _rows(part.column("r_b")), n_a, n_b)
+                keep = pa.array(est >= limit)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est[est >= limit])], ["a", "b", "est"])
+
+    return run
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``text`` by ``members``, the set as bytes."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             values, offs = shingle_sets(*text_buffers(part.column("text")))
             sets = [values[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "salt", "b")), pa.array(sets, pa.binary())], ["a", "salt", "b", "members"])
+            names = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "members"])
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +249,91 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b is None:
                 held, pivot = (a, salt), mine
             elif held == (a, salt):
-                both = np.concatenate([pivot, mine])
-                both.sort()
-                if enough(int((both[1:] == both[:-1]).sum()), len(pivot), len(mine)):
+                if alike(pivot, mine):
                     left.append(a)
                     right.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
 
-def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str) -> DataFrame:
-    """Distinct pairs (a, b) with their estimated similarity, without the hopeless ones."""
+def _crossing(rows: list[tuple]) -> list[tuple[int, int]]:
+    """One pair of blocks, rows (code, left code, id, component, set): links between different components, none that joins nothing new."""
+    left, right = ([r for r in rows if r[0] == code] for code in (rows[0][1], rows[0][2]))
+    same = rows[0][1] == rows[0][2]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    def sketched(side: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(r[5], np.uint64) for r in side]
+        sizes = np.array([len(x) for x in sets])
+        return sets, sizes, registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+
+    if not left or not right:
+        return []
+    (sets_l, n_l, r_l), (sets_r, n_r, r_r) = sketched(left), sketched(right)
+    out = []
+    for i, x in enumerate(left):
+        fit = np.flatnonzero(DENOMINATOR * np.minimum(n_l[i], n_r) >= NUMERATOR * np.maximum(n_l[i], n_r))
+        if same:
+            fit = fit[fit > i]
+        if not len(fit):
+            continue
+        est = similarity(np.broadcast_to(r_l[i], (len(fit), REGISTERS)), r_r[fit], np.full(len(fit), float(n_l[i])), n_r[fit].astype(float))
+        for j in fit[est >= LIKELY].tolist():
+            a, b = find(x[4]), find(right[j][4])
+            if a != b and alike(sets_l[i], sets_r[j]):
+                out.append((x[3], right[j][3]))
+                root[max(a, b)] = min(a, b)
+    return out
+
+
+def _block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair of blocks; two blocks are held at a time."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        links = []
+        for family, l, r, code, doc, comp, members in zip(*(batch.column(c).to_pylist() for c in ("family", "l", "r", "code", "id", "component", "members")), strict=True):
+            if key != (family, l, r):
+                if held:
+                    links += _crossing(held)
+                held, key = [], (family, l, r)
+            held.append((code, l, r, doc, comp, members))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+    if held:
+        links = _crossing(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+
+
+def _family_links(spark: SparkSession, families: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components within families, block by block.  Blocks of the largest component meet blocks of the
+    other classes (codes below and from 0), and those meet each other."""
+    placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").select("id", "family", F.coalesce("found", "id").alias("component"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / GROUP), F.lit(1)).cast("int")
+    per = per.select("family", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("nb_g"), blocks(F.col("n") - F.col("top.n")).alias("nb_s"))
+    rows = placed.join(per, "family").withColumn("inner", F.col("component") == F.col("largest"))
+    own = F.when(F.col("inner"), -1 - F.pmod(F.xxhash64("id"), F.col("nb_g"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb_s"))).cast("int")
+    rows = rows.withColumn("code", own)
+    strays, core = F.sequence(F.lit(0), F.col("nb_s") - 1), F.transform(F.sequence(F.lit(0), F.col("nb_g") - 1), lambda j: -1 - j)
+    others = F.when(F.col("inner"), strays).otherwise(F.concat(strays, core))
+    rows = rows.select("id", "family", "component", "code", F.explode(others).alias("other")).select("id", "family", "component", "code", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"))
+    rows = materialize(spark, rows, "blocks")
+    read = texts.hint("merge").join(rows, "id").select("family", "l", "r", "code", "id", "component", "text").mapInArrow(_sets, "family long, l int, r int, code int, id long, component long, members binary")
+    dealt = read.repartition("family", "l", "r").sortWithinPartitions("family", "l", "r", "id")
+    return materialize(spark, dealt.mapInArrow(_block_links, "u long, v long"), "links-blocks")
+
+
+def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str, limit: float = LIKELY) -> DataFrame:
+    """Distinct pairs (a, b) with their estimated similarity, without those below the limit."""
     sides = [reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in ("a", "b")]
     fit = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
     sized = pairs.join(sides[1].hint("merge"), "b").join(sides[0].hint("merge"), "a").where(fit)
-    return materialize(spark, sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimate, "a long, b long, est double"), tag)
+    return materialize(spark, sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimate(limit), "a long, b long, est double"), tag)
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
@@ -281,18 +373,22 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
 
     stars = materialize(spark, buckets.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "stars")
     best = materialize(spark, stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), "best")
-    links = _verified(spark, _likely(spark, best, reps, "best-likely"), texts, "links-best")
+    near = _likely(spark, best, reps, "best-likely", FAMILY)
+    links = _verified(spark, near.where(F.col("est") >= LIKELY), texts, "links-best")
     comps = components(spark, links)
 
     rest = _between(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
     links = links.unionByName(_verified(spark, _likely(spark, rest, reps, "rest-likely"), texts, "links-stars"))
     comps = components(spark, links)
 
-    # Pairs without the pivot, in buckets that still hold several components besides it.
-    member = buckets.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    families = components(spark, near.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "family")
+    links = links.unionByName(_family_links(spark, families, comps, texts))
+
+    # Pairs of different families in one bucket, the pivot's aside.
+    member = buckets.join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
+    mixed = member.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo != hi").select("key")
     open_ = materialize(spark, member.join(mixed, "key").join(reps.select("id", "n_shingles"), "id"), "open")
-    x, y = (open_.select(F.col("key").alias(f"key_{c}"), F.col("id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
+    x, y = (open_.select(F.col("key").alias(f"key_{c}"), F.col("id").alias(c), F.col("family").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
     fit = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
     pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fit).select("a", "b").distinct()
     left = _likely(spark, pairs, reps, "open-pairs")
