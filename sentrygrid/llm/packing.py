@@ -193,7 +193,7 @@ def _measure(encode: Callable[[list[bytes]], list[bytes]] | None, path: str, win
         to_ids = encode or encoder(path).encode
         step = window * 4
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 3 << 20):
                 raw, offs = text_buffers(part.column("text"))
                 raw = raw.tobytes()
                 rows = []

@@ -12,7 +12,9 @@ import re
 import numpy as np
 
 #: Words whose ids a Python worker keeps (about 250 bytes each); later words are encoded batch by batch.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
+#: Word stems that it keeps besides.
+CACHE_PARTS = 250_000
 #: A word that is letters with trailing marks splits into exactly those two parts; both go to the library joined by spaces.
 _SIMPLE = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#*&|)\\]}]*)")
 
@@ -54,12 +56,12 @@ class WordEncoder:
             t = w.decode()
             m = _SIMPLE.fullmatch(t)
             if m and t:
-                simple.append((w, m[1], m[2]))
+                simple.append((w, m[1].lower(), m[2]))  # the tokenizer lower-cases; these letters keep their number and kind
             else:
                 odd.append((w, t))
         need = {p for _, a, b in simple for p in (a, b) if p} - self.parts.keys()
         fresh = self._encode_parts(sorted(need))
-        if len(self.parts) < CACHE_WORDS:
+        if len(self.parts) < CACHE_PARTS:
             self.parts |= fresh
             fresh = self.parts
         else:
