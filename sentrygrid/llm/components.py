@@ -40,3 +40,19 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def roots(spark: SparkSession, forest: DataFrame) -> DataFrame:
+    """A forest (id, parent), at most one parent an id and smaller than it, to (id, component): the root of every id.
+
+    Paths are halved in each round, so the rounds grow with the logarithm of the depth."""
+    cur = materialize(spark, forest.select("id", F.col("parent").alias("root")), "roots")
+    for _ in range(MAX_ROUNDS):
+        up = cur.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        cur = materialize(spark, cur.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+        if cur.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("roots did not settle")
+    own = cur.select(F.col("root").alias("id")).distinct()
+    return cur.select("id", F.col("root").alias("component")).unionByName(own.select("id", F.col("id").alias("component")))

@@ -9,7 +9,7 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
    pivot), never all with all.  A pair's registers are compared jointly: the maximum-likelihood similarity given both
    set sizes and how many registers are larger, smaller and equal.  Pairs ``MARGIN`` below the threshold go.
 4. Pairs are confirmed on the full sets, computed again from the texts: first each class with the pivot it shares most
-   buckets with, then the pairs with pivots that still join two components.
+   buckets with, which gives a forest whose trees are the components so far.
 5. Classes whose best pivots are at all alike (``FAMILY``) form families.  In a family that still holds several
    components, the classes outside its largest component are compared, block by block, with that component and with
    each other; only links that join something new are emitted, so a large family costs rows by blocks, not by pairs.
@@ -21,8 +21,9 @@ A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar
 
 Defined results: null text is the empty text; without words a document has no shingles and is linked with nothing;
 with one to four words the whole sequence is the one shingle; equal sets are linked even if texts differ in white
-space or case; repeated rows give repeated results; a null doc_id joins its class but names none; an empty table gives
-an empty result; extra columns are ignored by ``find_components`` and carried through by ``drop_near_duplicates``.
+space or case; repeated rows give repeated results; a null doc_id joins its class but names none (and
+``drop_near_duplicates`` cannot tell such rows apart: it keeps all of them or none); an empty table gives an empty
+result; extra columns are ignored by ``find_components`` and carried through by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrygrid.llm.common import id_text, materialize, slices, text_buffers
-from sentrygrid.llm.components import components
+from sentrygrid.llm.components import components, roots
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -348,13 +349,6 @@ def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, tag: str)
     return materialize(spark, dealt.mapInArrow(_confirm, "u long, v long"), tag)
 
 
-def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components so far."""
-    side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    at = lambda c: F.coalesce(F.col(f"c_{c}"), F.col(c))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(at("a") != at("b")).drop("c_a", "c_b")
-
-
 def sketch(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the set, registers: a written table."""
     return materialize(spark, id_text(docs, text).mapInArrow(_sketch, SKETCHED), "sketch")
@@ -369,30 +363,24 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
 
     bands = reps.mapInArrow(_band, "key long, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other").select("key", "pivot")
-    buckets = materialize(spark, bands.join(shared, "key").where("id != pivot"), "buckets")
+    buckets = materialize(spark, bands.join(shared, "key"), "buckets")
 
-    stars = materialize(spark, buckets.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "stars")
-    best = materialize(spark, stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), "best")
+    stars = buckets.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     near = _likely(spark, best, reps, "best-likely", FAMILY)
     links = _verified(spark, near.where(F.col("est") >= LIKELY), texts, "links-best")
-    comps = components(spark, links)
-
-    rest = _between(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
-    links = links.unionByName(_verified(spark, _likely(spark, rest, reps, "rest-likely"), texts, "links-stars"))
-    comps = components(spark, links)
-
-    families = components(spark, near.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "family")
+    comps = roots(spark, links.select(F.col("v").alias("id"), F.col("u").alias("parent")).distinct())
+    families = materialize(spark, roots(spark, near.select(F.col("b").alias("id"), F.col("a").alias("parent"))).withColumnRenamed("component", "family"), "families")
     links = links.unionByName(_family_links(spark, families, comps, texts))
 
-    # Pairs of different families in one bucket, the pivot's aside.
+    # Pairs of different families in one bucket.
     member = buckets.join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
     mixed = member.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo != hi").select("key")
     open_ = materialize(spark, member.join(mixed, "key").join(reps.select("id", "n_shingles"), "id"), "open")
     x, y = (open_.select(F.col("key").alias(f"key_{c}"), F.col("id").alias(c), F.col("family").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
     fit = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
     pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fit).select("a", "b").distinct()
-    left = _likely(spark, pairs, reps, "open-pairs")
-    links = links.unionByName(_verified(spark, left.select("a", "b"), texts, "links-open"))
+    links = links.unionByName(_verified(spark, _likely(spark, pairs, reps, "open-pairs"), texts, "links-open"))
     comps = components(spark, links)
 
     named = reps.select("digest", F.col("id").alias("class_id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("found"))
