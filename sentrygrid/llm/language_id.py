@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from sentrygrid.llm.common import id_text
 
 UNDETERMINED = "und"
+#: Stands for non-letters in n-grams; no letter has this code point.
+BORDER = 1
 #: N-grams in a profile; texts a language that the fit reads, about; sharpness of the score.
 PROFILE, FIT_ROWS, SHARPNESS = 400, 2000, 60.0
 
@@ -44,13 +46,13 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter()[codes]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.zeros(len(codes) + 2, np.int64)
-    c[1:-1] = np.where(letter, codes, 0)
-    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    c = np.full(len(codes) + 2, BORDER, np.int64)
+    c[1:-1] = np.where(letter, codes, BORDER)
+    c = c[np.concatenate([[True], (c[1:] != BORDER) | (c[:-1] != BORDER)])]
     a, b, d = c, c[1:], c[2:]
     two = (a[:-1] << 21) | b
     three = (two[:-1] << 21) | d
-    grams = np.concatenate([a[a > 0], two, three[b[:-1] > 0]])
+    grams = np.concatenate([a[a != BORDER], two, three[b[:-1] != BORDER]])
     grams.sort()
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[first], np.diff(np.append(first, len(grams)))
