@@ -85,7 +85,7 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def inherit(detected: DataFrame) -> DataFrame:
+def inherit(spark: SparkSession, detected: DataFrame) -> DataFrame:
     """Add ``license``, ``score`` and ``from_dir`` (where an inherited licence is declared) to detected files."""
     placed = detected.withColumn("dir", directory(F.col("path")))
     order = F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own").alias("license"))
@@ -94,6 +94,7 @@ def inherit(detected: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
     dirs = placed.select("dir").distinct().select("dir", F.explode(F.array_distinct(ancestors)).alias("a")).select("dir", "a.depth", "a.above")
     nearest = dirs.join(declared, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license", "dir_score")).alias("n"))
+    nearest = materialize(spark, nearest, "licence-dirs")  # read back, so that a directory with very many files can be split in the join
     joined = placed.join(nearest, "dir", "left")
     return joined.withColumn("license", F.coalesce("own", "n.dir_license")).withColumn("score", F.coalesce("own_score", "n.dir_score")).withColumn("from_dir", F.when(F.col("own").isNull(), F.col("n.above"))).drop("n", "dir")
 
@@ -102,5 +103,5 @@ def scan(spark: SparkSession, docs: DataFrame, path: Column, text: str = "text")
     """One row per row of ``docs``: doc_id, path, own licence, its score, and the effective licence with where it comes from."""
     files = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), text_col(docs, text).alias("text"))
     keyed = files.select(F.to_json(F.struct("doc_id", F.xxhash64("path", "text").alias("h"))).alias("key"), "path", "text")
-    out = inherit(detect(spark, keyed))
+    out = inherit(spark, detect(spark, keyed))
     return out.select(F.get_json_object("key", "$.doc_id").cast("long").alias("doc_id"), "path", "own", "own_score", F.coalesce("notices", F.lit(0)).cast("long").alias("notices"), "licence_file", "license", "score", "from_dir")
