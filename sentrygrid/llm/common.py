@@ -62,6 +62,11 @@ def id_text(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return df.select(df[doc_id].cast("long").alias("doc_id"), text_col(df, text).alias("text"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key that rows share only if they repeat id and text: the id with a hash of the text, safe at any number of rows."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(1, math.ceil(rows / per_bucket))
 

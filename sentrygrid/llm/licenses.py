@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import materialize, text_col
+from sentrygrid.llm.common import materialize, row_key, text_col
 
 # Short notices of common licences.
 TEMPLATES = {
@@ -102,6 +102,6 @@ def inherit(spark: SparkSession, detected: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, docs: DataFrame, path: Column, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, path, own licence, its score, and the effective licence with where it comes from."""
     files = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), text_col(docs, text).alias("text"))
-    keyed = files.select(F.to_json(F.struct("doc_id", F.xxhash64("path", "text").alias("h"))).alias("key"), "path", "text")
+    keyed = files.select(row_key(F.col("doc_id"), F.concat_ws("\n", "path", "text")).alias("key"), "path", "text")
     out = inherit(spark, detect(spark, keyed))
-    return out.select(F.get_json_object("key", "$.doc_id").cast("long").alias("doc_id"), "path", "own", "own_score", F.coalesce("notices", F.lit(0)).cast("long").alias("notices"), "licence_file", "license", "score", "from_dir")
+    return out.select(F.substring_index("key", ":", 1).try_cast("long").alias("doc_id"), "path", "own", "own_score", F.coalesce("notices", F.lit(0)).cast("long").alias("notices"), "licence_file", "license", "score", "from_dir")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import id_text, materialize
+from sentrygrid.llm.common import id_text, materialize, row_key
 from sentrygrid.llm.spans import labelled, located, matches
 
 # The strict patterns (letters of the first in either case), in the order in which kinds are listed.
@@ -49,7 +49,7 @@ def _none(kind: str = "string") -> Column:
 
 def analyse(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """A written table of strict spans and parts by row; texts stay behind."""
-    rows = id_text(docs, text).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    rows = id_text(docs, text).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
     t, hints = F.col("text"), _hints(F.col("text"))
     for k in KINDS:
         rows = rows.withColumn(f"m_{k}", F.when(hints[k], matches(t, PATTERNS[k])).otherwise(_none()))
