@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrygrid.functions.stats import spearman
 from sentrygrid.operators.features import alert_features
+from sentrygrid.operators.scoring import scored
 from sentrygrid.schema import Bundle
 
 #: Detector sets of the ablation.
@@ -93,6 +94,38 @@ def checklist(bundle: Bundle) -> DataFrame:
     return out.withColumn("position", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("score"), "alert_id")))
 
 
+def alert_hits(bundle: Bundle, truth: DataFrame) -> DataFrame:
+    """Alerts that a fault of their entity names, by their own scope or by that of a case opened for them."""
+    own = bundle.alerts.select("entity_id", "alert_id", F.concat(F.lit("alert:"), "alert_id").alias("scope"))
+    cases = bundle.alerts.select("entity_id", "alert_id").join(bundle.cases.select("alert_id", "case_id"), "alert_id").select("entity_id", "alert_id", F.concat(F.lit("case:"), "case_id").alias("scope"))
+    faults = truth.select("entity_id", F.lower("scope").alias("low")).distinct()
+    both = own.unionByName(cases).withColumn("low", F.lower("scope"))
+    return both.join(faults, ["entity_id", "low"], "left_semi").select("entity_id", "alert_id").distinct()
+
+
+def manual_precision(order: DataFrame, hits: DataFrame, shares: tuple[float, ...] = BUDGETS) -> DataFrame:
+    """Precision of an examiner who works through each entity's alerts in an order (entity_id, alert_id, position)."""
+    sizes = order.groupBy("entity_id").agg(F.count("*").alias("alerts"))
+    marked = order.join(hits.select("entity_id", "alert_id").withColumn("hit", F.lit(1)), ["entity_id", "alert_id"], "left").join(sizes, "entity_id")
+    parts = [marked.where(F.col("position") <= budget_of(F.col("alerts"), s)).agg(F.lit(s).alias("share"), F.count("*").alias("items"), F.count("hit").alias("true_positives")) for s in shares]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("precision", F.bround(F.try_divide("true_positives", "items"), 6))
+
+
+def report_of_run(spark: SparkSession, output: str, truth: DataFrame) -> str:
+    """A report from what a run wrote, ranking findings by score, without running detectors again."""
+    read = lambda n: spark.read.parquet(f"{output}/{n}")
+    order = Window.partitionBy("entity_id").orderBy(F.desc("score"), "finding_id")
+    ranked = scored(read("findings.parquet")).withColumn("rank", F.row_number().over(order))
+    items = ranked.select("entity_id", F.col("finding_id").alias("item_id"), "detector_id", "scope", "evidence_refs")
+    sizes = read("store/alerts.parquet").groupBy("entity_id").agg(F.count("*").alias("alerts")).join(truth.groupBy("entity_id").agg(F.count("*").alias("faults")), "entity_id")
+    rows = precision_at(ranked.select("entity_id", F.col("finding_id").alias("item_id"), "rank"), matched(items, truth), sizes).collect()  # one row a budget
+    agreement = rank_agreement(read("scores.parquet"), truth).first()
+    return report([r.asDict() for r in rows]) + f"\nSpearman correlation of risk index and fault intensity: {agreement['rho']}\n"
+
+
 def ablation(findings: DataFrame) -> DataFrame:
     """Findings with the suites that they belong to, ``full`` among them: detectors run once, suites are filters."""
     named = [F.when(F.col("detector_id").isin(*d), F.lit(s)) for s, d in SUITES.items()]

@@ -165,6 +165,12 @@ SELECT finding_id, detector_id FROM findings f WHERE EXISTS (SELECT 1 FROM truth
   contains(lower(f.scope), lower(t.scope)) OR contains(lower(t.scope), lower(f.scope))
   OR len(list_filter(f.refs, lambda r: contains(replace(replace(lower(r), 'alerts:', 'alert:'), 'cases:', 'case:'), lower(t.scope)))) > 0
   OR (f.detector_id = t.det AND regexp_matches(t.scope, 'entity:|category:|period:'))))""")
+cte("hits", "SELECT DISTINCT entity_id, alert_id FROM alerts LEFT JOIN cases USING (alert_id) WHERE k % 40 = 0 OR (case_id IS NOT NULL AND k % 90 = 7)")
+cte("by_hand", """
+SELECT 'stratified' AS baseline, entity_id, alert_id, row_number() OVER (PARTITION BY entity_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, created_us, alert_id) AS position FROM alerts
+UNION ALL SELECT 'checklist', entity_id, alert_id, row_number() OVER (PARTITION BY entity_id ORDER BY
+  CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN ch AND dur < 600 THEN 4 ELSE 0 END + CASE WHEN ch AND has_case AND NOT escalated THEN 3 ELSE 0 END + CASE WHEN NOT has_case THEN 3 ELSE 0 END
+  + CASE WHEN ch AND disposition = 'false_positive' AND dur < 1800 THEN 2 ELSE 0 END DESC, alert_id) FROM af""")
 cte("dirty", """
 SELECT k AS row_pos, CASE WHEN k % 101 = 0 THEN NULL WHEN k % 103 = 0 THEN ' ' WHEN k % 50 = 1 THEN 'O' || (k % 500) ELSE alert_id END AS alert_id,
   CASE WHEN k % 89 = 0 THEN 'N999' ELSE entity_id END AS entity_id, CASE WHEN k % 97 = 0 THEN 'urgent' ELSE severity END AS severity,
@@ -303,6 +309,11 @@ SELECT share, count(*) AS items, count(m.finding_id) AS true_positives, round(co
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, finding_id) AS rank FROM findings) f JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id)
 JOIN (SELECT DISTINCT entity_id FROM truth) USING (entity_id) CROSS JOIN (SELECT unnest([5e-2, 0.1, 0.2]::DOUBLE[]) AS share) CROSS JOIN (SELECT count(*) AS total FROM truth) LEFT JOIN matched m USING (finding_id)
 WHERE rank <= greatest(5, round_even(n * share, 0)) GROUP BY share""",
+    "case_hits": "SELECT entity_id, alert_id FROM hits",
+    "manual_baselines": """
+SELECT baseline, share, count(*) AS items, count(h.alert_id) AS true_positives, round_even(count(h.alert_id) / count(*)::DOUBLE, 6) AS precision
+FROM by_hand b JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id) CROSS JOIN (SELECT unnest([5e-2, 0.1, 0.2]::DOUBLE[]) AS share) LEFT JOIN hits h USING (entity_id, alert_id)
+WHERE position <= greatest(5, round_even(n * share, 0)) GROUP BY ALL""",
     "uniform_baseline": "SELECT entity_id, alert_id FROM alerts QUALIFY (row_number() OVER (PARTITION BY entity_id ORDER BY created_us, alert_id) - 1) % 20 = 0",
     "random_baseline": "SELECT entity_id, count(*) AS alerts, count(*) FILTER (k % 40 = 0) AS hits, round(count(*) FILTER (k % 40 = 0) / count(*)::DOUBLE, 6) AS expected_precision FROM alerts GROUP BY 1",
     "stratified_order": "SELECT entity_id, alert_id, row_number() OVER (PARTITION BY entity_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, created_us, alert_id) AS position FROM alerts",

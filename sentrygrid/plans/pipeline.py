@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import asdict
+from pathlib import Path
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sentrygrid.operators import audit, claims, feedback, quarantine, review_queue, scoring
 from sentrygrid.operators.detectors import run_detectors
+from sentrygrid.schema import TABLES, THRESHOLDS
 from sentrygrid.sources import store
 
 ARTIFACTS = ("findings", "scores", "queues", "claims", "claim_index")
@@ -37,6 +41,10 @@ def run_all(spark: SparkSession, source: str | dict[str, DataFrame], output: str
     digest = audit.canonical_hash({n: df.agg(F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()[0] for n, df in out.items()})
     local = output.removeprefix("file://")
     if "://" not in local:  # the seal is a small local file; elsewhere the caller keeps it
-        audit.append_entry(f"{local}/audit.jsonl", "run", run_id, digest)
+        inputs = {n: found[1].removeprefix("file://") for n in TABLES if isinstance(source, str) and (found := store.resolve(spark, source, n))}
+        outputs = {n: f"{local}/{n}.parquet" for n in out}
+        sealed = audit.manifest(run_id, {"budget": budget, "seed": seed, **asdict(THRESHOLDS)}, inputs, outputs, totals, {"spark": pyspark.__version__})
+        Path(f"{local}/manifest.json").write_text(json.dumps(sealed, indent=2, sort_keys=True))
+        audit.append_entry(f"{local}/audit.jsonl", "run", run_id, sealed["manifest_hash"])
     out["summary"] = spark.createDataFrame([(run_id, digest, pyspark.__version__, str(totals))], "run_id string, data_hash string, spark string, rows string")
     return out

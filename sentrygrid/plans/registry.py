@@ -554,6 +554,26 @@ def checklist_score(spark, d):
     return longs(evaluation.checklist(driver_tables.bundle(spark, d)), "position")
 
 
+def case_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The faults, and every 90th case."""
+    cases = driver_tables.bundle(spark, d)
+    owned = features.entity_cases(cases).where(F.substring("case_id", 2, 20).cast("long") % 90 == 7)
+    return truth(spark, d).select("entity_id", "scope").unionByName(owned.select("entity_id", F.concat(F.lit("case:"), "case_id").alias("scope")))
+
+
+@query
+def case_hits(spark, d):
+    return evaluation.alert_hits(driver_tables.bundle(spark, d), case_truth(spark, d))
+
+
+@query
+def manual_baselines(spark, d):
+    b = driver_tables.bundle(spark, d)
+    hits = evaluation.alert_hits(b, case_truth(spark, d))
+    parts = [evaluation.manual_precision(o.select("entity_id", "alert_id", "position"), hits).withColumn("baseline", F.lit(n)) for n, o in (("stratified", evaluation.stratified_order(b.alerts)), ("checklist", evaluation.checklist(b)))]
+    return longs(parts[0].unionByName(parts[1]), "items", "true_positives")
+
+
 @query
 def ablation(spark, d):
     return evaluation.ablation(basic_findings(spark, d)).groupBy("suite").agg(F.count("*").alias("findings"))

@@ -27,6 +27,12 @@ def resolve(spark: SparkSession, data_dir: str, name: str) -> tuple[str, str] |
     return next(((f, f"{data_dir}/{name}.{f}") for f in FORMATS if _exists(spark, f"{data_dir}/{name}.{f}")), None)
 
 
+def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The wanted columns of a CSV file, those of them that it has."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return raw.select(*[c for c in columns if c in raw.columns])
+
+
 def read_raw(spark: SparkSession, fmt: str, path: str) -> DataFrame:
     """A file as it is; text formats as strings, so that bad values survive to validation.  ``row_pos`` is the scan order."""
     if fmt == "parquet":

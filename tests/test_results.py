@@ -93,6 +93,8 @@ def test_whole_run_finds_known_faults(spark, tmp_path):
     assert evaluation.matched(items, truth).count() > 5
     assert serving.entity_detail(out["scores"], "e-0001").count() == 1 and serving.queue_of(out["queues"], "E-0001", 5).count() == 5
     assert "| a |" in evaluation.report([{"a": 1}])
+    assert "| share |" in evaluation.report_of_run(spark, str(tmp_path), truth)
+    assert (tmp_path / "manifest.json").exists()
 
 
 def test_tidying_removes_lanes(spark):
