@@ -111,3 +111,33 @@ def test_licences_and_inheritance(spark):
     assert by[5].license == "GPL-3.0" and by[5].from_dir == "r/c" and by[6].license is None and by[7].license is None
     assert by[8].own is None and by[9].own == "CC-BY-NC-4.0" and by[4].own_score == 1.0
     assert licenses.scan(spark, df.limit(0), F.col("path")).count() == 0
+
+
+def test_notices_of_many_forms(spark):
+    body = "some words that say nothing about rights at all. " * 5
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version {} of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful"
+    bsd = "Copyright (c) 2019, Jane Roe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n\n"
+    want = {
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+        "SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: Zlib": None,
+        "Copyright (c) 2020 Acme Inc. All rights reserved.": "Proprietary",
+        "All rights reserved.": "Proprietary",
+        "All rights reserved.\nReleased under the MIT License.": "MIT",
+        "it under the terms of the GNU General Public License as published by": "GPL-3.0",
+        gpl.format(2): "GPL-2.0",
+        gpl.format(3): "GPL-3.0",
+        gpl.replace("General", "Affero General").format(3): "AGPL-3.0",
+        bsd: "BSD-2-Clause",
+        bsd + "3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.": "BSD-3-Clause",
+        "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction": "MIT",
+        "Distributed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "He gave permission to use the software.": None,
+        "Wir fahren mit dem Zug.": None,
+    }
+    rows = [(i, f"p{i}/x.txt", f"{body}\n\n{t}\n\n{body}") for i, t in enumerate(want)]
+    got = {r.doc_id: r.own for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
