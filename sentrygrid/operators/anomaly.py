@@ -13,7 +13,7 @@ from sentrygrid.schema import THRESHOLDS
 
 FEATURES = ("monthly_volume", "crit_volume", "crit_median_close_sec", "ch_esc_rate", "unworked_ratio", "sla_window_ratio", "fp_rate", "unique_assets_alerted")
 TREES, SUBSAMPLE, SEED = 100, 256, 42
-#: Rows that the pairwise outlier factors take at most; more go to hash blocks of about this size.
+#: Points that are compared pairwise at once.
 BLOCK = 2000
 
 
@@ -25,20 +25,103 @@ def scaled(months: DataFrame) -> DataFrame:
     return out.select("entity_id", "year_month", *[((F.col(f) - F.col(f"q_{f}")[1]) / spread(F.col(f"q_{f}"))).alias(f) for f in FEATURES])
 
 
-def lof(points: DataFrame, k: int = THRESHOLDS.nov01_neighbors) -> DataFrame:
-    """Local outlier factor of every row (Breunig et al. 2000) with exactly k neighbours, ties broken by row key.
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once: written to the shared folder of ``spark.checkpoint.dir``, so that plans stay short, or cached where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
-    Pairs are formed within blocks; up to ``BLOCK`` rows there is one block and the factors are exact."""
-    n = points.count()
-    k = min(k, n - 1)
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None] - y[None, :, i]) ** 2
+    return np.sqrt(out)
+
+
+def _sub_blocks(key: str, sizes: dict[int, int], block: int) -> Column:
+    """The part of its cell that a point belongs to, each of about ``block`` points."""
+    parts = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, math.ceil(n / block))])
+    return F.pmod(F.xxhash64(key), F.coalesce(parts[F.col("cell")], F.lit(1))).cast("int")
+
+
+def _first_names(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct points with the first k + 1 of their names: no later one can be a neighbour."""
+    salt = F.pmod(F.xxhash64("a"), F.lit(64))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("x", salt).orderBy("a"))).where(F.col("r") <= k + 1)
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("a"))).where(F.col("r") <= k + 1)
+    return first.groupBy("x").agg(F.array_sort(F.collect_list("a")).alias("names")).select(F.col("names")[0].alias("p"), "x", "names")
+
+
+def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest other rows of every row (a, x): a, b, d, ties broken by b; exact at any size.
+
+    Points go to the cell of their nearest pivot.  The k-th distance within a part of the cell bounds the true one, and
+    a point visits every cell that the triangle inequality does not put beyond its bound."""
+    points = _kept(_first_names(rows, k))
+    pivots = points.orderBy(F.xxhash64("p"), "p").limit(math.ceil(points.count() / block)).select("x").toPandas()["x"]
+    centre = np.array(pivots.tolist(), float)
+
+    def place(parts):
+        for pdf in parts:
+            d = _distances(np.array(pdf["x"].tolist(), float), centre) if len(pdf) else np.zeros((0, 1))
+            yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), away=d.min(axis=1))
+
+    placed = _kept(points.mapInPandas(place, "p string, x array<double>, names array<string>, cell int, away double"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()
+    held, radius = np.zeros(len(centre), int), np.full(len(centre), -np.inf)
+    held[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["radius"]
+
+    def bound(pdf):
+        x = np.array(pdf["x"].tolist(), float)
+        most = np.full(len(x), np.inf)
+        for at in range(0, len(x), 256) if len(x) > k else ():
+            most[at : at + 256] = np.partition(_distances(x[at : at + 256], x), k, axis=1)[:, k]  # its own distance of 0 is one of them
+        return pd.DataFrame({"p": pdf["p"], "x": pdf["x"], "most": most})
+
+    def visit(parts):
+        for pdf in parts:
+            d = _distances(np.array(pdf["x"].tolist(), float), centre)
+            full = np.where(held > k, d + radius, np.inf).min(axis=1)  # a cell of more than k points lies within this
+            most = np.minimum(pdf["most"].to_numpy(float), full) * (1 + 1e-9) + 1e-12
+            i, c = np.nonzero((d - radius <= most[:, None]) & (held > 0))
+            yield pd.DataFrame({"p": pdf["p"].to_numpy()[i], "x": pdf["x"].to_numpy()[i], "cell": c.astype(np.int32)})
+
+    parted = placed.withColumn("part", _sub_blocks("p", dict(enumerate(held.tolist())), block))
+    bounded = parted.groupBy("cell", "part").applyInPandas(bound, "p string, x array<double>, most double")
+    visitors = _kept(bounded.mapInPandas(visit, "p string, x array<double>, cell int"))
+    guests = {r["cell"]: r["count"] for r in visitors.groupBy("cell").count().collect()}
+    every = lambda sizes: F.sequence(F.lit(0), F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, math.ceil(n / block) - 1)])[F.col("cell")])
+    asked = visitors.withColumn("chunk", _sub_blocks("p", guests, block)).select("cell", F.explode(every({c: n for c, n in enumerate(held.tolist()) if n})).alias("part"), "chunk", "p", "x", F.lit(None).cast("array<string>").alias("names"))
+    asking = parted.where(F.col("cell").isin(list(guests))).select("cell", "part", F.explode(every(guests)).alias("chunk"), "p", "x", "names")
+
+    def compare(pdf):
+        own = pdf["names"].notna()
+        there, here = pdf[own], pdf[~own]
+        out = []
+        if len(there) and len(here):
+            y, x = np.array(there["x"].tolist(), float), np.array(here["x"].tolist(), float)
+            names, ids = there["names"].tolist(), here["p"].tolist()
+            for at in range(0, len(x), 256):
+                d = _distances(x[at : at + 256], y)
+                last = np.partition(d, min(k, len(y) - 1), axis=1)[:, min(k, len(y) - 1)]
+                for i, row in enumerate(d):
+                    near = sorted((row[j], b) for j in np.flatnonzero(row <= last[i]) for b in names[j])
+                    out += [(ids[at + i], b, g) for g, b in near[: k + 1]]
+        return pd.DataFrame(out, columns=["p", "b", "d"])
+
+    found = asked.unionByName(asking).groupBy("cell", "part", "chunk").applyInPandas(compare, "p string, b string, d double")
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("d", "b"))).where(F.col("r") <= k + 1)
+    lists = first.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("d", "b"))).alias("near")).join(points.select("p", "x"), "p")
+    others = F.slice(F.filter("near", lambda s: s["b"] != F.col("a")), 1, k)
+    return rows.join(lists, "x").select("a", F.explode(others).alias("s")).select("a", "s.b", "s.d")
+
+
+def lof(points: DataFrame, k: int = THRESHOLDS.nov01_neighbors, block: int = BLOCK) -> DataFrame:
+    """Local outlier factor of every row (Breunig et al. 2000) with exactly k neighbours among all rows, ties broken by row key."""
+    rows = _kept(points.select(F.concat_ws("/", "entity_id", "year_month").alias("a"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x")))
+    k = min(k, rows.count() - 1)
     if k < 2:
         return points.select("entity_id", "year_month", F.lit(None).cast("double").alias("lof"))
-    blocks = math.ceil(n / BLOCK)
-    rows = points.select(F.concat_ws("/", "entity_id", "year_month").alias("a"), F.pmod(F.xxhash64("entity_id", "year_month"), F.lit(blocks)).alias("block"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
-    other = rows.select(F.col("a").alias("b"), "block", F.col("x").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    pairs = rows.join(other, "block").where("a != b").select("a", "b", gap.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+    near = _kept(nearest(rows, k, block))
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
     density = near.join(reach.select(F.col("a").alias("b"), "kd"), "b").groupBy("a").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     ratio = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lrd_b")), "b").groupBy("a").agg(F.avg("lrd_b").alias("around"))

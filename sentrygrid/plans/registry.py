@@ -371,7 +371,19 @@ def nov01_lof(spark, d):
 
 @query
 def nov01_iforest(spark, d):
-    return rounded(anomaly.isolation_forest(anomaly.scaled(_months(spark, d))), "forest_score")
+    return rounded(anomaly.isolation_forest(anomaly.scaled(ctx(spark, d).months)), "forest_score")
+
+
+@query
+def nov01_scaled_all(spark, d):
+    """Every month; nov01_scaled has the part that its SQL covers."""
+    return rounded(anomaly.scaled(ctx(spark, d).months), *anomaly.FEATURES)
+
+
+@query
+def nov01_lof_all(spark, d):
+    """Every month; nov01_lof has the part that its SQL covers."""
+    return rounded(anomaly.lof(anomaly.scaled(ctx(spark, d).months)), "lof", digits=5)
 
 
 # ---------------------------------------------------------------- findings and scores

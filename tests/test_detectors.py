@@ -147,3 +147,26 @@ def test_all_detectors_on_empty_and_partial_tables(spark):
     scopes = {(r.detector_id, r.scope) for r in out.collect()}
     assert ("EG-03", "table:workflow_events") in scopes and ("NS-01", "table:assets") in scopes
     assert {d for d, _ in scopes} == {"EG-03", "NS-01"}
+
+
+def test_outlier_factors_look_at_all_rows_beyond_a_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (2000, 8)), rng.normal(9, 0.2, (150, 8)), np.zeros((40, 8)), rng.normal(0, 30, (10, 8))])
+    names = [f"E{i:04d}/2024-01" for i in range(len(x))]
+    k = 20
+    d = np.zeros((len(x), len(x)))
+    for f in range(8):
+        d += (x[:, f, None] - x[None, :, f]) ** 2
+    d = np.sqrt(d)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    gaps = np.take_along_axis(d, near, axis=1)
+    lrd = 1 / (np.maximum(gaps, gaps[:, -1][near]).mean(axis=1) + 1e-10)
+    want = lrd[near].mean(axis=1) / lrd
+    points = spark.createDataFrame([(n.split("/")[0], "2024-01", *map(float, r)) for n, r in zip(names, x, strict=True)], ["entity_id", "year_month", *anomaly.FEATURES])
+    for block in (anomaly.BLOCK, 300):
+        got = {r.entity_id: r.lof for r in anomaly.lof(points, k, block).collect()}
+        assert len(got) == len(x)
+        np.testing.assert_allclose([got[n.split("/")[0]] for n in names], want, rtol=1e-9)
