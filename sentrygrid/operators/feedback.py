@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FLOOR, STEP = 0.3, 0.6
+#: Decisions that a slice of the ledger holds on average.
+SLICE_ROWS = 50_000
 LEDGER = "feedback_id long, finding_id string, entity_id string, detector_id string, decision string, examiner string, comment string, created_at string"
 
 
@@ -14,15 +18,34 @@ def append(spark: SparkSession, path: str, decisions: DataFrame) -> None:
     decisions.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in LEDGER.split(", ")]).write.mode("append").parquet(path)
 
 
-def weights(ledger: DataFrame) -> DataFrame:
-    """Factor and version of each (entity, detector): dismissals multiply by the step down to the floor, confirmations divide up to 1."""
+def _states() -> list[float]:
+    """Every factor that decisions can lead to from 1."""
+    states = [1.0]
+    for f in states:
+        states += [g for g in dict.fromkeys((_step(f, "dismiss"), _step(f, "confirm"))) if g not in states]
+    return states
+
+
+def _step(f: float, decision: str) -> float:
+    return round(max(FLOOR, f * STEP), 6) if decision == "dismiss" else round(min(1.0, f / STEP), 6)
+
+
+def weights(ledger: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Factor and version of each (entity, detector): dismissals multiply by the step down to the floor, confirmations divide up to 1.
+
+    Decisions are cut into slices by ascending id.  Those of a pair within a slice become one map from factor to factor,
+    and a pair's maps are composed in order, so that no pair's decisions come into one row."""
+    states = _states()
+    array = lambda values: F.array(*map(F.lit, values))
+    leads = {d: array([states.index(_step(f, d)) for f in states]) for d in ("dismiss", "confirm")}
+    through = lambda m, to: F.transform(m, lambda i: F.get(to, i))
+    cut = ledger.repartitionByRange(max(1, math.ceil(ledger.count() / slice_rows)), "feedback_id").withColumn("slice", F.spark_partition_id())
     events = F.array_sort(F.collect_list(F.struct("feedback_id", "decision")))
-    fold = F.aggregate(
-        "events",
-        F.lit(1.0),
-        lambda f, e: F.when(e["decision"] == "dismiss", F.bround(F.greatest(F.lit(FLOOR), f * STEP), 6)).when(e["decision"] == "confirm", F.bround(F.least(F.lit(1.0), f / STEP), 6)).otherwise(f),
-    )
-    return ledger.groupBy("entity_id", "detector_id").agg(events.alias("events"), F.max("created_at").alias("updated_at")).select("entity_id", "detector_id", fold.alias("factor"), F.size("events").alias("version"), "updated_at")
+    fold = F.aggregate("events", array(range(len(states))), lambda m, e: F.when(e["decision"] == "dismiss", through(m, leads["dismiss"])).when(e["decision"] == "confirm", through(m, leads["confirm"])).otherwise(m))
+    part = cut.groupBy("entity_id", "detector_id", "slice").agg(events.alias("events"), F.max("created_at").alias("updated_at")).select("entity_id", "detector_id", "slice", fold.alias("map"), F.size("events").alias("n"), "updated_at")
+    maps = F.array_sort(F.collect_list(F.struct("slice", "map")))
+    last = F.aggregate("maps", F.lit(0), lambda i, m: F.get(m["map"], i))
+    return part.groupBy("entity_id", "detector_id").agg(maps.alias("maps"), F.sum("n").cast("int").alias("version"), F.max("updated_at").alias("updated_at")).select("entity_id", "detector_id", F.get(array(states), last).alias("factor"), "version", "updated_at")
 
 
 def listed(weighted: DataFrame) -> DataFrame:

@@ -493,6 +493,19 @@ def feedback_apply(spark, d):
     return out.groupBy("entity_id", "detector_id").agg(F.count_if(F.col("feedback_factor") != 1).alias("weighed"), F.count("*").alias("n"))
 
 
+@query
+def feedback_weights_all(spark, d):
+    """The whole ledger; feedback_weights has the part that its SQL covers."""
+    return longs(feedback.weights(ledger(spark, d)).select("entity_id", "detector_id", F.round("factor", 4).alias("factor"), "version"), "version")
+
+
+@query
+def feedback_apply_all(spark, d):
+    """The whole ledger; feedback_apply has the part that its SQL covers."""
+    out = feedback.apply(basic_findings(spark, d), feedback.weights(ledger(spark, d)))
+    return out.groupBy("entity_id", "detector_id").agg(F.count_if(F.col("feedback_factor") != 1).alias("weighed"), F.count("*").alias("n"))
+
+
 @query
 def feedback_latest(spark, d):
     return feedback.latest(ledger(spark, d)).select("finding_id", "feedback_id", "decision")
@@ -503,10 +516,20 @@ def feedback_history(spark, d):
     return feedback.history(ledger(spark, d), entity="N3", limit=50).select("feedback_id", "detector_id", "decision")
 
 
+def _agreement(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    ids = orders.select(F.concat(F.lit("FND-"), F.col("o_orderkey").cast("string")).alias("finding_id"), F.lit("EG-03").alias("detector_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string")).alias("entity_id"), (F.lit(0.5) + F.col("o_orderkey") % 50 / 100).alias("confidence"))
+    return rounded(feedback.agreement(ledger(spark, d), ids, "entity_id"), "confirm_rate", "coverage", "confidence_confirmed", "confidence_dismissed", digits=3)
+
+
 @query
 def expert_agreement(spark, d):
-    ids = driver_tables.table(spark, d, "orders").where("o_orderkey <= 300").select(F.concat(F.lit("FND-"), F.col("o_orderkey").cast("string")).alias("finding_id"), F.lit("EG-03").alias("detector_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string")).alias("entity_id"), (F.lit(0.5) + F.col("o_orderkey") % 50 / 100).alias("confidence"))
-    return rounded(feedback.agreement(ledger(spark, d), ids, "entity_id"), "confirm_rate", "coverage", "confidence_confirmed", "confidence_dismissed", digits=3)
+    return _agreement(spark, d, driver_tables.table(spark, d, "orders").where("o_orderkey <= 300"))
+
+
+@query
+def expert_agreement_all(spark, d):
+    """Every order; expert_agreement has the part that its SQL covers."""
+    return _agreement(spark, d, driver_tables.table(spark, d, "orders"))
 
 
 @query

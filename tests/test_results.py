@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import alert, bundle
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from sentrygrid.operators import audit, claims, evaluation, feedback, generators, review_queue, robustness, scoring, serving
 from sentrygrid.operators.detectors import run_detectors
 from sentrygrid.plans.pipeline import run_all
+from sentrygrid.plans.registry import QUERIES
 from sentrygrid.schema import FINDING
 
 
@@ -70,6 +73,26 @@ def test_feedback_sequence(spark, tmp_path):
     assert feedback.listed(feedback.weights(ledger)).count() == 1
 
 
+def test_feedback_in_slices_equals_the_fold_in_order(spark):
+    rng = random.Random(4)
+    rows = [(i, f"F{i}", rng.choice(("E1", "E1", "E2")), "EG-01", rng.choice(("dismiss", "confirm", "note")), "x", None, f"t{i:04d}") for i in range(700)]
+    rng.shuffle(rows)
+    want = {}
+    for r in sorted(rows):
+        f, n = want.get(r[2], (1.0, 0))
+        f = round(max(0.3, f * 0.6), 6) if r[4] == "dismiss" else round(min(1.0, f / 0.6), 6) if r[4] == "confirm" else f
+        want[r[2]] = (f, n + 1)
+    ledger = spark.createDataFrame(rows, feedback.LEDGER).repartition(5)
+    for size in (40, 100_000):
+        assert {r.entity_id: (r.factor, r.version) for r in feedback.weights(ledger, size).collect()} == want
+
+
+def test_whole_ledger_is_weighed(spark, tmp_path):
+    spark.range(6000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert sum(r.version for r in QUERIES["feedback_weights_all"](spark, str(tmp_path)).collect()) == 600
+    assert sum(r.findings for r in QUERIES["expert_agreement_all"](spark, str(tmp_path)).collect()) == 6000
+
+
 def test_audit_chain(spark, tmp_path):
     path = tmp_path / "audit.jsonl"
     for i in range(3):
