@@ -3,9 +3,10 @@
 Strict matches (assign, access, hex) are always reported.  Besides, weak parts are located: names of accesses
 (``user = ...``), weak secrets (``pwd: ...``, or an assignment whose value is too short to count) and endpoints (URLs,
 ``host = ...``).  A weak access or secret is reported only if a complementary part lies within ``SCOPE`` code points
-of it in the same text: an access needs a secret, a secret needs an access or an endpoint.  The link is an interval
-join on (text, bin of the place), where each weak part looks into its own bin and the two beside it; it is a semi
-join, so a part is found once however many parts surround it.
+of it in the same text, counted from the end of the one to the start of the other: an access needs a secret, a secret
+needs an access or an endpoint.  The link is an interval join on (text, bin of the place), where every part lies in all
+bins from its start to its end and each weak part also looks ``SCOPE`` to either side; it is a semi join, so a part is
+found once however many parts surround it.
 
 Defined results: null text is the empty text and has no spans; a weak part inside a strict span is not reported
 again; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
@@ -74,9 +75,10 @@ def link_weak(table: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = table.where((F.size("short") > 0) | (F.size("p_access") > 0) | (F.size("p_secret") > 0)).dropDuplicates(["key"])
     exploded = rows.select("key", F.explode(parts).alias("p"), F.concat("assign", "access", "hex").alias("strict")).select("key", "p.*", "strict")
     inside = F.exists("strict", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    weak = exploded.where(F.col("weak") & ~inside).select("key", "role", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("start") / scope) + 1)).alias("bin"))
-    right = exploded.select(F.col("key").alias("k2"), F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.floor(F.col("start") / scope).alias("bin2"))
-    near = F.abs(F.col("start") - F.col("start2")) <= scope
+    bins = lambda first, last: F.sequence(F.floor(first / scope), F.floor(last / scope))
+    weak = exploded.where(F.col("weak") & ~inside).select("key", "role", "start", "end", F.explode(bins(F.col("start") - scope, F.col("end") + scope)).alias("bin"))
+    right = exploded.select(F.col("key").alias("k2"), F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(bins(F.col("start"), F.col("end"))).alias("bin2"))
+    near = F.greatest("start", "start2") - F.least("end", "end2") <= scope
     apart = (F.col("end") <= F.col("start2")) | (F.col("end2") <= F.col("start"))
     fits = ((F.col("role") == "access") & (F.col("role2") == "secret")) | ((F.col("role") == "secret") & F.col("role2").isin("access", "endpoint"))
     hits = weak.join(right, (F.col("key") == F.col("k2")) & (F.col("bin") == F.col("bin2")) & near & apart & fits, "left_semi")

@@ -88,6 +88,16 @@ def test_parts_link_only_within_a_scope(spark):
     assert 20 <= len(got[8]) <= 25
 
 
+def test_long_parts_link_by_the_gap_between_them(spark):
+    token = "eyJ" + "Zx9." * 174
+    texts = [f"auth: {token} user: bobby", f"secret={'Q' * 300} client_id=abcd", f"login: carol auth: {token} {'x ' * 120} user: bobby", f"auth: {token} {'x ' * 140} user: bobby"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("weak")] for r in secrets.digest_spans(secrets.find_secrets(spark, df)).collect()}
+    end = 6 + len(token)
+    assert got[0] == [f"weak_secret:0:{end}", f"weak_access:{end + 1}:{end + 12}"]
+    assert got[1] == ["weak_access:308:322"] and len(got[2]) == 3 and got[3] == []
+
+
 def test_licences_and_inheritance(spark):
     body = "some words that say nothing about rights at all. " * 5
     rows = [
