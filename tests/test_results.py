@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from helpers import alert, bundle
@@ -93,6 +94,20 @@ def test_whole_ledger_is_weighed(spark, tmp_path):
     assert sum(r.findings for r in QUERIES["expert_agreement_all"](spark, str(tmp_path)).collect()) == 6000
 
 
+def test_all_findings_follow_the_tables(spark, tmp_path):
+    source = Path("/root/testdata/sf0.001")
+    if not source.exists():
+        pytest.skip("no test tables")
+    got = {}
+    for d in (source, tmp_path):
+        if d != source:
+            for p in source.glob("*.parquet"):
+                t = spark.read.parquet(str(p))
+                (t.limit(0) if p.stem == "lineitem" else t).write.parquet(f"{d}/{p.name}")
+        got[d] = {r.detector_id: r.findings for r in QUERIES["all_findings"](spark, str(d)).collect()}
+    assert got[source] != got[tmp_path] and "NOV-01" in got[source]
+
+
 def test_audit_chain(spark, tmp_path):
     path = tmp_path / "audit.jsonl"
     for i in range(3):
