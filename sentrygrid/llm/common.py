@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: Rows that one bucket of a two-level numbering holds on average.
 ROWS_PER_BUCKET = 50_000
+#: Parts that a join splits the rows of one key into.
+SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -75,6 +77,13 @@ def hash_bucket(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with a ``right`` of distinct keys; a key's rows are spread over ``SALTS`` tasks by a hash of ``by``."""
+    spread = left.withColumn("__salt", hash_bucket(SALTS, by))
+    copied = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return spread.join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as its UTF-8 bytes and the n + 1 offsets into them, without a copy per row."""
     if isinstance(column, pa.ChunkedArray):

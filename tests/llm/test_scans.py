@@ -1,11 +1,14 @@
 """PII, secrets and licences against brute force."""
 
 import hashlib
+import random
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sentrygrid.llm import licenses, pii, secrets
+from sentrygrid.llm import licenses, pii, secrets, spans
 
 PII_TEXTS = [
     "mail a.b+c@x-y.example.org, or a@b.c_d@e.f; not @x.y or a@b",
@@ -151,3 +154,102 @@ def test_notices_of_many_forms(spark):
     rows = [(i, f"p{i}/x.txt", f"{body}\n\n{t}\n\n{body}") for i, t in enumerate(want)]
     got = {r.doc_id: r.own for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
     assert {t: got[i] for i, t in enumerate(want)} == want
+
+
+def test_spans_apart_and_running_values(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        spot = lambda n: sorted((a, a + rng.randint(1, 9)) for a in rng.sample(range(4000), n))
+        rows.append((i, spot(rng.choice([0, 1, 5, 600])), spot(rng.choice([0, 1, 5, 300]))))
+    df = spark.createDataFrame(rows, "i long, mine array<struct<start:int,end:int>>, others array<struct<start:int,end:int>>")
+    got = {r.i: [tuple(s) for s in r.free] for r in df.select("i", spans.apart(F.col("mine"), F.col("others")).alias("free")).collect()}
+    assert got == {i: [(a, b) for a, b in mine if not any(s < b and e > a for s, e in others)] for i, mine, others in rows}
+    sums = spark.range(1).select(spans.running(F.sequence(F.lit(1), F.lit(1000)), spans.add).alias("r")).first().r
+    assert sums == [i * (i + 1) // 2 for i in range(1, 1001)]
+
+
+def test_dense_and_long_texts(spark):
+    """Tens of thousands of matches in one text and runs of half a million characters, as brute force finds them."""
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.randint(10, 99)} x" for _ in range(60_000)), "a@b.cd " * 20_000 + "token=abcdefghijklmno " * 10_000 + "user: bobby pwd: hunter22 " * 4_000, "1" * 500_000 + "-" * 500_000 + "é" * 500_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    began = time.monotonic()
+    for r in pii.digest_spans(pii.find_pii(spark, df)).collect():
+        want = base_pii(texts[r.doc_id]) if r.doc_id < 2 else []
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert time.monotonic() - began < 60
+    began = time.monotonic()
+    for r in secrets.digest_spans(secrets.find_secrets(spark, df)).collect():
+        want = base_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert r.spans.count("weak_access") == (4_000 if r.doc_id == 1 else 0)
+    assert time.monotonic() - began < 60
+    out = {r.doc_id: r.text for r in pii.redact(spark, df).collect()}
+    assert out[0] == texts[0] and out[1] == texts[1].replace("a@b.cd", "<EMAIL>") and out[2] == texts[2]
+
+
+def brute_found(rows):
+    """Contexts by plain loops: (doc_id, kind, start, end) of what becomes known."""
+    word = lambda t: (re.sub(r"[\W_]+$", "", t.split()[-1]) if t.split() else "").lower()
+    seeds, tokens, uses = [], [], Counter()
+    for d, t in rows:
+        taken, labels = [], 0
+        for name in base_pii(t):
+            k, a, b = name.split(":")
+            a, b = int(a), int(b)
+            taken.append((a, b))
+            if w := re.sub(r"^[\W_]+", "", word(t[:a])):
+                seeds.append((k, w, t[a:b].lower()))
+                labels += 1
+        mine = []
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", t):
+            core = re.sub(r"[^A-Za-z0-9]*$", "", re.sub(r"^[^A-Za-z0-9+]*", "", m[0]))
+            a = m.start() + m[0].index(core)
+            w = re.sub(r"^[\W_]+", "", word(t[: m.start()]))
+            n, plain = len(re.sub("[^0-9]", "", core)), not re.search(r"[^0-9().+-]", core)
+            kind = "email" if re.fullmatch(r"[^\s@]+@[^\s@]+", core) else "ip" if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", core) else "card" if plain and 16 <= n <= 19 else "phone" if plain and 7 <= n <= 15 else None
+            if core and w and not re.search(r"[0-9@]", w) and not any(s < a + len(core) and e > a for s, e in taken):
+                mine.append((d, kind, w, a, a + len(core), core.lower()))
+        tokens += mine
+        if labels or mine:
+            uses.update(x for x in (re.sub(r"^[\W_]+|[\W_]+$", "", x).lower() for x in t.split()) if x)
+    known = {(k, v) for k, _, v in seeds}
+    stood = Counter(w for _, w, _ in seeds) + Counter(w for _, _, w, *_ in tokens)
+    edges = Counter((k, w, v) for k, w, v in seeds) + Counter((k, w, v) for _, k, w, _, _, v in tokens if k)
+    while True:
+        conf = {}
+        for k, w in {(k, w) for k, w, _ in edges}:
+            mine = {v: n for (a, b, v), n in edges.items() if (a, b) == (k, w)}
+            sure = [v for v in mine if (k, v) in known]
+            if len(sure) >= pii.SUPPORT:
+                hits = sum(mine[v] for v in sure)
+                conf[k, w] = hits / (hits + stood[w] - sum(mine.values()) + pii.IDLE * max(uses[w] - stood[w], 0))
+        fresh = set()
+        for k, v in {(k, v) for k, _, v in edges} - known:
+            wrong = 1.0
+            for a, w, x in edges:
+                if (a, x) == (k, v):
+                    wrong *= 1 - conf.get((k, w), 0)
+            if 1 - wrong >= pii.ACCEPT:
+                fresh.add((k, v))
+        if not fresh:
+            return sorted((d, k, a, b) for d, k, _, a, b, v in tokens if (k, v) in known)
+        known |= fresh
+
+
+def test_found_spans_equal_brute_force(spark):
+    rng = random.Random(8)
+    number = lambda: f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+    rows = []
+    for i in range(120):
+        kind = i % 5
+        word = rng.choice(["phone:", "Téléphone", "(Ruf)", "the", "of", "номер", "Fernsprechanschlussnummer:"]) if kind < 4 else rng.choice(["the", "of", "phone"])
+        value = f"+1 (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}" if kind < 2 and word not in ("the", "of", "номер") else number() if kind < 4 else f"{rng.randint(1, 31)}th" if word != "phone" else "mail"
+        rows.append((i, f"some words the of the of here {word} {value} and then more"))
+    shared = [number() for _ in range(6)]
+    rows += [(300 + i, f"ask phone: {v} now") for i, v in enumerate(shared)] + [(310 + i, f"ask внутренний {v} now") for i, v in enumerate(shared)] + [(320, "ask внутренний 777-8888 now"), (321, "сhat id 777-8888 now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, f.kind, f.start, f.end) for r in pii.find_pii(spark, df).collect() for f in r.found)
+    assert got == brute_found(rows) and {320, 321} <= {d for d, *_ in got} and len(got) > 25
+    assert pii.find_pii(spark, df.limit(0)).count() == 0
