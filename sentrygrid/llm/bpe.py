@@ -4,7 +4,8 @@ Texts are cut into the tokenizer's pre-tokens.  The distinct unseen ones of a ba
 it depth first, every node (a prefix) gets the last token of its encoding from the states of its ancestors: token
 ``t`` ends the encoding of a prefix when the rest of the prefix is encoded, ends in ``u`` and merging never joins
 across the border of ``u`` and ``t``.  A prefix that many words share is thus encoded once, and a word's ids are
-read back along the chain of last tokens.  Workers keep a bounded cache of pre-tokens.
+read back along the chain of last tokens.  Words of more than ``LONG`` bytes, which hardly share prefixes, are walked
+one by one without nodes; time and memory grow with their length.  Workers keep a bounded cache of pre-tokens.
 
 Defined results: null text is the empty text with no ids; the special string in a text becomes its own id, as the
 library does by default; decoding replaces invalid UTF-8 as the library does; repeated rows give repeated results;
@@ -31,6 +32,8 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SP
 UNEVEN = regex.compile(rf"^[{SPACES}]|[{SPACES}]$|[{SPACES}][{SPACES}]")
 #: Pieces that a worker keeps the ids of; distinct words that one trie holds.
 CACHE_PIECES, TRIE_WORDS = 700_000, 20_000
+#: Bytes beyond which a word has no part in the trie and the cache.
+LONG = 1000
 
 
 def byte_characters() -> dict[str, int]:
@@ -62,6 +65,11 @@ class TrieBpe:
             self.merge[self.rank[a], self.rank[b]] = self.rank[both]
         self.id = [vocab[t] for t in self.token]
         self.longest = max(map(len, self.token))
+        ending: list[set[int]] = [set() for _ in range(256)]
+        for t in self.token:
+            ending[t[-1]].add(len(t))
+        #: The lengths of tokens that end in each byte, longest first.
+        self.lengths = [sorted(n, reverse=True) for n in ending]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = dict(zip(self.id, self.token, strict=True)) | {i: s.encode() for s, i in self.special.items()}
@@ -115,11 +123,46 @@ class TrieBpe:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """The token ids of distinct non-empty byte words."""
         out: dict[bytes, list[int]] = {}
-        todo = list(words)
-        for i in range(0, len(todo), TRIE_WORDS):
-            self._traverse(todo[i : i + TRIE_WORDS], out)
+        short: list[bytes] = []
+        for w in words:
+            if len(w) > LONG:
+                out[w] = self._walk(w)
+            else:
+                short.append(w)
+        for i in range(0, len(short), TRIE_WORDS):
+            self._traverse(short[i : i + TRIE_WORDS], out)
         return out
 
+    def _last(self, tail: bytes, depth: int, last: list[int]) -> int:
+        """The last token of a prefix of ``depth`` bytes that ends in ``tail``, from the last tokens of all shorter ones."""
+        rank, alone, joins, m = self.rank, self.alone, self.joins, len(tail)
+        for n in self.lengths[tail[-1]]:
+            if n > m:
+                continue
+            t = rank.get(tail[m - n :])
+            if t is None or not (alone[t] if t in alone else self._stands_alone(t)):
+                continue
+            if n < depth:
+                before = last[depth - n]
+                apart = joins.get(before << 32 | t)
+                if not (self._apart(before, t) if apart is None else apart):
+                    continue
+            return t
+        raise ValueError("a single byte is always a token")
+
+    def _back(self, last: list[int], depth: int) -> list[int]:
+        got = []
+        while depth:
+            got.append(self.id[last[depth]])
+            depth -= len(self.token[last[depth]])
+        return got[::-1]
+
+    def _walk(self, word: bytes) -> list[int]:
+        last = [-1]
+        for depth in range(1, len(word) + 1):
+            last.append(self._last(word[max(0, depth - self.longest) : depth], depth, last))
+        return self._back(last, len(word))
+
     def _traverse(self, words: list[bytes], out: dict[bytes, list[int]]) -> None:
         child: dict[int, int] = {}
         below: list[list[int]] = [[]]  # the bytes that lead on from each node
@@ -135,8 +178,7 @@ class TrieBpe:
                     below[node].append(b)
                 node = nxt
             ends[node] = w
-        rank, ids, longest = self.rank, self.id, self.longest
-        alone, joins = self.alone, self.joins
+        longest, find = self.longest, self._last
         path = bytearray()
         last: list[int] = [-1]  # the last token of each prefix on the path
         todo: list[tuple[int, int, int]] = [(0, b, 0) for b in below[0]]
@@ -146,25 +188,9 @@ class TrieBpe:
             path.append(b)
             depth += 1
             node = child[parent << 8 | b]
-            prefix = bytes(path)
-            found = -1
-            for start in range(max(0, depth - longest), depth):
-                t = rank.get(prefix[start:])
-                if t is None or not (alone[t] if t in alone else self._stands_alone(t)):
-                    continue
-                if start:
-                    apart = joins.get(last[start] << 32 | t)
-                    if not (self._apart(last[start], t) if apart is None else apart):
-                        continue
-                found = t
-                break
-            last.append(found)
+            last.append(find(bytes(path[-longest:]), depth, last))
             if node in ends:
-                got, at = [], depth
-                while at:
-                    got.append(ids[last[at]])
-                    at -= len(self.token[last[at]])
-                out[ends[node]] = got[::-1]
+                out[ends[node]] = self._back(last, depth)
             for b in below[node]:
                 todo.append((node, b, depth))
 
@@ -174,8 +200,7 @@ class TrieBpe:
         unseen = {w.encode(): w for ws in cut.values() for w in ws if w not in held}
         fresh = {unseen[w]: np.array(ids, "<u4").tobytes() for w, ids in self.encode_words(unseen).items()}
         if len(held) + len(fresh) <= CACHE_PIECES:
-            held |= fresh
-            fresh = {}
+            held |= {w: ids for w, ids in fresh.items() if len(w) <= LONG}
         return {p: b"".join([fresh[w] if w in fresh else held[w] for w in ws]) for p, ws in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -195,11 +220,13 @@ class TrieBpe:
             split.append(pieces)
         unseen = set().union(*split) - self.cache.keys() - self.special.keys()
         fresh = self._learn(unseen) | {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        if len(self.cache) + len(fresh) <= CACHE_PIECES:
-            self.cache |= fresh
-            get = self.cache.__getitem__
-            return [b"".join(map(get, ps)) for ps in split]
         held = self.cache
+        if len(held) + len(fresh) <= CACHE_PIECES:
+            odd = {p: ids for p, ids in fresh.items() if len(p) > LONG}
+            held |= {p: ids for p, ids in fresh.items() if len(p) <= LONG} if odd else fresh
+            if not odd:
+                get = held.__getitem__
+                return [b"".join(map(get, ps)) for ps in split]
         return [b"".join([fresh[p] if p in fresh else held[p] for p in ps]) for ps in split]
 
     def decode(self, ids: bytes) -> str:

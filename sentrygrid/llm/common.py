@@ -23,8 +23,12 @@ SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run on this machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/sentrygrid-{spark.sparkContext.applicationId}"
 
 

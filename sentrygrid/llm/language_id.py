@@ -5,8 +5,9 @@ ranked by frequency.  A language's profile is such a ranking of its training tex
 a language is the sum of the out-of-place distances of its most frequent n-grams, ``PROFILE`` for an n-gram that
 the profile lacks; the nearest language wins.
 
-Profiles are fitted on a bounded sample: about ``FIT_ROWS`` texts a language, picked by a hash of the id among the
-labelled rows outside the held-out quarter.  Prediction reads whole texts and nothing but texts.
+Profiles are fitted on a bounded sample: about ``FIT_ROWS`` texts of each of the ``LANGUAGES`` most frequent labels,
+picked by a hash of the id among the labelled rows outside the held-out quarter.  Prediction reads whole texts and
+nothing but texts; a long text is counted in parts of ``PART`` characters, so memory stays at a few times its length.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; ties of frequency go by code point,
 ties of distance by language name; with nothing to learn from every text is ``und``; repeated rows give repeated
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import id_text
+from sentrygrid.llm.common import id_text, slices
 
 UNDETERMINED = "und"
 #: Stands for non-letters in n-grams; no letter has this code point.
 BORDER = 1
-#: N-grams in a profile; texts a language that the fit reads, about; sharpness of the score.
-PROFILE, FIT_ROWS, SHARPNESS = 400, 2000, 60.0
+#: N-grams in a profile; texts a language that the fit reads, about; labels that it learns; sharpness of the score.
+PROFILE, FIT_ROWS, LANGUAGES, SHARPNESS = 400, 2000, 1000, 60.0
+#: Characters whose n-grams are counted at once.
+PART = 1 << 18
 
 _letters: list[np.ndarray] = []
 
@@ -40,22 +43,34 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    grams.sort()
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.diff(np.append(first, len(grams)))
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 1- to 3-grams of a text, coded in 21 bits a character, and their counts."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter()[codes]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.full(len(codes) + 2, BORDER, np.int64)
+    c = np.full(len(codes) + 2, BORDER, np.uint32)
     c[1:-1] = np.where(letter, codes, BORDER)
     c = c[np.concatenate([[True], (c[1:] != BORDER) | (c[:-1] != BORDER)])]
-    a, b, d = c, c[1:], c[2:]
-    two = (a[:-1] << 21) | b
-    three = (two[:-1] << 21) | d
-    grams = np.concatenate([a[a != BORDER], two, three[b[:-1] != BORDER]])
-    grams.sort()
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    return grams[first], np.diff(np.append(first, len(grams)))
+    held: tuple[np.ndarray, np.ndarray] | None = None
+    for i in range(0, len(c), PART):
+        a = c[i : i + PART].astype(np.int64)
+        b, d = (c[i + k : i + k + PART].astype(np.int64) for k in (1, 2))  # n-grams that start in this part
+        two = (a[: len(b)] << 21) | b
+        three = (two[: len(d)] << 21) | d
+        part = _counted(np.concatenate([a[a != BORDER], two, three[b[: len(d)] != BORDER]]))
+        if held is None:
+            held = part
+        else:
+            every, place = np.unique(np.concatenate([held[0], part[0]]), return_inverse=True)
+            held = every, np.bincount(place, weights=np.concatenate([held[1], part[1]])).astype(np.int64)
+    return held
 
 
 def top(grams: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
@@ -93,19 +108,19 @@ def held_out(doc_id: Column) -> Column:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum a task's n-gram counts by language before anything is shuffled."""
     for batch in batches:
-        by_lang: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(text)
-        for lang, texts in by_lang.items():
-            for i in range(0, len(texts), 500):
-                grams, counts = ngrams("\n".join(texts[i : i + 500]))
+        for part in slices(batch, "text", 1 << 20):
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                grams, counts = ngrams("\n".join(texts))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, list[int]]:
     """A profile of at most ``PROFILE`` n-grams for each language of the labelled rows that are not held out."""
     usable = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return {}
     steps = 1 << 24
@@ -127,24 +142,26 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: dict[str, list[int]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(held.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, "text", 1 << 20):
                 found = [model.predict(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_text(docs, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns: rows are judged where they lie, without a join."""
+def keep_identified(spark: SparkSession, docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns and the predicted language in ``lang``, where
+    there is such a column: rows are judged where they lie, without a join."""
     held = spark.sparkContext.broadcast(profiles)
     names = docs.columns
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at = Profiles(held.value), names.index(text)
+        model = Profiles(held.value)
         for batch in batches:
-            keep = [model.predict(t)[0] != UNDETERMINED for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, text, 1 << 20):
+                found = [model.predict(t)[0] for t in part.column(text).to_pylist()]
+                columns = [pa.array(found, c.type) if n == lang else c for n, c in zip(names, part.columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNDETERMINED for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Binary media columns: PNG write and read, and low-frequency cosine hashes (operator 10).
 
-Payload bytes become 8-bit RGB samples of an image 64 pixels (192 bytes) wide.  The writer picks one of the
-five row filters per row by the least sum of absolute differences, deflates the rows and frames them as
+Payload bytes become 8-bit RGB samples of an image 64 pixels (192 bytes) wide.  The writer picks the filter None, Sub
+or Up per row by the least sum of absolute differences (the reader knows all five), deflates the rows and frames them as
 length / type / data / CRC chunks.  The reader checks the signature and every CRC, inflates the IDAT chunks and
 undoes the filters with numpy.  The hash takes the 8 x 8 lowest frequencies of an integer cosine transform of
 the 32 x 32 grey image, so it is the same on every machine.
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sentrygrid.llm.common import id_text
+from sentrygrid.llm.common import id_text, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes a row of 64 RGB pixels.
@@ -152,8 +152,8 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def _store(with_media: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(lo, 500), []
+            for part in slices(batch, "text", 4 << 20):
+                rows = []
                 for doc, raw in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     blob = encode_png(pad_payload(raw))
                     image = decode_png(blob)

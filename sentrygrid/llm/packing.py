@@ -3,9 +3,10 @@
 A document's ids (with an end id) are cut into full windows and a tail shorter than a window.  The histogram of
 tail lengths, at most ``window`` - 1 numbers, goes to the driver, which
 
-1. enumerates the combinations of two or three lengths that fill a window exactly,
-2. solves for their repeat counts by non-negative least squares against the histogram (projected gradient steps),
-3. rounds the counts, largest first, to what the histogram still holds,
+1. enumerates the combinations of two to ``DEPTH`` lengths that fill a window exactly,
+2. solves for their repeat counts by non-negative least squares against the histogram (coordinate descent from zero),
+3. rounds the counts to the nearest number and places them, largest first, within what the histogram still holds; then
+   solves again for what is left, ``ROUNDS`` times in all,
 4. packs the residual lengths greedily, best fit in descending order, keeping windows that are nearly full, and
 5. cuts what is left into powers of two, which fill windows without gaps.
 
@@ -33,12 +34,13 @@ from sentrygrid.llm.common import buckets_for, hash_bucket, id_text, materialize
 WINDOW, END_ID = 2048, 1
 #: A greedily packed window may stay this much short of full.
 SLACK = 0.01
-#: Steps of the projected-gradient solver.
-STEPS = 60
+#: Passes of the solver over all combinations, solutions that are rounded and placed one after another, and the most
+#: lengths of a combination, 2 or 3: a plan takes time with window ** (DEPTH - 1).
+PASSES, ROUNDS, DEPTH = 1, 4, 3
 
 
 # ---------------------------------------------------------------- the plan, from the histogram alone
-def combinations(lengths: np.ndarray, window: int, deepest: int = 3) -> np.ndarray:
+def combinations(lengths: np.ndarray, window: int, deepest: int = DEPTH) -> np.ndarray:
     """Rows of three ascending lengths (0: unused) that add up to the window, all of them present."""
     present = np.zeros(window + 1, bool)
     present[lengths] = True
@@ -53,33 +55,29 @@ def combinations(lengths: np.ndarray, window: int, deepest: int = 3) -> np.ndarr
     return np.concatenate(rows)
 
 
-def nnls(combos: np.ndarray, target: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Minimise |A x - target| over x >= 0, where column j of A counts the lengths of combination j."""
-    if not len(combos):
-        return np.zeros(0)
-    use = combos > 0
-    size = len(target)
-    flat = combos.ravel()
-
-    def forward(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(flat, weights=np.repeat(x, 3), minlength=size)
-        out[0] = 0
-        return out
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return (r[combos] * use).sum(axis=1)
-
-    v = np.ones(len(combos))
-    for _ in range(8):  # the largest eigenvalue of A'A, for the step
-        v = back(forward(v))
-        bound = np.linalg.norm(v)
-        v /= bound
-    x = y = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0, y - back(forward(y) - target) / (1.05 * bound))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
+def nnls(combos: np.ndarray, target: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Minimise |A x - target| over x >= 0, where column j of A counts the lengths of combination j.
+
+    One combination at a time takes its best count given the others; a pass that changes nothing ends the search."""
+    x = np.zeros(len(combos))
+    rest = target.astype(float)
+    rest[0] = 0.0
+    columns = [[(p, parts.count(p)) for p in set(parts) if p] for parts in combos.tolist()]
+    norms = [sum(k * k for _, k in c) for c in columns]
+    for _ in range(passes):
+        pull = np.where(combos > 0, rest[combos], 0.0).sum(axis=1)
+        todo = np.flatnonzero((pull > 1e-6) | ((x > 0) & (np.abs(pull) > 1e-6)))
+        if not len(todo):
+            break
+        left = rest.tolist()
+        for j in todo[np.argsort(-pull[todo], kind="stable")].tolist():
+            old = x[j]
+            new = max(0.0, old + sum(k * left[p] for p, k in columns[j]) / norms[j])
+            if new != old:
+                x[j] = new
+                for p, k in columns[j]:
+                    left[p] -= k * (new - old)
+        rest = np.array(left)
     return x
 
 
@@ -97,23 +95,23 @@ class Plan:
     sequences: int = 0
 
 
-def make_plan(hist: dict[int, int], window: int = WINDOW, slack: float = SLACK, steps: int = STEPS) -> Plan:
+def make_plan(hist: dict[int, int], window: int = WINDOW, slack: float = SLACK, passes: int = PASSES, rounds: int = ROUNDS, deepest: int = DEPTH) -> Plan:
     left = np.zeros(window + 1, np.int64)
     for n, c in hist.items():
         left[n] = c
-    target = left.astype(float)
-    combos = combinations(np.flatnonzero(left), window, 3 if window <= 2048 else 2)
-    x = nnls(combos, target, steps)
     shapes: list[tuple[list[int], int]] = []
-    order = np.argsort(-x, kind="stable")
-    for parts, repeat in zip(combos[order].tolist(), np.ceil(np.maximum(x[order], 1e-9)).astype(np.int64).tolist(), strict=True):
-        parts = [p for p in parts if p]
-        need = {p: parts.count(p) for p in parts}
-        n = min(repeat, *(int(left[p]) // k for p, k in need.items()))
-        if n > 0:
-            shapes.append((parts, n))
-            for p, k in need.items():
-                left[p] -= n * k
+    for _ in range(rounds):
+        combos = combinations(np.flatnonzero(left), window, deepest)
+        x = np.floor(nnls(combos, left.astype(float), passes) + 0.5).astype(np.int64)
+        order = np.argsort(-x, kind="stable")[: np.count_nonzero(x)]
+        for parts, repeat in zip(combos[order].tolist(), x[order].tolist(), strict=True):
+            parts = [p for p in parts if p]
+            need = {p: parts.count(p) for p in parts}
+            n = min(repeat, *(int(left[p]) // k for p, k in need.items()))
+            if n > 0:
+                shapes.append((parts, n))
+                for p, k in need.items():
+                    left[p] -= n * k
     # Residual lengths, best fit in descending order, on counts: open[s] lists the shapes with s tokens to spare.
     spare: dict[int, list[tuple[list[int], int]]] = {}
     sizes: list[int] = []  # sorted keys of spare

@@ -1,12 +1,13 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of whitespace-separated words.
 
-The tokenizer used here never joins characters across ASCII white space (it drops white space and splits words
-before merging), so a text's ids are its words' ids in order.  A worker keeps the ids of words it has met, up to
+The tokenizer must drop white space and split there before merging, so that a text's ids are its words' ids in order;
+its file says so, and other tokenizers are refused.  A worker keeps the ids of words it has met, up to
 ``CACHE_WORDS``; unseen words go to the library in batches.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -18,6 +19,10 @@ CACHE_PARTS = 250_000
 #: A word that is letters with trailing marks splits into exactly those two parts; both go to the library joined by spaces.
 _SIMPLE = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#*&|)\\]}]*)")
 
+# Pre-tokenizers that drop white space, and the pattern whose pieces are kept by a split that removes the rest.
+DROPS_SPACE = ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -28,6 +33,16 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = lambda node, inside: (node or {}).get(inside) or ([node] if node else [])
+        first = (steps(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+        pieces = first.get("pattern", {}).get("Regex") if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") else None
+        if pieces != PIECES and first.get("type") not in DROPS_SPACE:
+            raise ValueError(f"{path}: words may not be encoded one by one")
+        lowers = any(n["type"] == "Lowercase" for n in steps(spec.get("normalizer"), "normalizers"))
+        #: Whether letters and the marks after them are separate pieces that end in a token of their own.
+        self.by_parts = pieces == PIECES and lowers and spec["model"].get("end_of_word_suffix") == "</w>"
         ends = [t.endswith("</w>") for t, _ in sorted(self.tok.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])]
         self.ends = np.array([*ends, *[False] * 64])
         self.words: dict[bytes, bytes] = {}
@@ -55,7 +70,7 @@ class WordEncoder:
         for w in unseen:
             t = w.decode()
             m = _SIMPLE.fullmatch(t)
-            if m and t:
+            if m and t and self.by_parts:
                 simple.append((w, m[1].lower(), m[2]))  # the tokenizer lower-cases; these letters keep their number and kind
             else:
                 odd.append((w, t))

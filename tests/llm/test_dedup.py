@@ -8,6 +8,7 @@ import string
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sentrygrid.llm import exact_dedup as ed
 from sentrygrid.llm import near_dedup as nd
@@ -19,15 +20,18 @@ LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 def test_cuckoo_filter():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    f = ed.CuckooFilter(64)
-    for k in keys:
-        f.insert(k)
-    assert f.resizes > 0 and all(f.verified(k) for k in keys)
+    bucket = ed.IndexBucket()
+    for i, k in enumerate(keys):
+        bucket.add(k, i, 1)
+        bucket.add(k, i + 7, 2)
+    f = bucket.live
+    assert f.resizes > 0 and all(f.maybe(k) and bucket.find(k) == [i, 3] for i, k in enumerate(keys))
     for k in keys[::2]:
-        assert f.delete(k) and not f.delete(k)
-    assert all(f.verified(k) for k in keys[1::2]) and not any(f.verified(k) for k in keys[::2])
+        bucket.remove(k)
+        bucket.remove(k)
+    assert all(bucket.find(k) for k in keys[1::2]) and not any(bucket.find(k) for k in keys[::2]) and f.held == 2500
     others = [hashlib.sha256(f"o{i}".encode()).digest() for i in range(20000)]
-    assert sum(map(f.maybe, others)) < 60 and not any(map(f.verified, others))
+    assert sum(map(f.maybe, others)) < 60 and not any(map(bucket.find, others))
 
 
 def test_exact_groups(spark):
@@ -51,11 +55,28 @@ def test_exact_groups(spark):
 
 
 def test_index_maintenance(spark):
+    rng = random.Random(4)
+    live = [(rng.randrange(9), f"t{rng.randrange(12)}") for _ in range(60)] + [(None, "t1"), (3, "hot"), (2, "hot")]
+    changes = [(i, rng.choice(["insert", "delete", "delete"]), rng.randrange(9), f"t{rng.randrange(14)}") for i in range(200)]
+    changes += [(900, "delete", 3, "hot"), (901, "delete", 2, "hot"), (902, "delete", 2, "hot"), (903, "insert", 8, "hot"), (904, "delete", None, "t1")]
+    want = {}
+    for op, doc, t in [("insert", *x) for x in live] + [(op, d, t) for _, op, d, t in changes]:
+        held = want.setdefault(t, [])
+        if op == "insert":
+            held.append(doc)
+        elif doc in held:
+            held.remove(doc)
     d = lambda x: bytearray(hashlib.sha256(x.encode()).digest())
-    live = spark.createDataFrame([(1, d("a")), (2, d("a")), (3, d("b"))], "doc_id long, digest binary")
-    changes = spark.createDataFrame([(1, "delete", 1, d("a")), (2, "delete", 3, d("b")), (3, "insert", 9, d("c")), (4, "delete", 77, d("zz")), (5, "insert", 0, d("a"))], "seq long, op string, doc_id long, digest binary")
-    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in ed.maintain_index(live, changes, 3).collect()}
-    assert got == {bytes(d("a")): (0, 2), bytes(d("c")): (9, 1)}
+    before = spark.createDataFrame([(i, d(t)) for i, t in live], "doc_id long, digest binary")
+    after = spark.createDataFrame([(s, op, i, d(t)) for s, op, i, t in changes], "seq long, op string, doc_id long, digest binary")
+    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in ed.maintain_index(before, after, 3).collect()}
+    assert got == {bytes(d(t)): (min((x for x in v if x is not None), default=None), len(v)) for t, v in want.items() if v}
+
+
+def test_many_repeats_of_a_row(spark):
+    df = spark.createDataFrame([(7, "x")], "doc_id long, text string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("i")
+    got = ed.dedup_groups(spark, df).groupBy("doc_id", "group_size", "kept").count().collect()
+    assert sorted((r.kept, r.group_size, r["count"]) for r in got) == [(False, 10_000, 9_999), (True, 10_000, 1)]
 
 
 def words_of(t):

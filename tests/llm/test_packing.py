@@ -115,7 +115,7 @@ def test_least_squares_meets_an_exact_histogram():
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, W - 1), st.integers(1, 40), max_size=20))
 def test_plan_places_every_tail(hist):
-    plan = make_plan(hist, W, steps=20)
+    plan = make_plan(hist, W)
     room = {}
     for length, n in hist.items():
         first, seq, offset = plan.runs.get(length, ((), (), ()))

@@ -2,13 +2,18 @@
 
 import hashlib
 import math
+import random
+import re
 import struct
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from sentrygrid.llm import bpe, language_id, media, sharding
+from sentrygrid.llm import bpe, language_id, media, sharding, word_ids
 from sentrygrid.llm.queries import tokenizer
 
 DE = "der Hund und die Katze gehen nicht in den Garten weil es regnet und sie schlafen lieber auf dem Sofa"
@@ -152,3 +157,63 @@ def test_cosine_hash_survives_small_changes():
     other[1000] = ord("X")
     a, b = (int(media.cosine_hash(media.decode_png(media.encode_png(media.pad_payload(bytes(x))))), 16) for x in (base, other))
     assert (a ^ b).bit_count() <= 6
+
+
+def test_long_words_and_unknown_tokenizers(tmp_path):
+    """Words of hundreds of thousands of bytes take time with their length, and tokenizers that join words are refused."""
+    rng = random.Random(2)
+    path = tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    words = ["".join(rng.choices("abcdefgh", k=bpe.LONG + d)) for d in (-1, 0, 1, 5000)] + ["語" * 3000, "ab" * 20_000]
+    texts = [*words, " ".join(words), words[2] + " " + words[2]]
+    got = bpe.TrieBpe(path).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    began = time.monotonic()
+    bpe.TrieBpe(path).encode(["".join(rng.choices("abcdefgh", k=500_000))])
+    assert time.monotonic() - began < 60
+    with pytest.raises(ValueError, match="one by one"):
+        word_ids.WordEncoder(path)
+
+
+def test_ngrams_of_long_texts_equal_short_counts(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(3000)) + "12, !x"
+    whole = language_id.ngrams(text)
+    monkeypatch.setattr(language_id, "PART", 37)
+    parts = language_id.ngrams(text)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_predictions_equal_brute_force(spark):
+    """Profiles, out-of-place distances and scores by plain loops."""
+    rng = random.Random(7)
+    letters = {"aa": "abcde fgh", "bb": "xyzde fgh", "cc": "klmno pqé"}
+    rows = [(i, "".join(rng.choices(letters[lang], k=rng.randint(5, 300))), lang) for i, lang in enumerate(rng.choices(list(letters), k=120))] + [(500, None, "aa"), (501, "12 34", "bb"), (502, "", None)]
+
+    def grams(t):
+        marked = "\x01" + re.sub("\x01+", "\x01", "".join(c if c.isalpha() else "\x01" for c in t.lower())).strip("\x01") + "\x01"
+        out = Counter(c for c in marked if c != "\x01")
+        out.update(marked[i : i + 2] for i in range(len(marked) - 1))
+        out.update(marked[i : i + 3] for i in range(len(marked) - 2) if marked[i + 1] != "\x01")
+        return out
+
+    def best(counts):
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][: language_id.PROFILE]
+
+    learned = {}
+    for d, t, lang in rows:
+        if t and lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(grams(t) if any(c.isalpha() for c in t) else {})
+    profiles = {lang: {g: r for r, g in enumerate(best(c))} for lang, c in learned.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark, df, language_id.fit(df)).collect()}
+    for d, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[d] == ("und", 0.0)
+            continue
+        mine = best(grams(t))
+        away = {lang: sum(min(abs(p[g] - r), language_id.PROFILE) if g in p else language_id.PROFILE for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        lang = min(sorted(away), key=away.get)
+        score = 1 / sum(math.exp(-language_id.SHARPNESS * (a - away[lang]) / (language_id.PROFILE * len(mine))) for a in away.values())
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score)
