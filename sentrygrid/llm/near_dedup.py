@@ -11,10 +11,13 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
 4. Pairs are confirmed on the full sets, computed again from the texts: first each class with the pivot it shares most
    buckets with, which gives a forest whose trees are the components so far.
 5. Classes whose best pivots are at all alike (``FAMILY``) form families.  In a family that still holds several
-   components, the classes outside its largest component are compared, block by block, with that component and with
-   each other; only links that join something new are emitted, so a large family costs rows by blocks, not by pairs.
-   In buckets that hold several families, the pairs of different families are compared one by one.
-   A true link inside a bucket is thus left out only if it joins nothing new.
+   components, the classes outside its largest component are compared by registers with that component and with each
+   other; in buckets that hold several families, classes of different families are compared alike.  Groups are cut
+   into blocks of ``GROUP`` classes and a task compares two blocks, so that registers, never texts, are repeated, by
+   blocks and not by pairs.  Only pairs of different components whose estimate is high enough leave a task.
+   Of these each class confirms its likeliest ones on full sets first; pairs that the links so far have joined are
+   dropped before the next, larger round, until none is left.  A true link inside a bucket is thus left out only if it
+   joins nothing new.
 6. Components are the transitive closure of the confirmed links.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
@@ -32,10 +35,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import id_text, materialize, slices, text_buffers
+from sentrygrid.llm.common import id_text, materialize, salted_join, slices, text_buffers
 from sentrygrid.llm.components import components, roots
 
 SHINGLE = 5
@@ -46,8 +49,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 #: Estimates this far below the threshold (about five standard errors) rule a pair out.
 MARGIN = 0.15
-#: Pairs of one pivot that one task confirms, and classes of a block.
-GROUP = 256
+#: Classes of a block and pairs of one pivot that one task confirms; pairs a class confirms in the first round, and the growth of later rounds.
+GROUP, FIRST, GROWTH = 1024, 4, 8
+#: Equal registers that a pair needs to be estimated at all: a pair at the threshold has about 150, with a deviation of 6.
+EQUAL = 100
 #: Likeness to the best pivot that makes a class one of its family.
 FAMILY = 0.3
 
@@ -256,77 +261,108 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
 
-def _crossing(rows: list[tuple]) -> list[tuple[int, int]]:
-    """One pair of blocks, rows (code, left code, id, component, set): links between different components, none that joins nothing new."""
-    left, right = ([r for r in rows if r[0] == code] for code in (rows[0][1], rows[0][2]))
-    same = rows[0][1] == rows[0][2]
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    def sketched(side: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        sets = [np.frombuffer(r[5], np.uint64) for r in side]
-        sizes = np.array([len(x) for x in sets])
-        return sets, sizes, registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
-
+def _crossing(rows: list[tuple], same: bool) -> list[tuple[int, int, float]]:
+    """Likely pairs (u, v, estimate) of different components between two blocks, or within one: rows (left, id, component, size, registers)."""
+    left, right = rows if same else [r for r in rows if r[0]], rows if same else [r for r in rows if not r[0]]
     if not left or not right:
         return []
-    (sets_l, n_l, r_l), (sets_r, n_r, r_r) = sketched(left), sketched(right)
+    ids, comps, sizes = (np.array([r[i] for r in right], np.int64) for i in (1, 2, 3))
+    regs = np.frombuffer(b"".join(r[4] for r in right), np.uint16).reshape(len(right), REGISTERS)
     out = []
-    for i, x in enumerate(left):
-        fit = np.flatnonzero(DENOMINATOR * np.minimum(n_l[i], n_r) >= NUMERATOR * np.maximum(n_l[i], n_r))
+    for i, (_, doc, comp, n, own) in enumerate(left):
+        fit = np.flatnonzero((comps != comp) & (DENOMINATOR * np.minimum(n, sizes) >= NUMERATOR * np.maximum(n, sizes)))
         if same:
             fit = fit[fit > i]
-        if not len(fit):
-            continue
-        est = similarity(np.broadcast_to(r_l[i], (len(fit), REGISTERS)), r_r[fit], np.full(len(fit), float(n_l[i])), n_r[fit].astype(float))
-        for j in fit[est >= LIKELY].tolist():
-            a, b = find(x[4]), find(right[j][4])
-            if a != b and alike(sets_l[i], sets_r[j]):
-                out.append((x[3], right[j][3]))
-                root[max(a, b)] = min(a, b)
+        mine = np.frombuffer(own, np.uint16)
+        fit = fit[(regs[fit] == mine).sum(axis=1) >= EQUAL]
+        if len(fit):
+            est = similarity(np.broadcast_to(mine, (len(fit), REGISTERS)), regs[fit], np.full(len(fit), float(n)), sizes[fit].astype(float))
+            out += [(doc, int(ids[j]), float(e)) for j, e in zip(fit.tolist(), est.tolist(), strict=True) if e >= LIKELY]
     return out
 
 
-def _block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+CROSSED = "u long, v long, est double"
+
+
+def _block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pair of blocks; two blocks are held at a time."""
     held: list[tuple] = []
     key = None
+
+    def flushed() -> pa.RecordBatch:
+        pairs = _crossing(held, key[1] == key[2]) if held else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "est"])
+
     for batch in batches:
-        links = []
-        for family, l, r, code, doc, comp, members in zip(*(batch.column(c).to_pylist() for c in ("family", "l", "r", "code", "id", "component", "members")), strict=True):
-            if key != (family, l, r):
+        for group, l, r, code, doc, comp, n, regs in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "r", "code", "id", "component", "n_shingles", "registers")), strict=True):
+            if key != (group, l, r):
                 if held:
-                    links += _crossing(held)
-                held, key = [], (family, l, r)
-            held.append((code, l, r, doc, comp, members))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+                    yield flushed()
+                held, key = [], (group, l, r)
+            held.append((code == l, doc, comp, n, regs))
     if held:
-        links = _crossing(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
-
-
-def _family_links(spark: SparkSession, families: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components within families, block by block.  Blocks of the largest component meet blocks of the
-    other classes (codes below and from 0), and those meet each other."""
-    placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").select("id", "family", F.coalesce("found", "id").alias("component"))
-    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / GROUP), F.lit(1)).cast("int")
-    per = per.select("family", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("nb_g"), blocks(F.col("n") - F.col("top.n")).alias("nb_s"))
-    rows = placed.join(per, "family").withColumn("inner", F.col("component") == F.col("largest"))
-    own = F.when(F.col("inner"), -1 - F.pmod(F.xxhash64("id"), F.col("nb_g"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb_s"))).cast("int")
-    rows = rows.withColumn("code", own)
-    strays, core = F.sequence(F.lit(0), F.col("nb_s") - 1), F.transform(F.sequence(F.lit(0), F.col("nb_g") - 1), lambda j: -1 - j)
-    others = F.when(F.col("inner"), strays).otherwise(F.concat(strays, core))
-    rows = rows.select("id", "family", "component", "code", F.explode(others).alias("other")).select("id", "family", "component", "code", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"))
-    rows = materialize(spark, rows, "blocks")
-    read = texts.hint("merge").join(rows, "id").select("family", "l", "r", "code", "id", "component", "text").mapInArrow(_sets, "family long, l int, r int, code int, id long, component long, members binary")
-    dealt = read.repartition("family", "l", "r").sortWithinPartitions("family", "l", "r", "id")
-    return materialize(spark, dealt.mapInArrow(_block_links, "u long, v long"), "links-blocks")
+        yield flushed()
+
+
+def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: DataFrame, tag: str) -> DataFrame:
+    """Likely pairs of different components within groups, each once.
+
+    ``members``: (group, id, component, inner); ``per``: (group, nb_g, nb_s), the numbers of blocks of inner members,
+    which are not compared with each other, and of the others.  Inner blocks have codes below 0."""
+    rows = salted_join(members, per, ["group"], "id")
+    code = F.when(F.col("inner"), -1 - F.pmod(F.xxhash64("id"), F.col("nb_g"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb_s"))).cast("int")
+    rows = rows.withColumn("code", code)
+    outer, core = F.sequence(F.lit(0), F.col("nb_s") - 1), F.when(F.col("nb_g") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nb_g") - 1, F.lit(0))), lambda j: -1 - j)).otherwise(F.array().cast("array<int>"))
+    others = F.when(F.col("inner"), outer).otherwise(F.concat(outer, core))
+    rows = rows.select("group", "id", "component", "code", F.explode(others).alias("other")).select("group", "id", "component", "code", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"))
+    full = reps.select("id", "n_shingles", "registers").hint("merge").join(rows, "id").select("group", "l", "r", "code", "id", "component", "n_shingles", "registers")
+    dealt = full.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", "id")
+    pairs = dealt.mapInArrow(_block_pairs, CROSSED).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "est")
+    return materialize(spark, pairs.groupBy("u", "v").agg(F.max("est").alias("est")), tag)
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / GROUP).cast("int")
+
+
+def _family_pairs(spark: SparkSession, families: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely pairs of different components within families: the classes outside the largest component with it and with each other."""
+    placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").select(F.col("family").alias("group"), "id", F.coalesce("found", "id").alias("component"))
+    placed = materialize(spark, placed, "families-placed")
+    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    per = per.select("group", F.col("top.component").alias("largest"), _blocks(F.col("top.n")).alias("nb_g"), _blocks(F.col("n") - F.col("top.n")).alias("nb_s"))
+    members = salted_join(placed, per.select("group", "largest"), ["group"], "id").select("group", "id", "component", (F.col("component") == F.col("largest")).alias("inner"))
+    return _compared(spark, members, per.select("group", "nb_g", "nb_s"), reps, "family-pairs")
+
+
+def _bucket_pairs(spark: SparkSession, buckets: DataFrame, families: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely pairs of different families within one bucket."""
+    member = buckets.join(families, "id", "left").select(F.col("key").alias("group"), "id", F.coalesce("family", "id").alias("component"), F.lit(False).alias("inner"))
+    member = materialize(spark, member, "bucket-families")
+    mixed = member.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    return _compared(spark, member, mixed.select("group", F.lit(0).alias("nb_g"), _blocks(F.col("n")).alias("nb_s")), reps, "bucket-pairs")
+
+
+def _joined(spark: SparkSession, links: DataFrame, likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links with those of the likely pairs (u, v, est) that join something new, confirmed in rounds; each class's likeliest pairs first."""
+    most, comps = FIRST, None
+    while True:
+        left = likely
+        if comps is not None:
+            side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+            named = left.join(side("u"), "u", "left").join(side("v"), "v", "left")
+            left = named.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v", "est")
+        order = lambda c: Window.partitionBy(c).orderBy(F.desc("est"), "u", "v")
+        ranked = materialize(spark, left.withColumn("r", F.least(F.row_number().over(order("u")), F.row_number().over(order("v")))), "likely-ranked")
+        if ranked.isEmpty():
+            return links
+        links = links.unionByName(_verified(spark, ranked.where(F.col("r") <= most).select(F.col("u").alias("a"), F.col("v").alias("b")), texts, "links-likely"))
+        likely = ranked.where(F.col("r") > most).select("u", "v", "est")
+        if likely.isEmpty():
+            return links
+        comps = components(spark, links)
+        most *= GROWTH
 
 
 def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str, limit: float = LIKELY) -> DataFrame:
@@ -341,7 +377,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, tag: str)
     """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
     pairs = materialize(spark, pairs.select("a", "b"), f"{tag}-pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    partners = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
+    partners = salted_join(pairs, groups, ["a"], "b").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
     pivots = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
     wanted = partners.unionByName(pivots)
     read = texts.hint("merge").join(wanted, "id").select("a", "salt", "b", "text").mapInArrow(_sets, "a long, salt int, b long, members binary")
@@ -371,17 +407,8 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     links = _verified(spark, near.where(F.col("est") >= LIKELY), texts, "links-best")
     comps = roots(spark, links.select(F.col("v").alias("id"), F.col("u").alias("parent")).distinct())
     families = materialize(spark, roots(spark, near.select(F.col("b").alias("id"), F.col("a").alias("parent"))).withColumnRenamed("component", "family"), "families")
-    links = links.unionByName(_family_links(spark, families, comps, texts))
-
-    # Pairs of different families in one bucket.
-    member = buckets.join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
-    mixed = member.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(spark, member.join(mixed, "key").join(reps.select("id", "n_shingles"), "id"), "open")
-    x, y = (open_.select(F.col("key").alias(f"key_{c}"), F.col("id").alias(c), F.col("family").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
-    fit = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fit).select("a", "b").distinct()
-    links = links.unionByName(_verified(spark, _likely(spark, pairs, reps, "open-pairs"), texts, "links-open"))
-    comps = components(spark, links)
+    likely = _family_pairs(spark, families, comps, reps).unionByName(_bucket_pairs(spark, buckets, families, reps))
+    comps = components(spark, _joined(spark, links, likely, texts))
 
     named = reps.select("digest", F.col("id").alias("class_id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("found"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
