@@ -13,11 +13,10 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
 5. Classes whose best pivots are at all alike (``FAMILY``) form families.  In a family that still holds several
    components, the classes outside its largest component are compared by registers with that component and with each
    other; in buckets that hold several families, classes of different families are compared alike.  Groups are cut
-   into blocks of ``GROUP`` classes and a task compares two blocks, so that registers, never texts, are repeated, by
-   blocks and not by pairs.  Only pairs of different components whose estimate is high enough leave a task.
-   Of these each class confirms its likeliest ones on full sets first; pairs that the links so far have joined are
-   dropped before the next, larger round, until none is left.  A true link inside a bucket is thus left out only if it
-   joins nothing new.
+   into blocks of about ``GROUP`` classes or ``BLOCK_BYTES`` of sets, and a task compares the registers of two blocks.
+   Only classes with a likely pair of different components go on: their sets are read once for each pair of blocks that
+   needs them, and pairs that links found there have joined meanwhile are left out.  Texts are thus repeated by blocks
+   and not by pairs, and a true link inside a bucket is left out only if it joins nothing new.
 6. Components are the transitive closure of the confirmed links.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
@@ -35,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrygrid.llm.common import id_text, materialize, salted_join, slices, text_buffers
@@ -49,8 +48,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 #: Estimates this far below the threshold (about five standard errors) rule a pair out.
 MARGIN = 0.15
-#: Classes of a block and pairs of one pivot that one task confirms; pairs a class confirms in the first round, and the growth of later rounds.
-GROUP, FIRST, GROWTH = 1024, 4, 8
+#: Classes of a block and pairs of one pivot that one task confirms, about, and bytes of the sets of a block.
+GROUP, BLOCK_BYTES = 1024, 32 << 20
 #: Equal registers that a pair needs to be estimated at all: a pair at the threshold has about 150, with a deviation of 6.
 EQUAL = 100
 #: Likeness to the best pivot that makes a class one of its family.
@@ -281,31 +280,32 @@ def _crossing(rows: list[tuple], same: bool) -> list[tuple[int, int, float]]:
     return out
 
 
-CROSSED = "u long, v long, est double"
+CROSSED = "group long, l int, r int, u long, v long, est double"
 
 
 def _block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pair of blocks; two blocks are held at a time."""
     held: list[tuple] = []
-    key = None
+    key = (0, 0, 0)
 
     def flushed() -> pa.RecordBatch:
-        pairs = _crossing(held, key[1] == key[2]) if held else []
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "est"])
+        pairs = [(*key, *x) for x in _crossing(held, key[1] == key[2])]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], t) for i, t in enumerate(types)], [c.split()[0] for c in CROSSED.split(", ")])
 
     for batch in batches:
         for group, l, r, code, doc, comp, n, regs in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "r", "code", "id", "component", "n_shingles", "registers")), strict=True):
-            if key != (group, l, r):
-                if held:
-                    yield flushed()
-                held, key = [], (group, l, r)
+            if held and key != (group, l, r):
+                yield flushed()
+                held = []
+            key = (group, l, r)
             held.append((code == l, doc, comp, n, regs))
     if held:
         yield flushed()
 
 
 def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: DataFrame, tag: str) -> DataFrame:
-    """Likely pairs of different components within groups, each once.
+    """Likely pairs of different components within groups, each once, with the blocks in which they met.
 
     ``members``: (group, id, component, inner); ``per``: (group, nb_g, nb_s), the numbers of blocks of inner members,
     which are not compared with each other, and of the others.  Inner blocks have codes below 0."""
@@ -317,52 +317,66 @@ def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: Dat
     rows = rows.select("group", "id", "component", "code", F.explode(others).alias("other")).select("group", "id", "component", "code", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"))
     full = reps.select("id", "n_shingles", "registers").hint("merge").join(rows, "id").select("group", "l", "r", "code", "id", "component", "n_shingles", "registers")
     dealt = full.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", "id")
-    pairs = dealt.mapInArrow(_block_pairs, CROSSED).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "est")
-    return materialize(spark, pairs.groupBy("u", "v").agg(F.max("est").alias("est")), tag)
+    pairs = dealt.mapInArrow(_block_pairs, CROSSED).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return materialize(spark, pairs.agg(F.max("est").alias("est"), F.min(F.struct("group", "l", "r")).alias("met")).select("met.group", "met.l", "met.r", "u", "v", "est"), tag)
+
+
+def _new_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair of blocks: first the sets that it needs (id in u, component in v), then its pairs, likeliest first."""
+    key, sets, root = None, {}, {}
 
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for batch in batches:
+        links = []
+        for group, l, r, u, v, members in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "r", "u", "v", "members")), strict=True):
+            if key != (group, l, r):
+                key, sets, root = (group, l, r), {}, {}
+            if members is not None:
+                sets[u] = (v, np.frombuffer(members, np.uint64))
+                continue
+            a, b = find(sets[u][0]), find(sets[v][0])
+            if a != b and alike(sets[u][1], sets[v][1]):
+                links.append((u, v))
+                root[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / GROUP).cast("int")
+
+def _joining(spark: SparkSession, likely: DataFrame, comps: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """The likely pairs of ``_compared`` that are similar enough on full sets and, within their blocks, join something new: edges (u, v)."""
+    needed = likely.select("group", "l", "r", "u").unionByName(likely.select("group", "l", "r", F.col("v").alias("u"))).distinct()
+    named = needed.join(comps.select(F.col("id").alias("u"), "component"), "u", "left").select("group", "l", "r", F.col("u").alias("id"), F.coalesce("component", "u").alias("v"))
+    named = materialize(spark, named, f"{tag}-needed")
+    sets = texts.hint("merge").join(named, "id").select("group", "l", "r", F.col("id").alias("u"), "v", "text").mapInArrow(_sets, "group long, l int, r int, u long, v long, members binary")
+    rows = sets.withColumn("est", F.lit(None).cast("double")).unionByName(likely.withColumn("members", F.lit(None).cast("binary")))
+    dealt = rows.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", F.col("est").desc_nulls_first(), "u", "v")
+    return materialize(spark, dealt.mapInArrow(_new_links, "u long, v long"), tag)
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / GROUP), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
 
 
 def _family_pairs(spark: SparkSession, families: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     """Likely pairs of different components within families: the classes outside the largest component with it and with each other."""
-    placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").select(F.col("family").alias("group"), "id", F.coalesce("found", "id").alias("component"))
-    placed = materialize(spark, placed, "families-placed")
-    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    per = per.select("group", F.col("top.component").alias("largest"), _blocks(F.col("top.n")).alias("nb_g"), _blocks(F.col("n") - F.col("top.n")).alias("nb_s"))
+    placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").join(reps.select("id", "n_shingles"), "id")
+    placed = materialize(spark, placed.select(F.col("family").alias("group"), "id", F.coalesce("found", "id").alias("component"), "n_shingles"), "families-placed")
+    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    per = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    per = per.select("group", F.col("top.component").alias("largest"), _blocks(F.col("top.n"), F.col("top.s")).alias("nb_g"), _blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("nb_s"))
     members = salted_join(placed, per.select("group", "largest"), ["group"], "id").select("group", "id", "component", (F.col("component") == F.col("largest")).alias("inner"))
     return _compared(spark, members, per.select("group", "nb_g", "nb_s"), reps, "family-pairs")
 
 
 def _bucket_pairs(spark: SparkSession, buckets: DataFrame, families: DataFrame, reps: DataFrame) -> DataFrame:
     """Likely pairs of different families within one bucket."""
-    member = buckets.join(families, "id", "left").select(F.col("key").alias("group"), "id", F.coalesce("family", "id").alias("component"), F.lit(False).alias("inner"))
-    member = materialize(spark, member, "bucket-families")
-    mixed = member.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    return _compared(spark, member, mixed.select("group", F.lit(0).alias("nb_g"), _blocks(F.col("n")).alias("nb_s")), reps, "bucket-pairs")
-
-
-def _joined(spark: SparkSession, links: DataFrame, likely: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links with those of the likely pairs (u, v, est) that join something new, confirmed in rounds; each class's likeliest pairs first."""
-    most, comps = FIRST, None
-    while True:
-        left = likely
-        if comps is not None:
-            side = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-            named = left.join(side("u"), "u", "left").join(side("v"), "v", "left")
-            left = named.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v", "est")
-        order = lambda c: Window.partitionBy(c).orderBy(F.desc("est"), "u", "v")
-        ranked = materialize(spark, left.withColumn("r", F.least(F.row_number().over(order("u")), F.row_number().over(order("v")))), "likely-ranked")
-        if ranked.isEmpty():
-            return links
-        links = links.unionByName(_verified(spark, ranked.where(F.col("r") <= most).select(F.col("u").alias("a"), F.col("v").alias("b")), texts, "links-likely"))
-        likely = ranked.where(F.col("r") > most).select("u", "v", "est")
-        if likely.isEmpty():
-            return links
-        comps = components(spark, links)
-        most *= GROWTH
+    member = buckets.join(families, "id", "left").join(reps.select("id", "n_shingles"), "id")
+    member = materialize(spark, member.select(F.col("key").alias("group"), "id", F.coalesce("family", "id").alias("component"), F.lit(False).alias("inner"), "n_shingles"), "bucket-families")
+    mixed = member.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo != hi")
+    return _compared(spark, member.drop("n_shingles"), mixed.select("group", F.lit(0).alias("nb_g"), _blocks(F.col("n"), F.col("s")).alias("nb_s")), reps, "bucket-pairs")
 
 
 def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str, limit: float = LIKELY) -> DataFrame:
@@ -407,8 +421,12 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     links = _verified(spark, near.where(F.col("est") >= LIKELY), texts, "links-best")
     comps = roots(spark, links.select(F.col("v").alias("id"), F.col("u").alias("parent")).distinct())
     families = materialize(spark, roots(spark, near.select(F.col("b").alias("id"), F.col("a").alias("parent"))).withColumnRenamed("component", "family"), "families")
-    likely = _family_pairs(spark, families, comps, reps).unionByName(_bucket_pairs(spark, buckets, families, reps))
-    comps = components(spark, _joined(spark, links, likely, texts))
+    within = _joining(spark, _family_pairs(spark, families, comps, reps), comps, texts, "links-families")
+    if not within.isEmpty():
+        links = links.unionByName(within)
+        comps = components(spark, links)
+    links = links.unionByName(_joining(spark, _bucket_pairs(spark, buckets, families, reps), comps, texts, "links-buckets"))
+    comps = components(spark, links)
 
     named = reps.select("digest", F.col("id").alias("class_id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("found"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
