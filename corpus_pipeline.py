@@ -1,6 +1,6 @@
 """The corpus pipeline: stages of operators, each reading what its predecessor wrote.
 
-Language ID drops documents without a language, exact and near deduplication keep one document of each group, PII
+Language ID drops documents without a language and writes the language of the others to `lang`, exact and near deduplication keep one document of each group, PII
 spans are replaced by marks, and packing lays what is left into sequences.  All stages but the last return the
 columns of ``documents``.
 """
@@ -15,7 +15,7 @@ from sentrygrid.llm.queries import tokenizer
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Profiles are fitted on the stage's own documents; documents without a language go."""
+    """Profiles are fitted on the stage's own documents; documents without a language go, the others get theirs."""
     return language_id.keep_identified(spark, docs, language_id.fit(docs))
 
 
