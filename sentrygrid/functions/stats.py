@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +25,35 @@ def mean_percentile(below: Column, upto: Column, n: Column) -> Column:
     return F.coalesce(F.least(F.greatest(F.try_divide(below + upto, 2.0 * n), F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
 
 
+#: Terms of the Poisson sum on either side: beyond 12 standard deviations and 60 terms nothing reaches double precision.
+SPREAD, EXTRA = 12.0, 60.0
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x >= 1 by Stirling's series from x + 8 on."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
+    below = x
+    for i in range(1, 8):
+        below = below * (x + i)
+    return series - F.log(below)
+
+
 def poisson_cdf(k: Column, mu: Column) -> Column:
-    """P(X <= k) by sums in log space, so that large means do not underflow term by term."""
-    log_pmf = F.aggregate(
-        F.sequence(F.lit(0), k.cast("int")),
-        F.struct((-mu).alias("term"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(
-            F.when(i == 0, -mu).otherwise(acc["term"] + F.log(mu) - F.log(F.greatest(i, F.lit(1)).cast("double"))).alias("term"),
-            (acc["sum"] + F.exp(F.when(i == 0, -mu).otherwise(acc["term"] + F.log(mu) - F.log(F.greatest(i, F.lit(1)).cast("double"))))).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
-    )
-    return F.when(mu > 0, F.least(log_pmf, F.lit(1.0))).otherwise(1.0)
+    """P(X <= k): terms from k down relative to the first, until they no longer count, scaled by the probability of k; from the
+    mean up the sum starts at most ``SPREAD`` deviations below it.  The number of terms grows with the root of the mean, not with k."""
+    top = F.least(k.cast("double"), F.floor(mu + SPREAD * F.sqrt(mu) + EXTRA))
+    low = F.greatest(F.least(top, F.floor(mu)) - F.ceil(SPREAD * F.sqrt(mu) + EXTRA), F.lit(0.0))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    down = F.sequence(F.lit(0), F.greatest(top - low - 1, F.lit(0.0)).cast("int"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = F.when(top - i > low, acc["term"] * (top - i) / mu).otherwise(0.0)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    ratio = F.aggregate(down, start, add, lambda acc: acc["sum"])
+    first = F.exp(top * F.log(mu) - mu - log_gamma(top + 1))
+    return F.when(mu > 0, F.least(first * ratio, F.lit(1.0))).otherwise(1.0)
 
 
 def entropy_bits(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ def scaled(months: DataFrame) -> DataFrame:
     return out.select("entity_id", "year_month", *[((F.col(f) - F.col(f"q_{f}")[1]) / spread(F.col(f"q_{f}"))).alias(f) for f in FEATURES])
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Computed once: written to the shared folder of ``spark.checkpoint.dir``, so that plans stay short, or cached where that is unset."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -56,7 +56,7 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
     Points go to the cell of their nearest pivot.  The k-th distance within a part of the cell bounds the true one, and
     a point visits every cell that the triangle inequality does not put beyond its bound."""
-    points = _kept(_first_names(rows, k))
+    points = kept(_first_names(rows, k))
     pivots = points.orderBy(F.xxhash64("p"), "p").limit(math.ceil(points.count() / block)).select("x").toPandas()["x"]
     centre = np.array(pivots.tolist(), float)
 
@@ -65,7 +65,7 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
             d = _distances(np.array(pdf["x"].tolist(), float), centre) if len(pdf) else np.zeros((0, 1))
             yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), away=d.min(axis=1))
 
-    placed = _kept(points.mapInPandas(place, "p string, x array<double>, names array<string>, cell int, away double"))
+    placed = kept(points.mapInPandas(place, "p string, x array<double>, names array<string>, cell int, away double"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()
     held, radius = np.zeros(len(centre), int), np.full(len(centre), -np.inf)
     held[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["radius"]
@@ -87,7 +87,7 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
     parted = placed.withColumn("part", _sub_blocks("p", dict(enumerate(held.tolist())), block))
     bounded = parted.groupBy("cell", "part").applyInPandas(bound, "p string, x array<double>, most double")
-    visitors = _kept(bounded.mapInPandas(visit, "p string, x array<double>, cell int"))
+    visitors = kept(bounded.mapInPandas(visit, "p string, x array<double>, cell int"))
     guests = {r["cell"]: r["count"] for r in visitors.groupBy("cell").count().collect()}
     every = lambda sizes: F.sequence(F.lit(0), F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, math.ceil(n / block) - 1)])[F.col("cell")])
     asked = visitors.withColumn("chunk", _sub_blocks("p", guests, block)).select("cell", F.explode(every({c: n for c, n in enumerate(held.tolist()) if n})).alias("part"), "chunk", "p", "x", F.lit(None).cast("array<string>").alias("names"))
@@ -117,11 +117,11 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
 def lof(points: DataFrame, k: int = THRESHOLDS.nov01_neighbors, block: int = BLOCK) -> DataFrame:
     """Local outlier factor of every row (Breunig et al. 2000) with exactly k neighbours among all rows, ties broken by row key."""
-    rows = _kept(points.select(F.concat_ws("/", "entity_id", "year_month").alias("a"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x")))
+    rows = kept(points.select(F.concat_ws("/", "entity_id", "year_month").alias("a"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x")))
     k = min(k, rows.count() - 1)
     if k < 2:
         return points.select("entity_id", "year_month", F.lit(None).cast("double").alias("lof"))
-    near = _kept(nearest(rows, k, block))
+    near = kept(nearest(rows, k, block))
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
     density = near.join(reach.select(F.col("a").alias("b"), "kd"), "b").groupBy("a").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     ratio = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lrd_b")), "b").groupBy("a").agg(F.avg("lrd_b").alias("around"))

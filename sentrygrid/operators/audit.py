@@ -7,7 +7,7 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -53,10 +53,12 @@ def append_entry(path: str | Path, event_type: str, run_id: str, data_hash: str,
 
 
 def verify(entries: DataFrame) -> DataFrame:
-    """Each entry with whether it links to the one before and whether its own hash holds.  One chain is one ordered log."""
-    before = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy(F.lit(1)).orderBy("entry_id"))
+    """Each entry with whether it links to the one before and whether its own hash holds: every entry looks up its predecessor by number."""
+    prior = entries.select((F.col("entry_id") + 1).alias("entry_id"), F.col("entry_hash").alias("__before"))
+    entries = entries.join(prior, "entry_id", "left")
+    before = F.when(F.col("entry_id") == 1, GENESIS).otherwise(F.col("__before"))
     own = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in FIELDS]), 256)
-    return entries.withColumn("link_ok", F.col("prev_hash") == before).withColumn("hash_ok", F.col("entry_hash") == own)
+    return entries.withColumn("link_ok", F.coalesce(F.col("prev_hash") == before, F.lit(False))).withColumn("hash_ok", F.col("entry_hash") == own).drop("__before")
 
 
 def verdict(checked: DataFrame) -> DataFrame:

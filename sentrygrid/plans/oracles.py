@@ -24,7 +24,8 @@ FROM nation JOIN region ON n_regionkey = r_regionkey""")
 cte("assets", """
 SELECT 'C' || c_custkey AS asset_id, 'N' || c_nationkey AS entity_id,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'critical' WHEN 'MACHINERY' THEN 'high' WHEN 'HOUSEHOLD' THEN 'medium' ELSE 'low' END AS criticality,
-  c_acctbal >= 0 AS monitoring_expected FROM customer""")
+  c_acctbal >= 0 AS monitoring_expected FROM customer
+UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, ['critical', 'high', 'medium', 'low'][(s_suppkey % 4 + 1)::INT], s_acctbal >= 0 FROM supplier""")
 cte("alerts", """
 SELECT *, ack_us + (60 + floor(o_totalprice)::BIGINT % 7140) * 1000000 AS closed_us FROM (
   SELECT o_orderkey AS k, o_totalprice, 'O' || o_orderkey AS alert_id, 'N' || c_nationkey AS entity_id, 'C' || o_custkey AS asset_id, 'CAT' || (o_orderkey * 31 % 6) AS category,
@@ -50,8 +51,6 @@ WINDOW rep AS (PARTITION BY a.entity_id, asset_id, category ORDER BY created_us,
 cte("asf", """
 SELECT s.*, coalesce(t, 0) AS total_alerts, coalesce(cr, 0) AS critical_alerts, coalesce(hi, 0) AS high_alerts, coalesce(t, 0) = 0 AS is_silent
 FROM assets s LEFT JOIN (SELECT asset_id, count(*) AS t, count(*) FILTER (severity = 'critical') AS cr, count(*) FILTER (severity = 'high') AS hi FROM alerts GROUP BY 1) USING (asset_id)""")
-cte("half", "SELECT * FROM alerts WHERE make_timestamp(created_us) >= TIMESTAMP '1997-01-01' AND make_timestamp(created_us) < TIMESTAMP '1997-07-01'")
-cte("halfasf", "SELECT s.*, n IS NULL AS is_silent FROM assets s LEFT JOIN (SELECT asset_id, count(*) AS n FROM half GROUP BY 1) USING (asset_id)")
 cte("ec", "SELECT c.*, entity_id FROM cases c JOIN alerts USING (alert_id)")
 cte("gaps", """
 SELECT entity_id, day + 1 AS start, nxt AS "end", nxt - day - 1 AS days FROM (
@@ -98,6 +97,74 @@ peer AS (SELECT *, CASE WHEN 1.4826 * mad >= 1e-6 THEN greatest(least((value - m
 
 PEER = "entity_id, round(value, 6) AS value, cohort_level, peers, round(median, 6) AS median, round(mad, 6) AS mad, round(z, 6) AS z, round(percentile, 6) AS percentile"
 
+_VOLUME = "SELECT entity_id, count(*)::DOUBLE AS value FROM alerts GROUP BY 1"
+_ALERTS_PER_ASSET = "SELECT e.entity_id, coalesce(n, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS value FROM entities e LEFT JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS m FROM assets GROUP BY 1) USING (entity_id)"
+_COVERAGE = "SELECT entity_id, CASE WHEN c > 0 THEN least((c - s) / c::DOUBLE, m / c::DOUBLE) ELSE 1 END AS value FROM (SELECT entity_id, count(*) FILTER (criticality = 'critical') AS c, count(*) FILTER (criticality = 'critical' AND monitoring_expected) AS m, count(*) FILTER (criticality = 'critical' AND monitoring_expected AND is_silent) AS s FROM asf GROUP BY 1)"
+_SHARES = "SELECT entity_id, max(n) / any_value(rows)::DOUBLE AS value, arg_min(analyst_id, (-n, analyst_id)) AS analyst_id FROM ac JOIN (SELECT entity_id, count(*) AS rows FROM af WHERE ch GROUP BY 1) USING (entity_id) GROUP BY 1 HAVING any_value(rows) >= 10 AND count(*) >= 3"
+_EG01 = """
+own AS (SELECT alert_id, entity_id, severity, dur FROM af WHERE ch),
+rows AS (SELECT p.entity_id AS target, o.entity_id = p.entity_id AS mine, o.severity, o.dur FROM pairs p JOIN own o ON o.entity_id = p.peer),
+sizes AS (SELECT target, severity, count(*) FILTER (mine) AS n_own, count(*) AS n_all FROM rows GROUP BY ALL),
+ref AS (SELECT r.* FROM rows r JOIN sizes s USING (target, severity) WHERE n_own >= 5 AND n_all >= 5 AND (NOT mine OR n_all - n_own < 5)),
+s1 AS (SELECT target, severity, quantile_cont(dur, 5e-2) AS p5, median(dur) AS median, stddev_pop(dur) AS sd, count(*) AS n, list_sort(list(dur)) AS all_dur FROM ref GROUP BY ALL),
+s2 AS (SELECT target, severity, median(abs(dur - median)) AS mad FROM ref JOIN s1 USING (target, severity) GROUP BY ALL),
+ranks AS (SELECT target, severity, d.dur, count(*) FILTER (ref.dur < d.dur) AS lo, count(*) FILTER (ref.dur <= d.dur) AS hi
+  FROM (SELECT DISTINCT entity_id AS target, severity, dur FROM own) d JOIN ref USING (target, severity) GROUP BY ALL),
+done AS (SELECT o.entity_id, alert_id, o.severity, o.dur, p5, median, CASE WHEN 1.4826 * mad >= 1e-6 THEN greatest(least((o.dur - median) / (1.4826 * mad), 10), -10) WHEN sd >= 1e-6 THEN greatest(least((o.dur - median) / sd, 10), -10)
+  WHEN abs(o.dur - median) < 1e-6 THEN 0 ELSE sign(o.dur - median) * 3 END AS z, (lo + hi) / (2.0 * n) AS percentile
+  FROM own o JOIN s1 ON s1.target = o.entity_id AND s1.severity = o.severity JOIN s2 ON s2.target = s1.target AND s2.severity = s1.severity JOIN ranks k ON k.target = o.entity_id AND k.severity = o.severity AND k.dur = o.dur)"""
+_NOTES = """
+cnt AS (SELECT entity_id, trim(notes_text) AS note, count(*) AS n FROM ec WHERE length(trim(notes_text)) > 10 GROUP BY ALL),
+tot AS (SELECT entity_id, sum(n)::BIGINT AS notes FROM cnt GROUP BY 1),
+cas AS (SELECT entity_id, count(*) AS cases FROM ec GROUP BY 1),
+top AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, note) <= 5 AND n >= 5),
+words AS (SELECT entity_id, note, ' ' || w || ' ' AS w FROM (SELECT entity_id, note, unnest(regexp_split_to_array(lower(note), '\\s+')) AS w FROM top) WHERE w <> ''),
+grams AS (SELECT entity_id, note, substr(w, i, g) AS gram, count(*) AS tf FROM words, (SELECT unnest([3, 4, 5]) AS g) gs, LATERAL (SELECT unnest(range(1, greatest(length(w) - g + 2, 2))) AS i) WHERE length(w) >= g OR g = 3 GROUP BY ALL),
+dfs AS (SELECT entity_id, gram, count(*) AS df FROM grams GROUP BY ALL),
+nn AS (SELECT entity_id, count(*) AS n FROM top GROUP BY 1),
+wt AS (SELECT g.entity_id, note, gram, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM grams g JOIN dfs USING (entity_id, gram) JOIN nn USING (entity_id)),
+unitw AS (SELECT entity_id, note, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id, note)) AS w FROM wt),
+sims AS (SELECT entity_id, max(sim) AS sim FROM (SELECT x.entity_id, x.note, y.note, sum(x.w * y.w) AS sim FROM unitw x JOIN unitw y ON x.entity_id = y.entity_id AND x.gram = y.gram AND x.note < y.note GROUP BY ALL) GROUP BY 1),
+done AS (SELECT t.entity_id, cases, notes, dominant / notes::DOUBLE AS share, CASE WHEN nn.n = 1 THEN 1 ELSE coalesce(sim, 0) END AS similarity, bits AS entropy
+  FROM (SELECT entity_id, max(n) AS dominant FROM top GROUP BY 1) t JOIN tot USING (entity_id) JOIN cas USING (entity_id) JOIN nn USING (entity_id) LEFT JOIN sims USING (entity_id) JOIN entropy_t USING (entity_id) WHERE cases >= 5 AND notes >= 5)"""
+
+_HEAD = "SELECT 'FND-{d}-' || left(sha256('{d}:' || entity_id || ':' || {seed}), 12) AS finding_id, '{d}' AS detector_id, '{kind}' AS category, entity_id, {scope} AS scope, {sev} AS sev, {dev} AS dev, {pct} AS pct, {conf} AS conf, {refs} AS refs FROM {rows}"
+_ENTITY, _TIERED = "'entity:' || entity_id", "CASE WHEN cohort_level = 'primary' THEN {} ELSE {} END"
+
+
+def found(d: str, kind: str, seed: str, scope: str, sev: float | str, dev: str, pct: float | str, conf: float | str, rows: str, refs: str = "[]::VARCHAR[]", lead: str = "") -> None:
+    """The findings of a detector as a CTE; ``lead``: CTEs of its own."""
+    sql = _HEAD.format(d=d, kind=kind, seed=seed, scope=scope, sev=sev, dev=dev, pct=pct, conf=conf, refs=refs, rows=rows)
+    cte("f_" + d.replace("-", "").lower(), f"WITH {lead.strip()}\n{sql}" if lead else sql)
+
+
+def samples(key: str, ref: str, where: str, order: str, n: int, rows: str = "af") -> str:
+    """The first references of each key."""
+    return f"(SELECT {key}, list({ref} ORDER BY r) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS r FROM {rows} WHERE {where}) WHERE r <= {n} GROUP BY ALL)"
+
+
+_ORDER = "asset_id, category, created_us, alert_id"
+_RATE = "SELECT entity_id, avg(escalated::INT) AS value FROM af WHERE ch GROUP BY 1 HAVING count(*) >= 5"
+_Z, _P = "round_even(z, 3)", "round_even(percentile, 4)"
+_SOME = "coalesce(refs, []::VARCHAR[])"
+_MISSED = """
+SELECT *, least(1, list_sum(list_transform(range(0, n + 1), lambda i: exp(-mu + i * ln(mu) - lgamma(i + 1))))) AS p FROM (
+  SELECT o.entity_id, m.category, coalesce(x.n, 0) AS n, m.n / t.n::DOUBLE * o.n AS mu FROM (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) o
+  JOIN (SELECT p.entity_id, category, count(*) AS n FROM pairs p JOIN alerts a ON a.entity_id = p.peer GROUP BY ALL) m USING (entity_id)
+  JOIN (SELECT p.entity_id, count(*) AS n FROM pairs p JOIN alerts a ON a.entity_id = p.peer GROUP BY ALL) t USING (entity_id)
+  LEFT JOIN (SELECT entity_id, category, count(*) AS n FROM alerts GROUP BY ALL) x ON x.entity_id = o.entity_id AND x.category = m.category
+  WHERE o.n >= 30 AND t.n >= 100 AND m.n / t.n::DOUBLE >= 5e-2)"""
+found("EG-01", "EXECUTION_GAP", "alert_id", "'alert:' || alert_id", "CASE severity WHEN 'critical' THEN 5.0 ELSE 3.0 END", _Z, _P, _TIERED.format(0.95, 0.85), "done JOIN co USING (entity_id) WHERE dur > 0 AND (dur <= p5 OR z <= -2.5 OR percentile <= 5e-2)", "['alerts:' || alert_id]", _EG01)
+found("EG-02", "EXECUTION_GAP", "'esc'", _ENTITY, 4.0, _Z, _P, _TIERED.format("0.90", "0.80"), f"peer LEFT JOIN {samples('entity_id', "'alerts:' || alert_id", 'ch AND NOT escalated', _ORDER, 10)} s USING (entity_id) WHERE z <= -2", _SOME, peers(_RATE))
+found("EG-04", "EXECUTION_GAP", "'notes'", _ENTITY, 3.5, "round_even(similarity - 0.9, 3)", "0.95", "0.88", f"done LEFT JOIN {samples('entity_id', "'cases:' || case_id", 'true', 'case_id', 5, 'ec')} s USING (entity_id) WHERE share >= 0.35 AND similarity >= 0.9 AND entropy <= 1", _SOME, _NOTES)
+found("EG-05", "EXECUTION_GAP", "asset_id || ':' || category", "'asset:' || asset_id", 3.0, "repeats::DOUBLE", "0.9", "0.85", f"(SELECT entity_id, asset_id, category, count(*) AS repeats FROM af WHERE repeat7 GROUP BY ALL HAVING count(*) >= 3) JOIN {samples('entity_id, asset_id, category', "'alerts:' || alert_id", 'repeat7', 'created_us, alert_id', 5)} s USING (entity_id, asset_id, category)", "refs")
+found("EG-06", "EXECUTION_GAP", "'sla'", _ENTITY, 3.2, _Z, _P, "0.88", f"peer LEFT JOIN {samples('entity_id', "'alerts:' || alert_id", 'in_sla', _ORDER, 10)} s USING (entity_id) WHERE z >= 2.5 AND value >= 0.15", _SOME, peers("SELECT entity_id, avg(in_sla::INT) AS value FROM af GROUP BY 1"))
+found("EG-07", "EXECUTION_GAP", "analyst_id", "'analyst:' || analyst_id", 2.8, _Z, _P, "0.86", f"peer JOIN (SELECT entity_id, analyst_id FROM v) w USING (entity_id) LEFT JOIN {samples('entity_id, analyst_id', "'cases:' || case_id", 'ch AND case_id IS NOT NULL AND analyst_id IS NOT NULL', _ORDER, 5)} s USING (entity_id, analyst_id) WHERE value >= 0.5 AND z >= 1.8", _SOME, peers(_SHARES))
+found("NS-01", "NEGATIVE_SPACE", "asset_id", "'asset:' || asset_id", 4.5, "-3.0", "0.02", "0.95", "asf WHERE criticality = 'critical' AND monitoring_expected AND is_silent", "['assets:' || asset_id]")
+found("NS-02", "NEGATIVE_SPACE", "category", "'category:' || category", 4.0, "round_even(n - mu, 2)", "round_even(p, 4)", "0.92", f"({_MISSED}) WHERE p <= 0.01 OR (n = 0 AND mu >= 8)")
+found("NS-04", "NEGATIVE_SPACE", "'volume'", _ENTITY, 4.2, "round_even(CASE WHEN median > 0 THEN value / median ELSE 1 END - 1, 3)", _P, "0.88", "peer WHERE (CASE WHEN median > 0 THEN value / median ELSE 1 END <= 0.45 OR z <= -1.5) AND median > 0", lead=peers(_ALERTS_PER_ASSET))
+found("NS-05", "NEGATIVE_SPACE", "strftime(start, '%Y-%m-%d')", "'period:' || strftime(start, '%Y-%m-%d') || '_to_' || strftime(\"end\", '%Y-%m-%d')", 4.0, "-days::DOUBLE", "0.01", "0.94", "gaps JOIN (SELECT entity_id, max(make_timestamp(created_us)::DATE) - min(make_timestamp(created_us)::DATE) + 1 AS span FROM alerts GROUP BY 1) USING (entity_id) WHERE span >= 14 AND days >= 3")
+found("NS-06", "NEGATIVE_SPACE", "'coverage'", _ENTITY, 4.0, _Z, _P, "0.9", "peer WHERE z <= -1.8 AND value <= 0.7", lead=peers(_COVERAGE))
 cte("f_eg03", """
 SELECT 'FND-EG-03-' || left(sha256('EG-03:' || entity_id || ':' || alert_id), 12) AS finding_id, 'EG-03' AS detector_id, 'EXECUTION_GAP' AS category, entity_id, 'alert:' || alert_id AS scope,
   2.5 AS sev, -2.5 AS dev, 5e-2 AS pct, 0.92 AS conf, ['alerts:' || alert_id, 'cases:' || case_id] AS refs
@@ -115,7 +182,8 @@ cte("f_ns03", """
 SELECT 'FND-NS-03-' || left(sha256('NS-03:' || entity_id || ':orphans'), 12) AS finding_id, 'NS-03' AS detector_id, 'NEGATIVE_SPACE' AS category, entity_id, 'entity:' || entity_id AS scope,
   3.8 AS sev, -count(*)::DOUBLE AS dev, 5e-2 AS pct, 0.9 AS conf, list('alerts:' || alert_id ORDER BY r) FILTER (r <= 10) AS refs
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY asset_id, category, created_us, alert_id) AS r FROM af WHERE ch AND NOT has_case) GROUP BY entity_id""")
-cte("findings", "SELECT *, sev * least(abs(dev), 5) * conf AS score FROM (SELECT * FROM f_eg03 UNION ALL SELECT * FROM f_eg08 UNION ALL SELECT * FROM f_ns03)")
+FOUND = tuple(f"f_{d.replace('-', '').lower()}" for d in DETECTOR_AREAS if d != "NOV-01")
+cte("findings", "SELECT *, sev * least(abs(dev), 5) * conf AS score FROM (" + " UNION ALL ".join(f"SELECT finding_id, detector_id, category, entity_id, scope, sev::DOUBLE AS sev, dev::DOUBLE AS dev, pct::DOUBLE AS pct, conf::DOUBLE AS conf, refs FROM {n}" for n in FOUND) + ")")
 cte("area_map", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{a}')" for d, xs in DETECTOR_AREAS.items() for a in xs) + ") t(detector_id, area)")
 cte("weights", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {w}::DOUBLE)" for a, w in AREA_WEIGHTS.items()) + ") t(area, weight)")
 cte("areas", """
@@ -152,11 +220,17 @@ SELECT entity_id, round_even(100 * avg(credibility), 1) AS idx, count(*) FILTER
 cte("verdicts", "SELECT *, CASE WHEN idx >= 85 THEN 'substantiated' WHEN idx >= 60 THEN 'partially substantiated' ELSE 'not substantiated' END AS verdict FROM indexed")
 cte("ledger", """
 SELECT o_orderkey AS feedback_id, 'FND-' || (o_orderkey % 200) AS finding_id, 'N' || (o_orderkey % 25) AS entity_id, ['EG-03', 'EG-08', 'NS-03'][(o_orderkey % 3 + 1)::INT] AS detector_id,
-  CASE WHEN o_orderkey % 7 < 4 THEN 'dismiss' ELSE 'confirm' END AS decision FROM orders WHERE o_orderkey % 10 = 3""")
+  CASE WHEN o_orderkey % 7 < 4 THEN 'dismiss' ELSE 'confirm' END AS decision FROM orders""")
 cte("fw", """
 SELECT entity_id, detector_id, list_reduce(list_prepend(1.0::DOUBLE, list(CASE decision WHEN 'dismiss' THEN 0.0 ELSE 2.0 END::DOUBLE ORDER BY feedback_id)),
   lambda f, d: CASE WHEN d = 0 THEN round_even(greatest(0.3, f * 0.6), 6) ELSE round_even(least(1.0, f / 0.6), 6) END) AS factor, count(*) AS version
-FROM ledger WHERE feedback_id < 3000 GROUP BY ALL""")
+FROM ledger GROUP BY ALL""")
+cte("chain", """
+WITH RECURSIVE c AS (
+  SELECT 0::BIGINT AS entry_id, '' AS timestamp, '' AS event_type, '' AS run_id, '' AS data_hash, '' AS prev_hash, repeat('0', 64) AS entry_hash
+  UNION ALL SELECT n_nationkey + 1, '2026-01-01', 'run', n_name, md5(n_name), p, CASE WHEN n_nationkey = 24 THEN 'altered' ELSE sha256(concat_ws('|', n_nationkey + 1, '2026-01-01', 'run', n_name, md5(n_name), p)) END
+  FROM (SELECT n.n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n.n_nationkey = 8 THEN 'broken' ELSE c.entry_hash END AS p FROM c JOIN nation n ON n.n_nationkey = c.entry_id))
+SELECT * FROM c WHERE entry_id > 0""")
 cte("truth", """
 SELECT entity_id, 'EG-03' AS det, 'alert:' || alert_id AS scope, CASE WHEN k % 80 = 0 THEN 2.0 ELSE 1.0 END AS w FROM alerts WHERE k % 40 = 0
 UNION ALL SELECT entity_id, 'NS-03', 'entity:' || entity_id, 2.0 FROM entities WHERE sector = 'ASIA'""")
@@ -182,7 +256,7 @@ SELECT *, CASE WHEN alert_id IS NULL OR trim(alert_id) = '' THEN 'Missing primar
   WHEN severity = 'urgent' THEN 'Invalid severity tier' END AS quarantine_reason FROM dirty""")
 cte("ri_a", "SELECT * FROM alerts WHERE entity_id NOT IN ('N3', 'N7')")
 cte("ri_c", "SELECT c.* FROM cases c WHERE EXISTS (SELECT 1 FROM ri_a a WHERE a.alert_id = c.alert_id)")
-cte("nov", "SELECT * FROM months WHERE year_month >= '1997-01'")
+cte("nov", "SELECT * FROM months")
 
 FEATURES = ("monthly_volume", "crit_volume", "crit_median_close_sec", "ch_esc_rate", "unworked_ratio", "sla_window_ratio", "fp_rate", "unique_assets_alerted")
 
@@ -193,7 +267,7 @@ def _scaled(f: str) -> str:
 
 
 cte("pts", "SELECT entity_id, year_month, " + ", ".join(f"{_scaled(f)} AS {f}" for f in FEATURES) + " FROM nov")
-cte("lp", "SELECT entity_id || '/' || year_month AS a, * FROM pts WHERE year_month < '1997-07'")
+cte("lp", "SELECT entity_id || '/' || year_month AS a, * FROM pts")
 cte("near", "SELECT * FROM (SELECT x.a, y.a AS b, sqrt(" + " + ".join(f"(x.{f} - y.{f}) * (x.{f} - y.{f})" for f in FEATURES) + ") AS d FROM lp x JOIN lp y ON x.a <> y.a) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5")
 cte("kd", "SELECT a AS b, max(d) AS kd FROM near GROUP BY 1")
 cte("lrd", "SELECT a, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (b) GROUP BY 1")
@@ -261,7 +335,7 @@ LEFT JOIN gini_t g USING (entity_id) LEFT JOIN (SELECT entity_id, max(n) AS top1
     "eg03": "SELECT entity_id, alert_id, case_id, dur AS closure_duration_sec, r AS ordinal, r <= 15 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY asset_id, category, created_us, alert_id) AS r FROM af WHERE has_case AND wf_n = 0 AND dur >= 60)",
     "eg05": "SELECT entity_id, asset_id, category, count(*) AS repeats, count(*) >= 3 AS hit FROM af WHERE repeat7 GROUP BY ALL",
     "eg08": "SELECT entity_id, months, alerts, " + _r("cusum", "first_rate", "last_rate") + ", cusum >= 4 AS hit FROM drift WHERE alerts >= 50 AND months >= 3",
-    "ns01": "SELECT entity_id, asset_id, true AS hit FROM halfasf WHERE criticality = 'critical' AND monitoring_expected AND is_silent",
+    "ns01": "SELECT entity_id, asset_id, true AS hit FROM asf WHERE criticality = 'critical' AND monitoring_expected AND is_silent",
     "ns02": """
 SELECT entity_id, category, n, round(mu, 6) AS mu, round(p, 6) AS p, p <= 0.01 OR (n = 0 AND mu >= 8) AS hit FROM (
   SELECT *, least(1, list_sum(list_transform(range(0, n + 1), lambda i: exp(-mu + i * ln(mu) - lgamma(i + 1))))) AS p FROM (
@@ -300,9 +374,10 @@ SELECT entity_id, e AS early_index, l AS late_index, CASE WHEN l - e > 15 THEN '
     "expert_agreement": """
 SELECT f.entity_id, count(*) AS findings, count(decision) AS reviewed, count(*) FILTER (decision = 'confirm') AS confirmed, round(count(*) FILTER (decision = 'confirm') / nullif(count(decision), 0)::DOUBLE, 3) AS confirm_rate, round(count(decision) / count(*)::DOUBLE, 3) AS coverage,
   round(avg(conf) FILTER (decision = 'confirm'), 3) AS confidence_confirmed, round(avg(conf) FILTER (decision = 'dismiss'), 3) AS confidence_dismissed
-FROM (SELECT 'FND-' || o_orderkey AS finding_id, 'N' || (o_orderkey % 25) AS entity_id, 0.5 + o_orderkey % 50 / 100::DOUBLE AS conf FROM orders WHERE o_orderkey <= 300) f
+FROM (SELECT 'FND-' || o_orderkey AS finding_id, 'N' || (o_orderkey % 25) AS entity_id, 0.5 + o_orderkey % 50 / 100::DOUBLE AS conf FROM orders) f
 LEFT JOIN (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY feedback_id DESC) = 1) l USING (finding_id) GROUP BY 1""",
-    "chain_verify": "SELECT (n_nationkey + 1)::BIGINT AS entry_id, n_nationkey + 1 <> 9 AS link_ok, false AS hash_ok FROM nation",
+    "chain_verify": """
+SELECT entry_id, prev_hash = coalesce(lag(entry_hash) OVER (ORDER BY entry_id), repeat('0', 64)) AS link_ok, entry_hash = sha256(concat_ws('|', entry_id, timestamp, event_type, run_id, data_hash, prev_hash)) AS hash_ok FROM chain""",
     "match_findings": "SELECT finding_id AS item_id, detector_id FROM matched",
     "precision_at_k": """
 SELECT share, count(*) AS items, count(m.finding_id) AS true_positives, round(count(m.finding_id) / count(*)::DOUBLE, 6) AS precision, round(count(m.finding_id) / max(total)::DOUBLE, 6) AS recall
@@ -321,26 +396,22 @@ WHERE position <= greatest(5, round_even(n * share, 0)) GROUP BY ALL""",
 SELECT entity_id, alert_id, score, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, alert_id) AS position FROM (SELECT entity_id, alert_id,
   (CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN ch AND dur < 600 THEN 4 ELSE 0 END + CASE WHEN ch AND has_case AND NOT escalated THEN 3 ELSE 0 END + CASE WHEN NOT has_case THEN 3 ELSE 0 END
   + CASE WHEN ch AND disposition = 'false_positive' AND dur < 1800 THEN 2 ELSE 0 END)::DOUBLE AS score FROM af)""",
-    "ablation": "SELECT 'full' AS suite, count(*) AS findings FROM findings UNION ALL SELECT CASE WHEN detector_id = 'EG-08' THEN 'statistics' ELSE 'rules' END, count(*) FROM findings GROUP BY 1",
+    "ablation": "SELECT 'full' AS suite, count(*) AS findings FROM findings UNION ALL SELECT CASE WHEN detector_id IN ('EG-03', 'EG-05', 'NS-01', 'NS-03', 'NS-05') THEN 'rules' ELSE 'statistics' END, count(*) FROM findings GROUP BY 1",
     "fault_intensity": "SELECT entity_id, sum(w)::DOUBLE AS intensity FROM truth GROUP BY 1",
     "most_faulty": "SELECT entity_id, count(*) AS faults FROM truth GROUP BY 1 ORDER BY faults DESC, entity_id LIMIT 1",
     "sparse_cohorts": "SELECT entity_id, CASE WHEN nb >= 3 THEN 'primary' WHEN ns >= 3 THEN 'sector_fallback' ELSE 'global_fallback' END AS cohort_level, CASE WHEN nb >= 3 THEN nb WHEN ns >= 3 THEN ns ELSE nt END AS cohort_size FROM (SELECT *, count(*) OVER (PARTITION BY sector, size_band) AS nb, count(*) OVER (PARTITION BY sector) AS ns, count(*) OVER () AS nt FROM (SELECT * FROM entities QUALIFY (row_number() OVER (PARTITION BY sector ORDER BY entity_id) - 1) % 3 = 0))",
     "entity_list": "SELECT * FROM risk ORDER BY risk_index DESC, entity_id LIMIT 10",
     "findings_filtered": "SELECT finding_id, scope FROM findings WHERE entity_id = 'N4' AND detector_id = 'EG-03'",
     "area_averages": "SELECT area, round(round_even(avg(score), 2), 1) AS mean_score FROM areas GROUP BY 1",
-    "coverage_heatmap": "SELECT criticality, CASE WHEN NOT monitoring_expected THEN 'Unmonitored' WHEN is_silent THEN 'Silent' ELSE 'Normal' END AS status, count(*) AS assets FROM halfasf GROUP BY ALL",
+    "coverage_heatmap": "SELECT criticality, CASE WHEN NOT monitoring_expected THEN 'Unmonitored' WHEN is_silent THEN 'Silent' ELSE 'Normal' END AS status, count(*) AS assets FROM asf GROUP BY ALL",
     "priority_findings": "SELECT entity_id, finding_id, detector_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, finding_id) AS rn FROM findings) WHERE rn <= 3 ORDER BY rn, score DESC, finding_id LIMIT 25",
     "concept_share": "SELECT category, count(*) AS findings, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM findings GROUP BY 1",
     "top_findings": "SELECT finding_id, entity_id, detector_id, scope FROM findings ORDER BY score DESC, finding_id LIMIT 25",
     "top_detectors": "SELECT detector_id, count(*) AS findings FROM findings GROUP BY 1 ORDER BY findings DESC, detector_id LIMIT 15",
     "capability_profile": "SELECT entity_id, area, round(score, 2) AS score, round(m, 2) AS median_score, round(score - m, 2) AS gap FROM areas JOIN (SELECT area, median(score) AS m FROM areas GROUP BY 1) USING (area)",
-    "indicators": "SELECT count(*) AS findings, count(*) FILTER (pct >= 0.9) AS extreme, 0::BIGINT AS severe, (SELECT count(*) FROM risk WHERE risk_tier IN ('high', 'critical')) AS risky_entities FROM findings",
+    "indicators": "SELECT count(*) AS findings, count(*) FILTER (pct >= 0.9) AS extreme, count(*) FILTER (sev >= 5) AS severe, (SELECT count(*) FROM risk WHERE risk_tier IN ('high', 'critical')) AS risky_entities FROM findings",
 }
 
-_VOLUME = "SELECT entity_id, count(*)::DOUBLE AS value FROM alerts GROUP BY 1"
-_ALERTS_PER_ASSET = "SELECT e.entity_id, coalesce(n, 0) / greatest(coalesce(m, 0), 1)::DOUBLE AS value FROM entities e LEFT JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS m FROM assets GROUP BY 1) USING (entity_id)"
-_COVERAGE = "SELECT entity_id, CASE WHEN c > 0 THEN least((c - s) / c::DOUBLE, m / c::DOUBLE) ELSE 1 END AS value FROM (SELECT entity_id, count(*) FILTER (criticality = 'critical') AS c, count(*) FILTER (criticality = 'critical' AND monitoring_expected) AS m, count(*) FILTER (criticality = 'critical' AND monitoring_expected AND is_silent) AS s FROM halfasf GROUP BY 1)"
-_SHARES = "SELECT entity_id, max(n) / any_value(rows)::DOUBLE AS value, arg_min(analyst_id, (-n, analyst_id)) AS analyst_id FROM ac JOIN (SELECT entity_id, count(*) AS rows FROM af WHERE ch GROUP BY 1) USING (entity_id) GROUP BY 1 HAVING any_value(rows) >= 10 AND count(*) >= 3"
 RELATIVE: dict[str, tuple[str, str]] = {
     "peer_robust_z": (_VOLUME, "SELECT entity_id, value, round(median, 6) AS median, round(mad, 6) AS mad, round(z, 6) AS z FROM peer"),
     "peer_pct_rank": (_VOLUME, "SELECT entity_id, cohort_level, peers, round(percentile, 6) AS percentile FROM peer"),
@@ -353,34 +424,9 @@ RELATIVE: dict[str, tuple[str, str]] = {
     "peer_percentile": ("SELECT entity_id, risk_index AS value FROM risk", "SELECT entity_id, round(round_even(percentile, 4), 6) AS peer_percentile, (SELECT count(*) FROM findings f WHERE f.entity_id = peer.entity_id) AS finding_count FROM peer"),
 }
 
-_EG01 = """
-own AS (SELECT alert_id, entity_id, severity, dur FROM af WHERE ch),
-rows AS (SELECT p.entity_id AS target, o.entity_id = p.entity_id AS mine, o.severity, o.dur FROM pairs p JOIN own o ON o.entity_id = p.peer),
-sizes AS (SELECT target, severity, count(*) FILTER (mine) AS n_own, count(*) AS n_all FROM rows GROUP BY ALL),
-ref AS (SELECT r.* FROM rows r JOIN sizes s USING (target, severity) WHERE n_own >= 5 AND n_all >= 5 AND (NOT mine OR n_all - n_own < 5)),
-s1 AS (SELECT target, severity, quantile_cont(dur, 5e-2) AS p5, median(dur) AS median, stddev_pop(dur) AS sd, count(*) AS n, list_sort(list(dur)) AS all_dur FROM ref GROUP BY ALL),
-s2 AS (SELECT target, severity, median(abs(dur - median)) AS mad FROM ref JOIN s1 USING (target, severity) GROUP BY ALL),
-ranks AS (SELECT target, severity, d.dur, count(*) FILTER (ref.dur < d.dur) AS lo, count(*) FILTER (ref.dur <= d.dur) AS hi
-  FROM (SELECT DISTINCT entity_id AS target, severity, dur FROM own) d JOIN ref USING (target, severity) GROUP BY ALL),
-done AS (SELECT o.entity_id, alert_id, o.severity, o.dur, p5, median, CASE WHEN 1.4826 * mad >= 1e-6 THEN greatest(least((o.dur - median) / (1.4826 * mad), 10), -10) WHEN sd >= 1e-6 THEN greatest(least((o.dur - median) / sd, 10), -10)
-  WHEN abs(o.dur - median) < 1e-6 THEN 0 ELSE sign(o.dur - median) * 3 END AS z, (lo + hi) / (2.0 * n) AS percentile
-  FROM own o JOIN s1 ON s1.target = o.entity_id AND s1.severity = o.severity JOIN s2 ON s2.target = s1.target AND s2.severity = s1.severity JOIN ranks k ON k.target = o.entity_id AND k.severity = o.severity AND k.dur = o.dur)"""
-_NOTES = """
-cnt AS (SELECT entity_id, trim(notes_text) AS note, count(*) AS n FROM ec WHERE length(trim(notes_text)) > 10 GROUP BY ALL),
-tot AS (SELECT entity_id, sum(n)::BIGINT AS notes FROM cnt GROUP BY 1),
-cas AS (SELECT entity_id, count(*) AS cases FROM ec GROUP BY 1),
-top AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, note) <= 5 AND n >= 5),
-words AS (SELECT entity_id, note, ' ' || w || ' ' AS w FROM (SELECT entity_id, note, unnest(regexp_split_to_array(lower(note), '\\s+')) AS w FROM top) WHERE w <> ''),
-grams AS (SELECT entity_id, note, substr(w, i, g) AS gram, count(*) AS tf FROM words, (SELECT unnest([3, 4, 5]) AS g) gs, LATERAL (SELECT unnest(range(1, greatest(length(w) - g + 2, 2))) AS i) WHERE length(w) >= g OR g = 3 GROUP BY ALL),
-dfs AS (SELECT entity_id, gram, count(*) AS df FROM grams GROUP BY ALL),
-nn AS (SELECT entity_id, count(*) AS n FROM top GROUP BY 1),
-wt AS (SELECT g.entity_id, note, gram, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM grams g JOIN dfs USING (entity_id, gram) JOIN nn USING (entity_id)),
-unitw AS (SELECT entity_id, note, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id, note)) AS w FROM wt),
-sims AS (SELECT entity_id, max(sim) AS sim FROM (SELECT x.entity_id, x.note, y.note, sum(x.w * y.w) AS sim FROM unitw x JOIN unitw y ON x.entity_id = y.entity_id AND x.gram = y.gram AND x.note < y.note GROUP BY ALL) GROUP BY 1),
-done AS (SELECT t.entity_id, cases, notes, dominant / notes::DOUBLE AS share, CASE WHEN nn.n = 1 THEN 1 ELSE coalesce(sim, 0) END AS similarity, bits AS entropy
-  FROM (SELECT entity_id, max(n) AS dominant FROM top GROUP BY 1) t JOIN tot USING (entity_id) JOIN cas USING (entity_id) JOIN nn USING (entity_id) LEFT JOIN sims USING (entity_id) JOIN entropy_t USING (entity_id) WHERE cases >= 5 AND notes >= 5)"""
-
 ORACLE_SQL: dict[str, str] = {n: needs(sql) for n, sql in PLAIN.items()}
 ORACLE_SQL |= {n: needs(sql, peers(values)) for n, (values, sql) in RELATIVE.items()}
+ORACLE_SQL |= {f"findings_{n[2:]}": needs(f"SELECT finding_id, entity_id, scope, category, sev::DOUBLE AS severity_weight, round(dev, 3) AS deviation, round(pct, 4) AS peer_percentile, conf::DOUBLE AS confidence, array_to_string(list_sort(refs), ',') AS refs FROM {n}") for n in FOUND}
+ORACLE_SQL["findings_by_detector"] = needs("SELECT detector_id, count(*) AS findings FROM findings GROUP BY 1")
 ORACLE_SQL["eg01"] = needs("SELECT entity_id, alert_id, severity, dur, " + _r("p5", "median", "z", "percentile") + ", dur > 0 AND (dur <= p5 OR z <= -2.5 OR percentile <= 5e-2) AS hit FROM done", _EG01)
 ORACLE_SQL["eg04"] = needs("SELECT entity_id, cases, notes, " + _r("share", "similarity", "entropy") + ", share >= 0.35 AND similarity >= 0.9 AND entropy <= 1 AS hit FROM done", _NOTES)

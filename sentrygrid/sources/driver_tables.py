@@ -1,4 +1,5 @@
-"""The canonical tables as views over a TPC-H-like schema: nations are entities, customers assets, orders alerts."""
+"""The canonical tables as views over a TPC-H-like schema: nations are entities, customers and suppliers assets, orders
+alerts.  Suppliers have no orders, so they are the assets that never send an alert."""
 
 from __future__ import annotations
 
@@ -41,7 +42,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.col("c_mktsegment")
     tier = F.when(seg == "BUILDING", "critical").when(seg == "MACHINERY", "high").when(seg == "HOUSEHOLD", "medium").otherwise("low")
-    return table(spark, sf_dir, "customer").select(_key("C", "c_custkey").alias("asset_id"), _key("N", "c_nationkey").alias("entity_id"), tier.alias("criticality"), F.lit("server").alias("asset_type"), (F.col("c_acctbal") >= 0).alias("monitoring_expected"))
+    senders = table(spark, sf_dir, "customer").select(_key("C", "c_custkey").alias("asset_id"), _key("N", "c_nationkey").alias("entity_id"), tier.alias("criticality"), F.lit("server").alias("asset_type"), (F.col("c_acctbal") >= 0).alias("monitoring_expected"))
+    kind = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    quiet = table(spark, sf_dir, "supplier").select(_key("S", "s_suppkey").alias("asset_id"), _key("N", "s_nationkey").alias("entity_id"), kind.alias("criticality"), F.lit("sensor").alias("asset_type"), (F.col("s_acctbal") >= 0).alias("monitoring_expected"))
+    return senders.unionByName(quiet)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
