@@ -347,7 +347,7 @@ SELECT entity_id, category, n, round(mu, 6) AS mu, round(p, 6) AS p, p <= 0.01 O
     "ns03": "SELECT entity_id, count(*) AS orphans, true AS hit FROM af WHERE ch AND NOT has_case GROUP BY 1",
     "ns05": "SELECT entity_id, strftime(start, '%Y-%m-%d') AS start, days, days >= 3 AS hit FROM gaps JOIN (SELECT entity_id, max(make_timestamp(created_us)::DATE) - min(make_timestamp(created_us)::DATE) + 1 AS span FROM alerts GROUP BY 1) USING (entity_id) WHERE span >= 14",
     "nov01_scaled": "SELECT entity_id, year_month, " + _r(*FEATURES) + " FROM pts",
-    "nov01_lof": "SELECT split_part(a, '/', 1) AS entity_id, split_part(a, '/', 2) AS year_month, round(around / lrd, 5) AS lof FROM lrd JOIN (SELECT n.a, avg(l.lrd) AS around FROM near n JOIN lrd l ON l.a = n.b GROUP BY 1) USING (a)",
+    "nov01_lof": "SELECT split_part(a, '/', 1) AS entity_id, split_part(a, '/', 2) AS year_month, round(log10(around / lrd), 5) AS log_lof FROM lrd JOIN (SELECT n.a, avg(l.lrd) AS around FROM near n JOIN lrd l ON l.a = n.b GROUP BY 1) USING (a)",
     "finding_ids": "SELECT finding_id, detector_id, entity_id, scope FROM findings",
     "finding_score": "SELECT finding_id, round(score, 6) AS score FROM findings",
     "area_scores": "SELECT entity_id, area, score, findings, top_detectors FROM areas",
@@ -372,9 +372,9 @@ SELECT entity_id, e AS early_index, l AS late_index, CASE WHEN l - e > 15 THEN '
     "feedback_latest": "SELECT finding_id, feedback_id, decision FROM ledger QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY feedback_id DESC) = 1",
     "feedback_history": "SELECT feedback_id, detector_id, decision FROM ledger WHERE entity_id = 'N3' ORDER BY feedback_id DESC LIMIT 50",
     "expert_agreement": """
-SELECT f.entity_id, count(*) AS findings, count(decision) AS reviewed, count(*) FILTER (decision = 'confirm') AS confirmed, round(count(*) FILTER (decision = 'confirm') / nullif(count(decision), 0)::DOUBLE, 3) AS confirm_rate, round(count(decision) / count(*)::DOUBLE, 3) AS coverage,
-  round(avg(conf) FILTER (decision = 'confirm'), 3) AS confidence_confirmed, round(avg(conf) FILTER (decision = 'dismiss'), 3) AS confidence_dismissed
-FROM (SELECT 'FND-' || o_orderkey AS finding_id, 'N' || (o_orderkey % 25) AS entity_id, 0.5 + o_orderkey % 50 / 100::DOUBLE AS conf FROM orders) f
+SELECT f.entity_id, count(*) AS findings, count(decision) AS reviewed, count(*) FILTER (decision = 'confirm') AS confirmed, round_even(count(*) FILTER (decision = 'confirm') / nullif(count(decision), 0)::DOUBLE, 4) AS confirm_rate, round_even(count(decision) / count(*)::DOUBLE, 4) AS coverage,
+  round_even(avg(conf) FILTER (decision = 'confirm'), 4) AS confidence_confirmed, round_even(avg(conf) FILTER (decision = 'dismiss'), 4) AS confidence_dismissed
+FROM (SELECT 'FND-' || o_orderkey AS finding_id, 'N' || (o_orderkey % 25) AS entity_id, o_orderkey % 5 / 8::DOUBLE AS conf FROM orders) f
 LEFT JOIN (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY feedback_id DESC) = 1) l USING (finding_id) GROUP BY 1""",
     "chain_verify": """
 SELECT entry_id, prev_hash = coalesce(lag(entry_hash) OVER (ORDER BY entry_id), repeat('0', 64)) AS link_ok, entry_hash = sha256(concat_ws('|', entry_id, timestamp, event_type, run_id, data_hash, prev_hash)) AS hash_ok FROM chain""",

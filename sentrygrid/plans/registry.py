@@ -378,7 +378,9 @@ def nov01_scaled(spark, d):
 
 @query
 def nov01_lof(spark, d):
-    return rounded(anomaly.lof(anomaly.scaled(ctx(spark, d).months)), "lof", digits=5)
+    """As a logarithm: among repeated points the factor has many digits before the point."""
+    out = anomaly.lof(anomaly.scaled(ctx(spark, d).months))
+    return rounded(out.select("entity_id", "year_month", F.log10("lof").alias("log_lof")), "log_lof", digits=5)
 
 
 @query
@@ -509,8 +511,8 @@ def feedback_history(spark, d):
 @query
 def expert_agreement(spark, d):
     k = F.col("o_orderkey")
-    ids = driver_tables.table(spark, d, "orders").select(F.concat(F.lit("FND-"), k.cast("string")).alias("finding_id"), F.lit("EG-03").alias("detector_id"), F.concat(F.lit("N"), (k % 25).cast("string")).alias("entity_id"), (F.lit(0.5) + k % 50 / 100).alias("confidence"))
-    return rounded(feedback.agreement(ledger(spark, d), ids, "entity_id"), "confirm_rate", "coverage", "confidence_confirmed", "confidence_dismissed", digits=3)
+    ids = driver_tables.table(spark, d, "orders").select(F.concat(F.lit("FND-"), k.cast("string")).alias("finding_id"), F.lit("EG-03").alias("detector_id"), F.concat(F.lit("N"), (k % 25).cast("string")).alias("entity_id"), (k % 5 / 8).alias("confidence"))
+    return rounded(feedback.agreement(ledger(spark, d), ids, "entity_id"), "confirm_rate", "coverage", "confidence_confirmed", "confidence_dismissed", digits=4)
 
 
 @query

@@ -90,8 +90,8 @@ def test_feedback_in_slices_equals_the_fold_in_order(spark):
 
 def test_whole_ledger_is_weighed(spark, tmp_path):
     spark.range(6000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
-    assert sum(r.version for r in QUERIES["feedback_weights_all"](spark, str(tmp_path)).collect()) == 600
-    assert sum(r.findings for r in QUERIES["expert_agreement_all"](spark, str(tmp_path)).collect()) == 6000
+    assert sum(r.version for r in QUERIES["feedback_weights"](spark, str(tmp_path)).collect()) == 6000
+    assert sum(r.findings for r in QUERIES["expert_agreement"](spark, str(tmp_path)).collect()) == 6000
 
 
 def test_all_findings_follow_the_tables(spark, tmp_path):
