@@ -71,6 +71,26 @@ def gini(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
     return sums.select(*key, F.coalesce(F.try_divide(2.0 * F.col("__w"), F.col("__n") * F.col("__t")) - (F.col("__n") + 1) / F.col("__n"), F.lit(0.0)).alias(name))
 
 
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a rank correlation of n pairs by Student's distribution with n - 2 degrees of freedom, null below three pairs.
+
+    For whole degrees the distribution is a finite series, of about n / 2 terms, in the angle whose tangent is t / sqrt(n - 2)."""
+    free = n.cast("int") - 2
+    odd = free % 2
+    angle = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.abs(rho))))  # t / sqrt(n - 2) is the tangent of this angle
+    cos, sin = F.cos(angle), F.sin(angle)
+    start = F.when(odd == 1, cos).otherwise(1.0)
+    last = F.floor((free - 2 - odd) / 2).cast("int")
+
+    def add(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (2 * j - 1 + odd) / (2 * j + odd) * cos * cos
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), F.struct(start.alias("term"), start.alias("sum")), add, lambda acc: acc["sum"])
+    within = F.when(free == 1, 2 / math.pi * angle).when(odd == 1, 2 / math.pi * (angle + sin * series)).otherwise(sin * series)
+    return F.when(free >= 1, F.greatest(F.lit(0.0), 1 - within))
+
+
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rank correlation with average ranks for ties: one row (rho, n).  For tables of entities."""
 

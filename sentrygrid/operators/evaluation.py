@@ -132,6 +132,24 @@ def ablation(findings: DataFrame) -> DataFrame:
     return findings.withColumn("suite", F.explode(F.array_compact(F.array(*named, F.lit("full")))))
 
 
+def ablation_precision(findings: DataFrame, truth: DataFrame, sizes: DataFrame, share: float = 0.10) -> DataFrame:
+    """Each suite alone: its findings, and precision and recall of every entity's first ones by score within the budget; ``sizes`` as in ``precision_at``."""
+    hits = matched(findings.select("entity_id", F.col("finding_id").alias("item_id"), "detector_id", "scope", "evidence_refs"), truth)
+    marked = scored(findings).join(hits.select(F.col("item_id").alias("finding_id")).distinct().withColumn("hit", F.lit(1)), "finding_id", "left")
+    order = Window.partitionBy("suite", "entity_id").orderBy(F.desc("score"), "finding_id")
+    ranked = ablation(marked).withColumn("rank", F.row_number().over(order)).join(sizes, "entity_id")
+    inside = F.col("rank") <= budget_of(F.col("alerts"), share)
+    total = sizes.agg(F.sum("faults").alias("faults"))
+    out = ranked.groupBy("suite").agg(F.count("*").alias("findings"), F.count_if(inside).alias("items"), F.count_if(inside & F.col("hit").isNotNull()).alias("true_positives"))
+    return out.join(F.broadcast(total)).select("suite", "findings", "items", "true_positives", F.bround(F.try_divide("true_positives", "items"), 6).alias("precision"), F.bround(F.try_divide("true_positives", "faults"), 6).alias("recall"))
+
+
+def lifts(measured: DataFrame, baselines: DataFrame) -> DataFrame:
+    """How many times better than each baseline (share, baseline, precision) the ranking (share, precision) is; 1 where a baseline finds nothing."""
+    base = baselines.select("share", "baseline", F.col("precision").alias("baseline_precision"))
+    return measured.select("share", "precision").join(base, "share").withColumn("lift", lift(F.col("precision"), F.col("baseline_precision")))
+
+
 def fault_intensity(truth: DataFrame) -> DataFrame:
     return truth.groupBy("entity_id").agg(F.sum(F.when(F.col("intensity") == "strong", 2.0).otherwise(1.0)).alias("intensity"))
 

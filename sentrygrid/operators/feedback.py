@@ -70,6 +70,12 @@ def latest(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+def decided(queue: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Queue items with the last decision on their finding and its id, null where there is none."""
+    last = latest(ledger).select("finding_id", "decision", F.col("feedback_id").alias("decided_by"))
+    return queue.join(last, "finding_id", "left")
+
+
 def agreement(ledger: DataFrame, findings: DataFrame, by: str | None = None) -> DataFrame:
     """How often examiners' last words confirm findings, overall or by detector or entity, and the confidence of either kind."""
     seen = latest(ledger).select("finding_id", "decision")

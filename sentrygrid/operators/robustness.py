@@ -33,17 +33,18 @@ def corrupt(raw: DataFrame, seed: int = 42) -> DataFrame:
     kind = F.coalesce(*[F.when(slice_of(seed) == i, k) for i, k in enumerate(kinds)])
     rows = raw.withColumn("corruption", kind)
     target = F.col("corruption") == "duplicate_pk"
-    first = F.first("alert_id").over(Window.partitionBy("entity_id").orderBy(F.when(F.col("corruption").isNull(), 0).otherwise(1), "row_pos"))  # an untouched row of the entity
+    untouched = rows.where("corruption is null").groupBy("entity_id").agg(F.min_by("alert_id", "row_pos").alias("__first"))
+    rows = rows.join(untouched, "entity_id", "left")
     early = F.date_format(F.try_to_timestamp(F.col("created_ts")) - F.expr("interval 45 minutes"), "yyyy-MM-dd HH:mm:ss")
     is_ = lambda k: F.col("corruption") == k
     return rows.withColumns(
         {
-            "alert_id": F.when(target, first).otherwise(F.col("alert_id")),
+            "alert_id": F.when(target, F.coalesce("__first", "alert_id")).otherwise(F.col("alert_id")),
             "severity": F.when(is_("bad_severity"), "P1-URGENT").when(is_("missing_severity"), "").otherwise(F.col("severity")),
             "ack_ts": F.when(is_("bad_timestamp"), "not-a-timestamp").when(is_("reversed_timestamp"), early).otherwise(F.col("ack_ts")),
             "entity_id": F.when(is_("ghost_entity"), "GHOST").otherwise(F.col("entity_id")),
         }
-    ).withColumn("row_pos", F.when(target, F.col("row_pos") + (1 << 40)).otherwise(F.col("row_pos")))
+    ).withColumn("row_pos", F.when(target, F.col("row_pos") + (1 << 40)).otherwise(F.col("row_pos"))).drop("__first")
 
 
 def catch_rate(judged: DataFrame) -> DataFrame:

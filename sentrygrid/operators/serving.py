@@ -13,7 +13,7 @@ CANNED = {
     "severity_by_disposition": "SELECT severity, disposition, count(*) AS n FROM alerts GROUP BY severity, disposition",
     "critical_close_minutes": "SELECT entity_id, median((unix_micros(closed_ts) - unix_micros(ack_ts)) / 6e7) AS minutes FROM alerts WHERE severity = 'critical' GROUP BY entity_id",
     "top_assets": "SELECT asset_id, count(*) AS n FROM alerts GROUP BY asset_id ORDER BY n DESC, asset_id LIMIT 10",
-    "quarantine_sample": "SELECT table_name, record_id, quarantine_reason FROM quarantine LIMIT 50",
+    "quarantine_sample": "SELECT table_name, record_id, quarantine_reason FROM quarantine ORDER BY table_name, record_id LIMIT 50",
 }
 
 

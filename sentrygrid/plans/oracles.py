@@ -256,6 +256,35 @@ SELECT *, CASE WHEN alert_id IS NULL OR trim(alert_id) = '' THEN 'Missing primar
   WHEN severity = 'urgent' THEN 'Invalid severity tier' END AS quarantine_reason FROM dirty""")
 cte("ri_a", "SELECT * FROM alerts WHERE entity_id NOT IN ('N3', 'N7')")
 cte("ri_c", "SELECT c.* FROM cases c WHERE EXISTS (SELECT 1 FROM ri_a a WHERE a.alert_id = c.alert_id)")
+cte("orphaned", """
+SELECT 'alerts' AS table_name, alert_id AS record_id, 'Referential integrity: entity_id not in entities' AS quarantine_reason FROM alerts WHERE entity_id IN ('N3', 'N7')
+UNION ALL SELECT 'cases', case_id, 'Referential integrity: alert_id not in alerts' FROM cases c WHERE NOT EXISTS (SELECT 1 FROM ri_a a WHERE a.alert_id = c.alert_id)""")
+cte("sliced", "SELECT *, (('0x' || substr(md5('42:' || k), 1, 8))::BIGINT % 100)::INT AS s FROM alerts")
+cte("spoilt", """
+SELECT k + CASE WHEN s = 5 THEN 1099511627776 ELSE 0 END AS row_pos, s, CASE WHEN s = 5 THEN coalesce(f.a, alert_id) ELSE alert_id END AS alert_id, CASE WHEN s = 4 THEN 'GHOST' ELSE entity_id END AS entity_id,
+  created_us, CASE WHEN s = 2 THEN NULL WHEN s = 3 THEN created_us - 2700000000 ELSE ack_us END AS a_us, closed_us, CASE WHEN s = 0 THEN 'p1-urgent' WHEN s = 1 THEN '' ELSE severity END AS severity
+FROM sliced LEFT JOIN (SELECT entity_id, min_by(alert_id, k) AS a FROM sliced WHERE s > 5 GROUP BY 1) f USING (entity_id)""")
+cte("spoilt_judged", """
+SELECT s, ['bad_severity', 'missing_severity', 'bad_timestamp', 'reversed_timestamp', 'ghost_entity', 'duplicate_pk'][s + 1] AS corruption, CASE WHEN row_number() OVER (PARTITION BY alert_id ORDER BY row_pos) > 1 THEN 'duplicate_pk' WHEN a_us IS NULL THEN 'bad_timestamp' WHEN created_us > a_us THEN 'reversed_timestamp' WHEN a_us > closed_us THEN 'late'
+  WHEN severity NOT IN ('critical', 'high', 'medium', 'low') THEN 'severity' WHEN entity_id NOT IN (SELECT entity_id FROM entities) THEN 'ghost_entity' END AS reason FROM spoilt""")
+cte("steadier", """
+SELECT entity_id, round_even(greatest(least(sum(weight * round_even(100 * (1 - exp(-coalesce(s, 0) / 45)), 2)), 100), 0), 2) AS r FROM entities CROSS JOIN weights
+LEFT JOIN (SELECT entity_id, area, sum(score) AS s FROM findings JOIN area_map USING (detector_id) WHERE detector_id <> 'EG-08' GROUP BY ALL) USING (entity_id, area) GROUP BY 1""")
+cte("tidied", """
+SELECT 'EG-03' AS detector_id, count(*) FILTER (wf_n = 0 AND before) AS before, count(*) FILTER (wf_n + 1 = 0 AND before) AS after FROM (
+  SELECT *, wf_n = 0 AND dur >= 60 AND row_number() OVER (PARTITION BY has_case AND wf_n = 0 AND dur >= 60 ORDER BY asset_id, category, created_us, alert_id) <= 15 AS before FROM af WHERE entity_id = 'N5' AND has_case)
+UNION ALL SELECT 'NS-01', count(*), count(*) FROM asf WHERE entity_id = 'N5' AND criticality = 'critical' AND monitoring_expected AND is_silent
+UNION ALL SELECT 'NS-03', least(count(*), 1), least(count(*), 1) FROM af WHERE entity_id = 'N5' AND ch AND NOT has_case""")
+cte("at_share", """
+SELECT share, round_even(count(m.finding_id) / count(*)::DOUBLE, 6) AS precision
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, finding_id) AS rank FROM findings) f JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id)
+JOIN (SELECT DISTINCT entity_id FROM truth) USING (entity_id) CROSS JOIN (SELECT unnest([5e-2, 0.1, 0.2]::DOUBLE[]) AS share) LEFT JOIN matched m USING (finding_id) WHERE rank <= greatest(5, round_even(n * share, 0)) GROUP BY share""")
+cte("manual_at", """
+SELECT baseline, share, round_even(count(h.alert_id) / count(*)::DOUBLE, 6) AS precision
+FROM by_hand b JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id) CROSS JOIN (SELECT unnest([5e-2, 0.1, 0.2]::DOUBLE[]) AS share) LEFT JOIN hits h USING (entity_id, alert_id)
+WHERE position <= greatest(5, round_even(n * share, 0)) GROUP BY ALL""")
+cte("suites", """
+SELECT unnest(['full', CASE WHEN detector_id IN ('EG-03', 'EG-05', 'NS-01', 'NS-03', 'NS-05') THEN 'rules' ELSE 'statistics' END]) AS suite, * FROM findings""")
 cte("nov", "SELECT * FROM months")
 
 FEATURES = ("monthly_volume", "crit_volume", "crit_median_close_sec", "ch_esc_rate", "unworked_ratio", "sla_window_ratio", "fp_rate", "unique_assets_alerted")
@@ -365,8 +394,8 @@ SELECT entity_id, e AS early_index, l AS late_index, CASE WHEN l - e > 15 THEN '
     "queue_full": "SELECT entity_id, rank, 'QI-' || entity_id || '-' || lpad(rank::VARCHAR, 3, '0') AS item_id, bucket, scope, split_part(scope, ':', 1) AS target_type FROM (SELECT entity_id, rank, 'risk' AS bucket, scope FROM picked UNION ALL SELECT entity_id, taken + pick, 'control', 'alert:' || alert_id FROM control)",
     "claim_evidence": "SELECT entity_id, " + _r("mttc_min", "coverage_pct", "fp_rate_pct", "escalation_pct") + " FROM evidence",
     "claim_compare": "SELECT entity_id, metric, round(claimed, 3) AS claimed, round(observed, 3) AS observed, round(exaggeration, 3) AS exaggeration, round(credibility, 3) AS credibility FROM compared",
-    "claim_index": "SELECT entity_id, exaggerated, substantiated, claims, verdict FROM verdicts",
-    "claim_summary": "SELECT count(*) AS entities, sum(exaggerated)::BIGINT AS exaggerated_claims, count(*) FILTER (verdict = 'substantiated') AS substantiated_entities, count(*) FILTER (verdict = 'partially substantiated') AS partially_substantiated_entities, count(*) FILTER (verdict = 'not substantiated') AS not_substantiated_entities FROM verdicts",
+    "claim_index": "SELECT entity_id, idx AS credibility_index, exaggerated, substantiated, claims, verdict FROM verdicts",
+    "claim_summary": "SELECT count(*) AS entities, round_even(avg(idx), 1) AS mean_index, sum(exaggerated)::BIGINT AS exaggerated_claims, count(*) FILTER (verdict = 'substantiated') AS substantiated_entities, count(*) FILTER (verdict = 'partially substantiated') AS partially_substantiated_entities, count(*) FILTER (verdict = 'not substantiated') AS not_substantiated_entities FROM verdicts",
     "feedback_weights": "SELECT entity_id, detector_id, round(factor, 4) AS factor, version FROM fw",
     "feedback_apply": "SELECT entity_id, detector_id, count(*) FILTER (coalesce(factor, 1) <> 1) AS weighed, count(*) AS n FROM findings LEFT JOIN fw USING (entity_id, detector_id) GROUP BY ALL",
     "feedback_latest": "SELECT finding_id, feedback_id, decision FROM ledger QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY feedback_id DESC) = 1",
@@ -409,6 +438,25 @@ SELECT entity_id, alert_id, score, row_number() OVER (PARTITION BY entity_id ORD
     "top_findings": "SELECT finding_id, entity_id, detector_id, scope FROM findings ORDER BY score DESC, finding_id LIMIT 25",
     "top_detectors": "SELECT detector_id, count(*) AS findings FROM findings GROUP BY 1 ORDER BY findings DESC, detector_id LIMIT 15",
     "capability_profile": "SELECT entity_id, area, round(score, 2) AS score, round(m, 2) AS median_score, round(score - m, 2) AS gap FROM areas JOIN (SELECT area, median(score) AS m FROM areas GROUP BY 1) USING (area)",
+    "sql_quarantine_sample": "SELECT * FROM orphaned ORDER BY table_name, record_id LIMIT 50",
+    "store_roundtrip": "SELECT 'alerts' AS table_name, count(*) AS rows FROM alerts UNION ALL SELECT 'cases', count(*) FROM cases UNION ALL SELECT 'workflow_events', count(*) FROM wf UNION ALL SELECT 'escalations', count(*) FROM esc UNION ALL SELECT 'assets', count(*) FROM assets UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'quarantine', 0 UNION ALL SELECT 'severity ' || severity, count(*) FROM alerts GROUP BY severity",
+    "csv_source": "SELECT coalesce(quarantine_reason, 'valid') AS reason, count(*) AS n FROM judged GROUP BY 1",
+    "json_source": "SELECT coalesce(quarantine_reason, 'valid') AS reason, count(*) AS n FROM judged GROUP BY 1",
+    "spearman_p": """
+SELECT round(rho, 6) AS rho, n, round(1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / (n - 2), -(n - 1) / 2.0))) * t / 12000 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()), 6) AS p
+FROM (SELECT *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM (SELECT corr(rx, ry) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
+  FROM (SELECT entity_id, count(*) AS x, avg((severity = 'critical')::INT) AS y FROM alerts GROUP BY 1))))""",
+    "queue_decisions": """
+SELECT entity_id, rank, bucket, scope, CASE WHEN t < '4' THEN 'dismiss' WHEN t < '8' THEN CASE WHEN finding_id[-2] < '8' THEN 'confirm' ELSE 'dismiss' END END AS decision, CASE WHEN t < '4' THEN 2 WHEN t < '8' THEN 1 END::BIGINT AS decided_by
+FROM (SELECT entity_id, rank, 'risk' AS bucket, scope, finding_id, finding_id[-1] AS t FROM picked UNION ALL SELECT entity_id, taken + pick, 'control', 'alert:' || alert_id, NULL, NULL FROM control)""",
+    "lift_over_manual": "SELECT a.share, a.precision, baseline, m.precision AS baseline_precision, round(coalesce(a.precision / nullif(m.precision, 0), 1), 4) AS lift FROM at_share a JOIN manual_at m ON a.share = m.share",
+    "ablation_precision": """
+SELECT suite, count(*) AS findings, count(*) FILTER (inside) AS items, count(*) FILTER (inside AND hit) AS true_positives, round_even(count(*) FILTER (inside AND hit) / nullif(count(*) FILTER (inside), 0)::DOUBLE, 6) AS precision, round_even(count(*) FILTER (inside AND hit) / max(total)::DOUBLE, 6) AS recall
+FROM (SELECT suite, m.finding_id IS NOT NULL AS hit, row_number() OVER (PARTITION BY suite, entity_id ORDER BY score DESC, s.finding_id) <= greatest(5, round_even(n * 0.1::DOUBLE, 0)) AS inside
+  FROM suites s JOIN (SELECT entity_id, count(*) AS n FROM alerts GROUP BY 1) USING (entity_id) JOIN (SELECT DISTINCT entity_id FROM truth) USING (entity_id) LEFT JOIN matched m ON m.finding_id = s.finding_id) CROSS JOIN (SELECT count(*) AS total FROM truth) GROUP BY suite""",
+    "messy_catch_rate": "SELECT corruption, count(*) AS injected, count(*) FILTER (reason = CASE WHEN s < 2 THEN 'severity' ELSE corruption END) AS caught, round(count(*) FILTER (reason = CASE WHEN s < 2 THEN 'severity' ELSE corruption END) / count(*)::DOUBLE, 6) AS rate FROM spoilt_judged WHERE s < 6 GROUP BY 1",
+    "rank_stability": "SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT risk_index AS x, r AS y FROM risk JOIN steadier USING (entity_id)))",
+    "lane_survival": "SELECT *, round(after / before::DOUBLE, 6) AS survival FROM tidied WHERE before > 0",
     "indicators": "SELECT count(*) AS findings, count(*) FILTER (pct >= 0.9) AS extreme, count(*) FILTER (sev >= 5) AS severe, (SELECT count(*) FROM risk WHERE risk_tier IN ('high', 'critical')) AS risky_entities FROM findings",
 }
 
@@ -427,6 +475,7 @@ RELATIVE: dict[str, tuple[str, str]] = {
 ORACLE_SQL: dict[str, str] = {n: needs(sql) for n, sql in PLAIN.items()}
 ORACLE_SQL |= {n: needs(sql, peers(values)) for n, (values, sql) in RELATIVE.items()}
 ORACLE_SQL |= {f"findings_{n[2:]}": needs(f"SELECT finding_id, entity_id, scope, category, sev::DOUBLE AS severity_weight, round(dev, 3) AS deviation, round(pct, 4) AS peer_percentile, conf::DOUBLE AS confidence, array_to_string(list_sort(refs), ',') AS refs FROM {n}") for n in FOUND}
+ORACLE_SQL["trend_distribution"] = needs(f"SELECT trend, count(*) AS entities FROM ({PLAIN['qoq_trend']}) GROUP BY 1")
 ORACLE_SQL["findings_by_detector"] = needs("SELECT detector_id, count(*) AS findings FROM findings GROUP BY 1")
 ORACLE_SQL["eg01"] = needs("SELECT entity_id, alert_id, severity, dur, " + _r("p5", "median", "z", "percentile") + ", dur > 0 AND (dur <= p5 OR z <= -2.5 OR percentile <= 5e-2) AS hit FROM done", _EG01)
 ORACLE_SQL["eg04"] = needs("SELECT entity_id, cases, notes, " + _r("share", "similarity", "entropy") + ", share >= 0.35 AND similarity >= 0.9 AND entropy <= 1 AS hit FROM done", _NOTES)

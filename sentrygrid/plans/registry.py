@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrygrid.functions.stats import entropy_bits, gini, poisson_cdf, spearman
+from sentrygrid.functions.stats import correlation_p, entropy_bits, gini, poisson_cdf, spearman
 from sentrygrid.operators import anomaly, audit, claims, cohorts, detectors, evaluation, features, feedback, generators, quarantine, review_queue, robustness, scoring, serving
 from sentrygrid.operators.detectors import Context
 from sentrygrid.schema import Bundle
@@ -100,6 +102,49 @@ def sql_top_assets(spark, d):
     return _canned(spark, d, "top_assets")
 
 
+@query
+def sql_quarantine_sample(spark, d):
+    return spark.sql(serving.CANNED["quarantine_sample"].replace("FROM quarantine", "FROM {quarantine}"), quarantine=_orphaned(spark, d).quarantine)
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sentrygrid-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query
+def store_roundtrip(spark, d):
+    """Rows of each table, and alerts by severity through SQL, of a store written and read back."""
+    path = _scratch(spark, "store")
+    store.write_store(driver_tables.bundle(spark, d), path)
+    by_severity = store.query(spark, path, "SELECT concat('severity ', severity) AS table_name, count(*) AS rows FROM alerts GROUP BY severity")
+    return quarantine.counts(store.load_bundle(spark, path)).unionByName(by_severity)
+
+
+def _from_text(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    """Valid and quarantined alerts by reason of a dataset written as text and loaded."""
+    path = _scratch(spark, fmt)
+    driver_tables.dirty_alerts(spark, d).write.option("header", True).format(fmt).save(f"{path}/alerts.{fmt}")
+    loaded = store.load_dataset(spark, path)
+    parts = [loaded.alerts.select(F.lit("valid").alias("reason")), loaded.quarantine.select(F.col("quarantine_reason").alias("reason"))]
+    return parts[0].unionByName(parts[1]).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def csv_source(spark, d):
+    return _from_text(spark, d, "csv")
+
+
+@query
+def json_source(spark, d):
+    return _from_text(spark, d, "json")
+
+
 @query
 def sql_grouping_sets(spark, d):
     b = driver_tables.bundle(spark, d)
@@ -299,6 +344,13 @@ def spearman_rank(spark, d):
     return rounded(spearman(a, "x", "y"), "rho")
 
 
+@query
+def spearman_p(spark, d):
+    """Volume against share of critical alerts, with the p-value."""
+    a = driver_tables.alerts(spark, d).groupBy("entity_id").agg(F.count("*").alias("x"), F.avg((F.col("severity") == "critical").cast("int")).alias("y"))
+    return rounded(spearman(a, "x", "y").withColumn("p", correlation_p(F.col("rho"), F.col("n"))), "rho", "p")
+
+
 # ---------------------------------------------------------------- detectors
 @query
 def eg01(spark, d):
@@ -421,7 +473,7 @@ def risk_index(spark, d):
 @query
 def risk_tier(spark, d):
     out = scoring.risk_index(scoring.area_scores(spark, basic_findings(spark, d), driver_tables.entities(spark, d)))
-    return out.groupBy("risk_tier").agg(F.count("*").alias("entities"))
+    return serving.distribution(out, "risk_tier")
 
 
 @query
@@ -429,6 +481,11 @@ def qoq_trend(spark, d):
     return scoring.trends(basic_findings(spark, d), driver_tables.alerts(spark, d))
 
 
+@query
+def trend_distribution(spark, d):
+    return serving.distribution(scoring.trends(basic_findings(spark, d), driver_tables.alerts(spark, d)), "trend")
+
+
 @query
 def peer_percentile(spark, d):
     return rounded(scoring.portfolio(spark, basic_findings(spark, d), driver_tables.bundle(spark, d)).select("entity_id", "peer_percentile", "finding_count"), "peer_percentile")
@@ -471,12 +528,12 @@ def claim_compare(spark, d):
 
 @query
 def claim_index(spark, d):
-    return claims.claim_index(claims.compare(driver_tables.bundle(spark, d))).drop("credibility_index")
+    return claims.claim_index(claims.compare(driver_tables.bundle(spark, d)))
 
 
 @query
 def claim_summary(spark, d):
-    return claims.summary(claims.claim_index(claims.compare(driver_tables.bundle(spark, d)))).drop("mean_index")
+    return claims.summary(claims.claim_index(claims.compare(driver_tables.bundle(spark, d))))
 
 
 # ---------------------------------------------------------------- feedback and audit
@@ -508,6 +565,17 @@ def feedback_history(spark, d):
     return feedback.history(ledger(spark, d), entity="N3", limit=50).select("feedback_id", "detector_id", "decision")
 
 
+@query
+def queue_decisions(spark, d):
+    """Queue items with the last of up to two decisions on their finding, which the last digits of its id fix."""
+    f = basic_findings(spark, d)
+    tail = F.right("finding_id", F.lit(1))
+    once = f.where(tail < "8").select("finding_id", F.lit(1).alias("feedback_id"), F.when(F.substring("finding_id", -2, 1) < "8", "confirm").otherwise("dismiss").alias("decision"))
+    again = f.where(tail < "4").select("finding_id", F.lit(2).alias("feedback_id"), F.lit("dismiss").alias("decision"))
+    q = feedback.decided(review_queue.build_queues(f, driver_tables.alerts(spark, d), BUDGET), once.unionByName(again))
+    return longs(q.select("entity_id", "rank", "bucket", "scope", "decision", "decided_by"), "rank", "decided_by")
+
+
 @query
 def expert_agreement(spark, d):
     k = F.col("o_orderkey")
@@ -586,12 +654,21 @@ def case_hits(spark, d):
     return evaluation.alert_hits(driver_tables.bundle(spark, d), case_truth(spark, d))
 
 
-@query
-def manual_baselines(spark, d):
+def _manual(spark: SparkSession, d: str) -> DataFrame:
     b = driver_tables.bundle(spark, d)
     hits = evaluation.alert_hits(b, case_truth(spark, d))
     parts = [evaluation.manual_precision(o.select("entity_id", "alert_id", "position"), hits).withColumn("baseline", F.lit(n)) for n, o in (("stratified", evaluation.stratified_order(b.alerts)), ("checklist", evaluation.checklist(b)))]
-    return longs(parts[0].unionByName(parts[1]), "items", "true_positives")
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def manual_baselines(spark, d):
+    return longs(_manual(spark, d), "items", "true_positives")
+
+
+@query
+def lift_over_manual(spark, d):
+    return rounded(evaluation.lifts(precision_at_k(spark, d), _manual(spark, d)), "lift", digits=4)
 
 
 @query
@@ -599,6 +676,13 @@ def ablation(spark, d):
     return evaluation.ablation(basic_findings(spark, d)).groupBy("suite").agg(F.count("*").alias("findings"))
 
 
+@query
+def ablation_precision(spark, d):
+    t = truth(spark, d)
+    sizes = driver_tables.alerts(spark, d).groupBy("entity_id").agg(F.count("*").alias("alerts")).join(t.groupBy("entity_id").agg(F.count("*").alias("faults")), "entity_id")
+    return longs(evaluation.ablation_precision(basic_findings(spark, d), t, sizes), "findings", "items", "true_positives")
+
+
 @query
 def fault_intensity(spark, d):
     return evaluation.fault_intensity(truth(spark, d))
@@ -612,7 +696,8 @@ def most_faulty(spark, d):
 # ---------------------------------------------------------------- robustness
 @query
 def messy_catch_rate(spark, d):
-    raw = driver_tables.dirty_alerts(spark, d).where("row_pos % 101 != 0 and row_pos % 103 != 0 and row_pos % 50 != 1 and row_pos % 89 != 0 and row_pos % 97 != 0 and row_pos % 107 != 0 and row_pos % 109 != 0 and row_pos % 113 != 0")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    raw = driver_tables.alerts(spark, d).select(F.substring("alert_id", 2, 20).cast("long").alias("row_pos"), "alert_id", "entity_id", "asset_id", "category", "severity", text("created_ts"), text("ack_ts"), text("closed_ts"), "disposition")
     judged = quarantine.with_reason("alerts", robustness.corrupt(raw))
     known = driver_tables.entities(spark, d).select("entity_id").withColumn("known", F.lit(True))
     both = judged.join(known, "entity_id", "left").withColumn("quarantine_reason", F.coalesce("quarantine_reason", F.when(F.col("known").isNull(), robustness.CORRUPTIONS["ghost_entity"])))
@@ -623,8 +708,7 @@ def messy_catch_rate(spark, d):
 def lane_survival(spark, d):
     b = driver_tables.bundle(spark, d)
     after = robustness.tidy(b, "N5")
-    names = ["EG-03", "NS-03"]
-    pick = lambda x: detectors.findings(names[0], Context(x)).unionByName(detectors.findings(names[1], Context(x)))
+    pick = lambda x: detectors.run_detectors(x, ["EG-03", "NS-01", "NS-03"])
     return rounded(robustness.lane_survival(pick(b), pick(after), "N5"), "survival")
 
 

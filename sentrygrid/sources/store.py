@@ -33,18 +33,27 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return raw.select(*[c for c in columns if c in raw.columns])
 
 
-def read_raw(spark: SparkSession, fmt: str, path: str) -> DataFrame:
-    """A file as it is; text formats as strings, so that bad values survive to validation.  ``row_pos`` is the scan order."""
+def _is_array(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold one array each and not an object a line."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return first is not None and first["value"].lstrip().startswith("[")
+
+
+def read_raw(spark: SparkSession, fmt: str, path: str, multi_line: bool = True) -> DataFrame:
+    """A file as it is; text formats as strings, so that bad values survive to validation.
+
+    ``row_pos``, where a file has none, is the scan order.  CSV fields may hold line breaks; without ``multi_line`` they
+    may not, and large files are split.  JSON is an object a line, which is split, or an array a file."""
     if fmt == "parquet":
         raw = spark.read.parquet(path)
     elif fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     else:
-        raw = spark.read.option("primitivesAsString", True).json(path, multiLine=True)
-    return raw.withColumn("row_pos", F.monotonically_increasing_id())
+        raw = spark.read.option("primitivesAsString", True).json(path, multiLine=_is_array(spark, path))
+    return raw.withColumn("row_pos", F.col("row_pos").cast("long") if "row_pos" in raw.columns else F.monotonically_increasing_id())
 
 
-def load_dataset(spark: SparkSession, source: str | dict[str, DataFrame], quarantine_dir: str | None = None) -> Bundle:
+def load_dataset(spark: SparkSession, source: str | dict[str, DataFrame], quarantine_dir: str | None = None, multi_line: bool = True) -> Bundle:
     """Read, validate and tie together the canonical tables of a folder or of DataFrames."""
     if isinstance(source, str) and not _exists(spark, source):
         raise FileNotFoundError(source)
@@ -54,7 +63,7 @@ def load_dataset(spark: SparkSession, source: str | dict[str, DataFrame], quaran
             raw = source[name].withColumn("row_pos", F.monotonically_increasing_id()) if name in source and "row_pos" not in source[name].columns else source.get(name)
         else:
             found = resolve(spark, source, name)
-            raw = read_raw(spark, *found) if found else None
+            raw = read_raw(spark, *found, multi_line) if found else None
         if raw is None:
             good[name] = empty(spark, name)
         else:
