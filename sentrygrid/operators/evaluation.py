@@ -62,10 +62,27 @@ def random_baseline(alerts: DataFrame, hits: DataFrame) -> DataFrame:
     return alerts.select("entity_id", "alert_id").join(flagged, "alert_id", "left").groupBy("entity_id").agg(F.count("*").alias("alerts"), F.count("hit").alias("hits")).withColumn("expected_precision", F.col("hits") / F.col("alerts"))
 
 
+def numbered(rows: DataFrame, key: str, coarse: list[Column], order: list[Column | str], name: str) -> DataFrame:
+    """Positions from 1 within each key, ordered by ``coarse``, whose values are never null, and then ``order``.
+
+    Rows are numbered within each coarse value and shifted by the counts of earlier ones, so that a key's rows are spread over tasks."""
+    parts = [f"__c{i}" for i in range(len(coarse))]
+    dealt = rows.withColumns(dict(zip(parts, coarse, strict=True)))
+    counts = dealt.groupBy(key, *parts).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(key, *parts).orderBy(*order))
+    return dealt.withColumn("__r", within).join(starts, [key, *parts]).withColumn(name, (F.col("__before") + F.col("__r")).cast("int")).drop(*parts, "__n", "__r", "__before")
+
+
+def _day(c: str) -> Column:
+    """The day of a time as a number; a missing time comes first, as in ascending order."""
+    return F.coalesce(F.unix_date(F.to_date(c)), F.lit(-(1 << 31)))
+
+
 def uniform_sample(alerts: DataFrame, step: int = STEP) -> DataFrame:
     """Every ``step``-th alert of each entity in time order."""
-    order = Window.partitionBy("entity_id").orderBy("created_ts", "alert_id")
-    return alerts.withColumn("r", F.row_number().over(order) - 1).where(F.col("r") % step == 0).drop("r")
+    return numbered(alerts.where("entity_id is not null"), "entity_id", [_day("created_ts")], ["created_ts", "alert_id"], "__p").where((F.col("__p") - 1) % step == 0).drop("__p")
 
 
 def lift(measured: Column, baseline: Column) -> Column:
@@ -75,8 +92,8 @@ def lift(measured: Column, baseline: Column) -> Column:
 def stratified_order(alerts: DataFrame) -> DataFrame:
     """Positions in the order critical first, then time, then id."""
     rank = F.coalesce(*[F.when(F.lower(F.trim("severity")) == s, i) for i, s in enumerate(("critical", "high", "medium", "low"))], F.lit(9))
-    order = Window.partitionBy("entity_id").orderBy(rank, "created_ts", "alert_id")
-    return alerts.select("entity_id", "alert_id", F.row_number().over(order).alias("position"))
+    rows = alerts.where("entity_id is not null")
+    return numbered(rows, "entity_id", [rank, _day("created_ts")], ["created_ts", "alert_id"], "position").select("entity_id", "alert_id", "position")
 
 
 def checklist(bundle: Bundle) -> DataFrame:
@@ -90,8 +107,9 @@ def checklist(bundle: Bundle) -> DataFrame:
     score = base
     for name, rule in rules.items():
         score = score + F.when(rule, POINTS[name]).otherwise(0.0)
-    out = af.select("entity_id", "alert_id", score.alias("score"))
-    return out.withColumn("position", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("score"), "alert_id")))
+    out = af.where("entity_id is not null").select("entity_id", "alert_id", score.alias("score"))
+    head = F.coalesce(F.substring("alert_id", 1, 4), F.lit(""))  # keeps the order of ids
+    return numbered(out, "entity_id", [-F.col("score"), head], ["alert_id"], "position")
 
 
 def alert_hits(bundle: Bundle, truth: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def control_items(alerts: DataFrame, picked: DataFrame, budget: int, seed: int =
     usable = sized.where(~F.col("flagged") | (F.col("free") < F.col("need")))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "entity_id", "alert_id"))
     order = Window.partitionBy("entity_id").orderBy(draw, "alert_id")
-    return usable.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= F.col("need")).select("entity_id", "alert_id", "pick", "taken")
+    picks = usable.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= max(control, budget))  # nobody needs more: Spark keeps so many an entity before it shuffles
+    return picks.where(F.col("pick") <= F.col("need")).select("entity_id", "alert_id", "pick", "taken")
 
 
 def build_queues(findings: DataFrame, alerts: DataFrame, budget: int = 50, seed: int = SEED) -> DataFrame:

@@ -3,8 +3,10 @@ from datetime import timedelta
 import pytest
 from helpers import T0, alert, asset, bundle, case, entity, event, raised
 
+from pyspark.sql import functions as F
+
 from sentrygrid.operators import anomaly
-from sentrygrid.operators.detectors import Context, findings, run_detectors
+from sentrygrid.operators.detectors import Context, finding, findings, register, run_detectors, unregister
 from sentrygrid.schema import FINDING
 
 PEERS = ("E1", "E2", "E3")
@@ -170,3 +172,19 @@ def test_outlier_factors_look_at_all_rows_beyond_a_block(spark):
         got = {r.entity_id: r.lof for r in anomaly.lof(points, k, block).collect()}
         assert len(got) == len(x)
         np.testing.assert_allclose([got[n.split("/")[0]] for n in names], want, rtol=1e-9)
+
+
+def test_added_detector_runs_with_the_others(spark):
+    def low_volume(c):
+        few = c.bundle.alerts.groupBy("entity_id").agg(F.count("*").alias("n")).where("n < 3")
+        return finding(few, "XX-01", "NEGATIVE_SPACE", F.concat(F.lit("entity:"), "entity_id"), F.lit("few"), F.lit(1.0), -F.col("n"), F.lit(0.1), F.lit(0.5), F.lit("few alerts"), F.array().cast("array<string>"), ["n"])
+
+    register("XX-01", low_volume)
+    try:
+        with pytest.raises(ValueError):
+            register("XX-01", low_volume)
+        out = run_detectors(bundle(spark, alerts=[alert(1)], cases=[case("E1-1")]))
+        assert [(r.entity_id, r.deviation) for r in out.where("detector_id = 'XX-01'").collect()] == [("E1", -1.0)]
+    finally:
+        unregister("XX-01")
+    assert run_detectors(bundle(spark, alerts=[alert(1)]), ["NS-03"]).where("detector_id = 'XX-01'").isEmpty()

@@ -99,3 +99,17 @@ def test_incremental_ingest(spark, tmp_path):
         (inbox / f"f{i}.csv").write_text(f"{header}\nC{i},triage,analyst,2026-01-01 10:00:00\nC9,x,y,never\n")
         ingest_new(spark, *args).awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out").count() == n and spark.read.parquet(f"{tmp_path}/bad").count() == n
+
+
+def test_json_lines_and_json_arrays_are_read_whole(spark, tmp_path):
+    lines, array = tmp_path / "lines.json", tmp_path / "array.json"
+    lines.write_text('{"a": 1}\n{"a": 2}\n')
+    array.write_text('[\n {"a": 1},\n {"a": 2}\n]')
+    for path in (lines, array):
+        assert sorted(r.a for r in store.read_raw(spark, "json", str(path)).collect()) == ["1", "2"]
+
+
+def test_csv_fields_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1,"two\nlines"\n')
+    assert [(r.a, r.b) for r in store.read_raw(spark, "csv", str(path)).collect()] == [("1", "two\nlines")]

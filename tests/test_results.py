@@ -145,3 +145,26 @@ def test_tidying_removes_lanes(spark):
 def test_generator_does_not_depend_on_partitions(spark):
     one = generators.scale_bundle(spark, 500).alerts.collect()
     assert sorted(one) == sorted(generators.scale_bundle(spark, 500).alerts.repartition(7).collect())
+
+
+def test_positions_are_those_of_one_window(spark):
+    rows = [(f"E{i % 2}", i * 7 % 5, i * 3 % 4) for i in range(60)] + [("E1", 1, 1)] * 3
+    df = spark.createDataFrame(rows, "k string, a int, b int")
+    got = evaluation.numbered(df, "k", [F.col("a")], ["b"], "p").collect()
+    for key in ("E0", "E1"):
+        mine = sorted((r.p, r.a, r.b) for r in got if r.k == key)
+        assert [p for p, _, _ in mine] == list(range(1, len(mine) + 1))
+        assert [(a, b) for _, a, b in mine] == sorted((a, b) for k, a, b in rows if k == key)
+    assert evaluation.numbered(df.limit(0), "k", [F.col("a")], ["b"], "p").isEmpty()
+
+
+def test_lift_is_one_where_a_baseline_finds_nothing(spark):
+    measured = spark.createDataFrame([(0.1, 0.3)], "share double, precision double")
+    base = spark.createDataFrame([(0.1, "a", 0.15), (0.1, "b", 0.0)], "share double, baseline string, precision double")
+    assert {r.baseline: r.lift for r in evaluation.lifts(measured, base).collect()} == {"a": 2.0, "b": 1.0}
+
+
+def test_last_decision_of_queue_items(spark):
+    queue = spark.createDataFrame([("E1", 1, "F1"), ("E1", 2, "F2"), ("E1", 3, None)], "entity_id string, rank int, finding_id string")
+    ledger = spark.createDataFrame([(1, "F1", "confirm"), (2, "F1", "dismiss")], "feedback_id long, finding_id string, decision string")
+    assert {r["rank"]: (r.decision, r.decided_by) for r in feedback.decided(queue, ledger).collect()} == {1: ("dismiss", 2), 2: (None, None), 3: (None, None)}

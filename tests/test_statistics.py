@@ -66,3 +66,13 @@ def test_spearman_with_ties(spark):
     random.seed(1)
     rows = [(float(i // 2), float(-i)) for i in range(10)]
     assert stats.spearman(spark.createDataFrame(rows, "x double, y double"), "x", "y").first().rho == pytest.approx(-0.9847, abs=1e-3)
+
+
+@pytest.mark.parametrize(("rho", "n", "p"), [(0.5, 10, 0.14111328), (0.5, 3, 2 / 3), (0.5, 4, 0.5), (-0.3, 25, 0.14504), (1.0, 12, 0.0), (0.0, 7, 1.0)])
+def test_p_value_of_a_correlation(spark, rho, n, p):
+    row = spark.createDataFrame([(rho, n)], "rho double, n long").select(stats.correlation_p(F.col("rho"), F.col("n")).alias("p")).first()
+    assert row.p == pytest.approx(p, abs=2e-4)
+
+
+def test_p_value_needs_three_pairs(spark):
+    assert spark.createDataFrame([(1.0, 2)], "rho double, n long").select(stats.correlation_p(F.col("rho"), F.col("n")).alias("p")).first().p is None
