@@ -47,13 +47,15 @@ def control_items(alerts: DataFrame, picked: DataFrame, budget: int, seed: int =
     taken = picked.groupBy("entity_id").agg(F.count("*").alias("taken"))
     pool = alerts.select("entity_id", "alert_id").join(refs, ["entity_id", "alert_id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     free = pool.groupBy("entity_id").agg(F.count_if(~F.col("flagged")).alias("free"))
-    sized = pool.join(free, "entity_id").join(taken, "entity_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "entity_id", "alert_id"))
+    # Nobody needs more than these of either kind; Spark keeps so many an entity before it shuffles.
+    first = F.row_number().over(Window.partitionBy("entity_id", "flagged").orderBy(draw, "alert_id"))
+    drawn = pool.withColumn("first", first).where(F.col("first") <= max(control, budget)).drop("first")
+    sized = drawn.join(free, "entity_id").join(taken, "entity_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     sized = sized.withColumn("need", F.greatest(F.lit(control), F.lit(budget) - F.col("taken")))
     usable = sized.where(~F.col("flagged") | (F.col("free") < F.col("need")))
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "entity_id", "alert_id"))
     order = Window.partitionBy("entity_id").orderBy(draw, "alert_id")
-    picks = usable.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= max(control, budget))  # nobody needs more: Spark keeps so many an entity before it shuffles
-    return picks.where(F.col("pick") <= F.col("need")).select("entity_id", "alert_id", "pick", "taken")
+    return usable.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= F.col("need")).select("entity_id", "alert_id", "pick", "taken")
 
 
 def build_queues(findings: DataFrame, alerts: DataFrame, budget: int = 50, seed: int = SEED) -> DataFrame:
