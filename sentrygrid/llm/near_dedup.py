@@ -14,9 +14,11 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
    components, the classes outside its largest component are compared by registers with that component and with each
    other; in buckets that hold several families, classes of different families are compared alike.  Groups are cut
    into blocks of about ``GROUP`` classes or ``BLOCK_BYTES`` of sets, and a task compares the registers of two blocks.
-   Only classes with a likely pair of different components go on: their sets are read once for each pair of blocks that
-   needs them, and pairs that links found there have joined meanwhile are left out.  Texts are thus repeated by blocks
-   and not by pairs, and a true link inside a bucket is left out only if it joins nothing new.
+   Only classes with a likely pair of different components go on, each once for a pair of blocks, never the pairs
+   themselves: a pair that shares several buckets counts in the one of its least band key.  A task then holds the full
+   sets of two blocks, counts what each set shares with all sets of the other block by one sorted index of their
+   members, and returns the links that join something new there.  Texts are thus repeated by blocks and not by pairs,
+   and a true link inside a pair of blocks is left out only if it joins nothing new.
 6. Components are the transitive closure of the confirmed links.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
@@ -208,14 +210,18 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """One key a band for each row of registers."""
+    split = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mix((mix(split + _STEP) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4000):
             part = batch.slice(lo, 4000)
-            regs = _rows(part.column("registers")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = mix((mix(regs + _STEP) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
             ids = np.asarray(part.column("id"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(_rows(part.column("registers"))).ravel()), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
 
 
 LIKELY = NUMERATOR / DENOMINATOR - MARGIN
@@ -260,52 +266,66 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
 
-def _crossing(rows: list[tuple], same: bool) -> list[tuple[int, int, float]]:
-    """Likely pairs (u, v, estimate) of different components between two blocks, or within one: rows (left, id, component, size, registers)."""
-    left, right = rows if same else [r for r in rows if r[0]], rows if same else [r for r in rows if not r[0]]
-    if not left or not right:
-        return []
-    ids, comps, sizes = (np.array([r[i] for r in right], np.int64) for i in (1, 2, 3))
-    regs = np.frombuffer(b"".join(r[4] for r in right), np.uint16).reshape(len(right), REGISTERS)
-    out = []
-    for i, (_, doc, comp, n, own) in enumerate(left):
-        fit = np.flatnonzero((comps != comp) & (DENOMINATOR * np.minimum(n, sizes) >= NUMERATOR * np.maximum(n, sizes)))
-        if same:
-            fit = fit[fit > i]
-        mine = np.frombuffer(own, np.uint16)
-        fit = fit[(regs[fit] == mine).sum(axis=1) >= EQUAL]
+def _crossing(rows: list[tuple], same: bool, band: int | None = None) -> np.ndarray:
+    """Which rows (left, id, component, size, registers) have a likely pair of another component in the other block, or in
+    the same one: their positions.  With a ``band`` key, only pairs whose least shared key it is."""
+    place, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 3))
+    regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+    keys = None if band is None else band_keys(regs)
+    left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(place), np.flatnonzero(place == 0))
+    wanted = np.zeros(len(rows), bool)
+    for at, i in enumerate(left.tolist()):
+        fit = right[at + 1 :] if same else right
+        fit = fit[(comps[fit] != comps[i]) & (DENOMINATOR * np.minimum(sizes[i], sizes[fit]) >= NUMERATOR * np.maximum(sizes[i], sizes[fit]))]
+        if wanted[i]:
+            fit = fit[~wanted[fit]]  # two classes that both go on need no further reason
+        fit = fit[(regs[fit] == regs[i]).sum(axis=1) >= EQUAL]
+        if keys is not None and len(fit):
+            least = np.where(keys[fit] == keys[i], keys[i], np.iinfo(np.int64).max).min(axis=1)
+            fit = fit[least == band]
         if len(fit):
-            est = similarity(np.broadcast_to(mine, (len(fit), REGISTERS)), regs[fit], np.full(len(fit), float(n)), sizes[fit].astype(float))
-            out += [(doc, int(ids[j]), float(e)) for j, e in zip(fit.tolist(), est.tolist(), strict=True) if e >= LIKELY]
-    return out
+            est = similarity(np.broadcast_to(regs[i], (len(fit), REGISTERS)), regs[fit], np.full(len(fit), float(sizes[i])), sizes[fit].astype(float))
+            fit = fit[est >= LIKELY]
+            wanted[fit] = True
+            wanted[i] |= len(fit) > 0
+    return np.flatnonzero(wanted)
 
 
-CROSSED = "group long, l int, r int, u long, v long, est double"
-
-
-def _block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair of blocks; two blocks are held at a time."""
+def _by_blocks(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
+    """The rows of each pair of blocks (group, l, r), which lie together: two blocks are held at a time."""
     held: list[tuple] = []
     key = (0, 0, 0)
-
-    def flushed() -> pa.RecordBatch:
-        pairs = [(*key, *x) for x in _crossing(held, key[1] == key[2])]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], t) for i, t in enumerate(types)], [c.split()[0] for c in CROSSED.split(", ")])
-
     for batch in batches:
-        for group, l, r, code, doc, comp, n, regs in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "r", "code", "id", "component", "n_shingles", "registers")), strict=True):
+        for group, l, r, *row in zip(*(batch.column(c).to_pylist() for c in ["group", "l", "r", *columns]), strict=True):
             if held and key != (group, l, r):
-                yield flushed()
+                yield key, held
                 held = []
             key = (group, l, r)
-            held.append((code == l, doc, comp, n, regs))
+            held.append(tuple(row))
     if held:
-        yield flushed()
+        yield key, held
+
+
+NEEDED = "group long, l int, r int, left boolean, id long"
 
 
-def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: DataFrame, tag: str) -> DataFrame:
-    """Likely pairs of different components within groups, each once, with the blocks in which they met.
+def _block_pairs(banded: bool):
+    """The classes that have a likely pair in a pair of blocks: at most the rows that came in.  ``banded``: groups are band keys."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, l, r), rows in _by_blocks(batches, ["left", "id", "component", "n_shingles", "registers"]):
+            found = [rows[i] for i in _crossing(rows, l == r, group if banded else None).tolist()]
+            n = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * n, pa.int64()), pa.array([l] * n, pa.int32()), pa.array([r] * n, pa.int32()), pa.array([x[0] for x in found], pa.bool_()), pa.array([x[1] for x in found], pa.int64())],
+                ["group", "l", "r", "left", "id"],
+            )
+
+    return run
+
+
+def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: DataFrame, banded: bool, tag: str) -> DataFrame:
+    """The classes that have a likely pair of another component in their group, for each pair of blocks where they have one.
 
     ``members``: (group, id, component, inner); ``per``: (group, nb_g, nb_s), the numbers of blocks of inner members,
     which are not compared with each other, and of the others.  Inner blocks have codes below 0."""
@@ -314,45 +334,58 @@ def _compared(spark: SparkSession, members: DataFrame, per: DataFrame, reps: Dat
     rows = rows.withColumn("code", code)
     outer, core = F.sequence(F.lit(0), F.col("nb_s") - 1), F.when(F.col("nb_g") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nb_g") - 1, F.lit(0))), lambda j: -1 - j)).otherwise(F.array().cast("array<int>"))
     others = F.when(F.col("inner"), outer).otherwise(F.concat(outer, core))
-    rows = rows.select("group", "id", "component", "code", F.explode(others).alias("other")).select("group", "id", "component", "code", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"))
-    full = reps.select("id", "n_shingles", "registers").hint("merge").join(rows, "id").select("group", "l", "r", "code", "id", "component", "n_shingles", "registers")
+    rows = rows.select("group", "id", "component", "code", F.explode(others).alias("other"))
+    rows = rows.select("group", F.least("code", "other").alias("l"), F.greatest("code", "other").alias("r"), (F.col("code") <= F.col("other")).alias("left"), "id", "component")
+    full = reps.select("id", "n_shingles", "registers").hint("merge").join(rows, "id").select("group", "l", "r", "left", "id", "component", "n_shingles", "registers")
     dealt = full.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", "id")
-    pairs = dealt.mapInArrow(_block_pairs, CROSSED).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return materialize(spark, pairs.agg(F.max("est").alias("est"), F.min(F.struct("group", "l", "r")).alias("met")).select("met.group", "met.l", "met.r", "u", "v", "est"), tag)
+    return materialize(spark, dealt.mapInArrow(_block_pairs(banded), NEEDED), tag)
 
 
-def _new_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair of blocks: first the sets that it needs (id in u, component in v), then its pairs, likeliest first."""
-    key, sets, root = None, {}, {}
+def _linked(rows: list[tuple], same: bool) -> list[tuple[int, int]]:
+    """Links (u, v) between the full sets of two blocks, or within one, that join different components: rows (left, id, component, set)."""
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    right = [i for i, r in enumerate(rows) if same or not r[0]]
+    if not right:
+        return []
+    values, owners = np.concatenate([sets[i] for i in right]), np.repeat(np.array(right, np.int32), sizes[right])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    root: dict[int, int] = {}
 
     def find(c: int) -> int:
         while root.get(c, c) != c:
             c = root[c]
         return c
 
-    for batch in batches:
-        links = []
-        for group, l, r, u, v, members in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "r", "u", "v", "members")), strict=True):
-            if key != (group, l, r):
-                key, sets, root = (group, l, r), {}, {}
-            if members is not None:
-                sets[u] = (v, np.frombuffer(members, np.uint64))
-                continue
-            a, b = find(sets[u][0]), find(sets[v][0])
-            if a != b and alike(sets[u][1], sets[v][1]):
-                links.append((u, v))
+    links = []
+    for i, (left, doc, comp, _) in enumerate(rows):
+        if not (same or left):
+            continue
+        low = np.searchsorted(values, sets[i], "left")
+        n = np.searchsorted(values, sets[i], "right") - low
+        common = np.bincount(owners[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(rows))
+        fit = np.flatnonzero((common > 0) & (DENOMINATOR * common >= NUMERATOR * (sizes[i] + sizes - common)))
+        for j in fit.tolist():
+            a, b = find(comp), find(rows[j][2])
+            if a != b:
+                links.append((doc, rows[j][1]))
                 root[max(a, b)] = min(a, b)
+    return links
+
+
+def _new_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, l, r), rows in _by_blocks(batches, ["left", "id", "component", "members"]):
+        links = _linked(rows, l == r)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
 
-def _joining(spark: SparkSession, likely: DataFrame, comps: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """The likely pairs of ``_compared`` that are similar enough on full sets and, within their blocks, join something new: edges (u, v)."""
-    needed = likely.select("group", "l", "r", "u").unionByName(likely.select("group", "l", "r", F.col("v").alias("u"))).distinct()
-    named = needed.join(comps.select(F.col("id").alias("u"), "component"), "u", "left").select("group", "l", "r", F.col("u").alias("id"), F.coalesce("component", "u").alias("v"))
+def _joining(spark: SparkSession, needed: DataFrame, comps: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """The links on full sets among the classes of ``_compared`` that, within their pair of blocks, join something new: edges (u, v)."""
+    named = needed.join(comps, "id", "left").select("group", "l", "r", "left", "id", F.coalesce("component", "id").alias("component"))
     named = materialize(spark, named, f"{tag}-needed")
-    sets = texts.hint("merge").join(named, "id").select("group", "l", "r", F.col("id").alias("u"), "v", "text").mapInArrow(_sets, "group long, l int, r int, u long, v long, members binary")
-    rows = sets.withColumn("est", F.lit(None).cast("double")).unionByName(likely.withColumn("members", F.lit(None).cast("binary")))
-    dealt = rows.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", F.col("est").desc_nulls_first(), "u", "v")
+    sets = texts.hint("merge").join(named, "id").select("group", "l", "r", "left", "id", "component", "text").mapInArrow(_sets, "group long, l int, r int, left boolean, id long, component long, members binary")
+    dealt = sets.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", "id")
     return materialize(spark, dealt.mapInArrow(_new_links, "u long, v long"), tag)
 
 
@@ -361,22 +394,22 @@ def _blocks(n: Column, shingles: Column) -> Column:
 
 
 def _family_pairs(spark: SparkSession, families: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs of different components within families: the classes outside the largest component with it and with each other."""
+    """Classes with likely pairs of different components within families: those outside the largest component with it and with each other."""
     placed = families.join(comps.withColumnRenamed("component", "found"), "id", "left").join(reps.select("id", "n_shingles"), "id")
     placed = materialize(spark, placed.select(F.col("family").alias("group"), "id", F.coalesce("found", "id").alias("component"), "n_shingles"), "families-placed")
     sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     per = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     per = per.select("group", F.col("top.component").alias("largest"), _blocks(F.col("top.n"), F.col("top.s")).alias("nb_g"), _blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("nb_s"))
     members = salted_join(placed, per.select("group", "largest"), ["group"], "id").select("group", "id", "component", (F.col("component") == F.col("largest")).alias("inner"))
-    return _compared(spark, members, per.select("group", "nb_g", "nb_s"), reps, "family-pairs")
+    return _compared(spark, members, per.select("group", "nb_g", "nb_s"), reps, False, "family-needed")
 
 
 def _bucket_pairs(spark: SparkSession, buckets: DataFrame, families: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs of different families within one bucket."""
+    """Classes with likely pairs of different families within one bucket."""
     member = buckets.join(families, "id", "left").join(reps.select("id", "n_shingles"), "id")
     member = materialize(spark, member.select(F.col("key").alias("group"), "id", F.coalesce("family", "id").alias("component"), F.lit(False).alias("inner"), "n_shingles"), "bucket-families")
     mixed = member.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo != hi")
-    return _compared(spark, member.drop("n_shingles"), mixed.select("group", F.lit(0).alias("nb_g"), _blocks(F.col("n"), F.col("s")).alias("nb_s")), reps, "bucket-pairs")
+    return _compared(spark, member.drop("n_shingles"), mixed.select("group", F.lit(0).alias("nb_g"), _blocks(F.col("n"), F.col("s")).alias("nb_s")), reps, True, "bucket-needed")
 
 
 def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str, limit: float = LIKELY) -> DataFrame:

@@ -184,3 +184,50 @@ def test_long_chain_of_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.id: r.component for r in components(spark, links).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def _similar(a, b):
+    return nd.enough(len(a & b), len(a), len(b))
+
+
+def test_blocks_pass_on_classes_and_links_equal_brute_force():
+    """A group that is alike at about 0.7, mostly without links: classes go on, at most once each, and every component is found."""
+    rng = random.Random(11)
+    core = rng.sample(range(1 << 60), 400)
+    sets = [frozenset(core[:330] + rng.sample(range(1 << 60), 70)) for _ in range(60)]
+    sets += [frozenset([*list(s)[:-25], *rng.sample(range(1 << 60), 25)]) for s in sets[:20]]
+    sets += [frozenset(rng.sample(range(1 << 60), 400)) for _ in range(20)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    offs = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+    regs = nd.registers(nd.mix(np.concatenate(arrays)), offs)
+    for same in (True, False):
+        left = [same or i % 2 == 0 for i in range(len(sets))]
+        met = [(i, j) for i in range(len(sets)) for j in range(i) if same or left[i] != left[j]]
+        wanted = set(nd._crossing([(left[i], i, i, len(sets[i]), regs[i].tobytes()) for i in range(len(sets))], same).tolist())
+        assert {x for i, j in met if _similar(sets[i], sets[j]) for x in (i, j)} <= wanted and not wanted & set(range(80, 100))
+        links = nd._linked([(left[i], i, i, arrays[i].tobytes()) for i in sorted(wanted)], same)
+        assert all(_similar(sets[u], sets[v]) for u, v in links)
+        part = lambda pairs: _parts(len(sets), pairs)
+        assert part(links) == part([(i, j) for i, j in met if _similar(sets[i], sets[j])]) and len(links) < len(sets)
+    one = (True, 5, 5, 400, regs[0].tobytes())
+    assert not len(nd._crossing([one], True)) and not len(nd._crossing([one], False)) and nd._linked([(True, 5, 5, arrays[0].tobytes())], False) == []
+
+
+def _parts(n, pairs):
+    name = list(range(n))
+    for u, v in pairs:
+        a, b = name[u], name[v]
+        name = [min(a, b) if x in (a, b) else x for x in name]
+    return name
+
+
+def test_pairs_of_several_buckets_count_in_one():
+    rng = random.Random(12)
+    base = rng.sample(range(1 << 60), 500)
+    sets = [np.array(sorted([*base[:450], *rng.sample(range(1 << 60), 50)]), np.uint64) for _ in range(2)]
+    regs = nd.registers(nd.mix(np.concatenate(sets)), np.array([0, 500, 1000]))
+    keys = nd.band_keys(regs)
+    shared = [int(k) for k in keys[0] if k in keys[1]]
+    rows = [(True, i, i, 500, regs[i].tobytes()) for i in range(2)]
+    assert len(shared) > 1
+    assert [len(nd._crossing(rows, True, k)) for k in sorted(shared)] == [2] + [0] * (len(shared) - 1)
