@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm import bpe, exact_dedup, language_id, licenses, media, near_dedup, packing, pii, secrets, sharding
+from sentrygrid.llm import bpe, exact_dedup, language_id, licenses, media, near_dedup, packing, pii, secrets, sharding, turn_repair
 from sentrygrid.llm.common import documents
 
 SHARDS = 40
@@ -67,6 +67,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir), with_media=False)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_media": op10_media,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
