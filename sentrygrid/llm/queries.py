@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm import bpe, exact_dedup, language_id, licenses, media, near_dedup, packing, periodic_runs, pii, secrets, sharding, turn_repair
+from sentrygrid.llm import bpe, exact_dedup, html_text, language_id, licenses, media, near_dedup, packing, periodic_runs, pii, secrets, sharding, turn_repair
 from sentrygrid.llm.common import documents
 
 SHARDS = 40
@@ -71,6 +71,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest_runs(documents(spark, sf_dir), change=periodic_runs.repeat_tails)
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_media": op10_media,
     "op11_turn_repair": op11_turn_repair,
+    "op12_html_text": op12_html_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
