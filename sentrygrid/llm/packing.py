@@ -4,9 +4,9 @@ A document's ids (with an end id) are cut into full windows and a tail shorter t
 tail lengths, at most ``window`` - 1 numbers, goes to the driver, which
 
 1. enumerates the combinations of two to ``DEPTH`` lengths that fill a window exactly,
-2. solves for their repeat counts by non-negative least squares against the histogram (coordinate descent from zero),
+2. solves for their repeat counts by non-negative least squares against the histogram, until the conditions of an optimum hold,
 3. rounds the counts to the nearest number and places them, largest first, within what the histogram still holds; then
-   solves again for what is left, ``ROUNDS`` times in all,
+   solves again for what is left, ``ROUNDS`` times at most,
 4. packs the residual lengths greedily, best fit in descending order, keeping windows that are nearly full, and
 5. cuts what is left into powers of two, which fill windows without gaps.
 
@@ -34,9 +34,11 @@ from sentrygrid.llm.common import buckets_for, hash_bucket, id_text, materialize
 WINDOW, END_ID = 2048, 1
 #: A greedily packed window may stay this much short of full.
 SLACK = 0.01
-#: Passes of the solver over all combinations, solutions that are rounded and placed one after another, and the most
-#: lengths of a combination, 2 or 3: a plan takes time with window ** (DEPTH - 1).
-PASSES, ROUNDS, DEPTH = 1, 4, 3
+#: Pull below which a solution is optimal, at least, and as a share of the most frequent length's count.
+TOLERANCE, RELATIVE = 0.02, 1e-4
+#: Solutions that are rounded and placed one after another, and the most lengths of a combination, 2 or 3: a plan takes time
+#: with window ** (DEPTH - 1).
+ROUNDS, DEPTH = 3, 3
 
 
 # ---------------------------------------------------------------- the plan, from the histogram alone
@@ -55,29 +57,57 @@ def combinations(lengths: np.ndarray, window: int, deepest: int = DEPTH) -> np.n
     return np.concatenate(rows)
 
 
-def nnls(combos: np.ndarray, target: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Minimise |A x - target| over x >= 0, where column j of A counts the lengths of combination j.
-
-    One combination at a time takes its best count given the others; a pass that changes nothing ends the search."""
-    x = np.zeros(len(combos))
-    rest = target.astype(float)
-    rest[0] = 0.0
-    columns = [[(p, parts.count(p)) for p in set(parts) if p] for parts in combos.tolist()]
-    norms = [sum(k * k for _, k in c) for c in columns]
-    for _ in range(passes):
-        pull = np.where(combos > 0, rest[combos], 0.0).sum(axis=1)
-        todo = np.flatnonzero((pull > 1e-6) | ((x > 0) & (np.abs(pull) > 1e-6)))
-        if not len(todo):
+def nnls(combos: np.ndarray, target: np.ndarray, tolerance: float | None = None) -> np.ndarray:
+    """Minimise |A x - target|^2 over x >= 0, where column j of A counts the lengths of combination j, up to the optimality conditions:
+    no combination's pull (the objective's fall per repeat) above ``tolerance``, and none of a used one below it.
+
+    An active set: all combinations are priced by what is left of the histogram; for each length the one with the most pull that
+    holds it joins the set; accelerated projected gradients, restarted where they turn back, solve for the set alone.
+    A solution uses a few thousand combinations at most, so that its counts are worth rounding."""
+    size = len(target)
+    goal = target.astype(float)
+    goal[0] = 0.0
+    if tolerance is None:
+        tolerance = max(TOLERANCE, RELATIVE * goal.max(initial=0.0))
+    x, rest, active = np.zeros(len(combos)), goal.copy(), np.zeros(0, np.int64)
+
+    def laid(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = np.bincount(columns.ravel(), np.repeat(counts, 3), size)
+        out[0] = 0.0
+        return out
+
+    while len(combos):
+        pull = rest[combos].sum(axis=1)
+        wanted = np.flatnonzero(pull > tolerance)
+        if not len(wanted) and np.abs(pull[x > 0]).max(initial=0.0) <= tolerance:
             break
-        left = rest.tolist()
-        for j in todo[np.argsort(-pull[todo], kind="stable")].tolist():
-            old = x[j]
-            new = max(0.0, old + sum(k * left[p] for p, k in columns[j]) / norms[j])
-            if new != old:
-                x[j] = new
-                for p, k in columns[j]:
-                    left[p] -= k * (new - old)
-        rest = np.array(left)
+        wanted = wanted[np.argsort(pull[wanted], kind="stable")]
+        best = np.full(size, -1)
+        best[combos[wanted].ravel()] = np.repeat(wanted, 3)  # the last, with the most pull, stays
+        best[0] = -1
+        active = np.union1d(active[(x[active] > 0) | (pull[active] > -tolerance)], best[best >= 0])
+        columns = combos[active]
+        norm = np.ones(len(active))
+        for _ in range(8):
+            norm = laid(columns, norm)[columns].sum(axis=1)
+            steepest = np.linalg.norm(norm)
+            norm /= steepest
+        steepest *= 1.05
+        z = ahead = x[active]
+        speed, turn = 1.0, 0
+        while True:
+            moved = np.maximum(0.0, ahead + (goal - laid(columns, ahead))[columns].sum(axis=1) / steepest)
+            if (ahead - moved) @ (moved - z) > 0:
+                speed = 1.0
+            faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+            ahead, z, speed, turn = moved + (speed - 1) / faster * (moved - z), moved, faster, turn + 1
+            if turn % 25 == 0:
+                rest = goal - laid(columns, z)
+                pull = rest[columns].sum(axis=1)
+                if pull.max() <= tolerance / 2 and np.abs(pull[z > 0]).max(initial=0.0) <= tolerance / 2:
+                    break
+        x = np.zeros(len(combos))
+        x[active] = z
     return x
 
 
@@ -95,15 +125,17 @@ class Plan:
     sequences: int = 0
 
 
-def make_plan(hist: dict[int, int], window: int = WINDOW, slack: float = SLACK, passes: int = PASSES, rounds: int = ROUNDS, deepest: int = DEPTH) -> Plan:
+def make_plan(hist: dict[int, int], window: int = WINDOW, slack: float = SLACK, rounds: int = ROUNDS, deepest: int = DEPTH) -> Plan:
     left = np.zeros(window + 1, np.int64)
     for n, c in hist.items():
         left[n] = c
     shapes: list[tuple[list[int], int]] = []
     for _ in range(rounds):
         combos = combinations(np.flatnonzero(left), window, deepest)
-        x = np.floor(nnls(combos, left.astype(float), passes) + 0.5).astype(np.int64)
+        x = np.floor(nnls(combos, left.astype(float)) + 0.5).astype(np.int64)
         order = np.argsort(-x, kind="stable")[: np.count_nonzero(x)]
+        if not len(order):
+            break
         for parts, repeat in zip(combos[order].tolist(), x[order].tolist(), strict=True):
             parts = [p for p in parts if p]
             need = {p: parts.count(p) for p in parts}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sentrygrid.llm import packing
-from sentrygrid.llm.packing import combinations, make_plan, nnls
+from sentrygrid.llm.packing import TOLERANCE, combinations, make_plan, nnls
 from sentrygrid.llm.queries import tokenizer
 
 W = 64
@@ -106,12 +106,70 @@ def test_least_squares_meets_an_exact_histogram():
     for parts, n in (((10, 54), 7), ((20, 44), 5)):
         for p in parts:
             target[p] += n
-    x = nnls(combos, target, 2000)
+    x = nnls(combos, target)
     got = np.bincount(combos.ravel(), weights=np.repeat(x, 3), minlength=W + 1)
     got[0] = 0
     assert (x >= 0).all() and np.abs(got - target).max() < 0.1
 
 
+def least(columns, target):
+    """Least squares with x >= 0 by Lawson and Hanson's active set: one column enters at a time, dense solves."""
+    a = np.zeros((len(target), len(columns)))
+    for j, parts in enumerate(columns):
+        for p in parts:
+            if p:
+                a[p, j] += 1
+    x, free = np.zeros(len(columns)), np.zeros(len(columns), bool)
+    while True:
+        pull = a.T @ (target - a @ x)
+        pull[free] = 0
+        if pull.max() < 1e-9:
+            return x, 0.5 * np.sum((target - a @ x) ** 2)
+        free[np.argmax(pull)] = True
+        while True:
+            z = np.zeros(len(columns))
+            z[free] = np.linalg.lstsq(a[:, free], target, rcond=None)[0]
+            if z[free].min() > 0:
+                x = z
+                break
+            low = free & (z <= 0)
+            step = np.min(x[low] / np.maximum(x[low] - z[low], 1e-300))
+            x = x + step * (z - x)
+            free &= x > 1e-12
+
+
+def test_least_squares_equal_an_independent_solver():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, W), 30, replace=False))
+        target = np.zeros(W + 1)
+        target[lengths] = rng.integers(1, 30, 30)
+        combos = combinations(lengths, W)
+        x = nnls(combos, target)
+        got = np.bincount(combos.ravel(), weights=np.repeat(x, 3), minlength=W + 1)
+        got[0] = 0
+        assert (x >= 0).all() and 0.5 * np.sum((target - got) ** 2) <= least(combos.tolist(), target)[1] + 0.5
+
+
+def test_large_histogram_is_solved_as_the_query_solves_it():
+    """Some 10,000 tails of a window of 2048: the optimality conditions, and a bound from the dual problem."""
+    rng = np.random.default_rng(7)
+    target = np.bincount(np.minimum(2047, 1 + rng.gamma(1.2, 300, 10_000).astype(int)), minlength=2049).astype(float)
+    combos = combinations(np.flatnonzero(target), 2048)
+    x = nnls(combos, target)
+    got = np.bincount(combos.ravel(), weights=np.repeat(x, 3), minlength=2049)
+    got[0] = 0
+    rest = target - got
+    pull = np.where(combos > 0, rest[combos], 0).sum(axis=1)
+    assert (x >= 0).all() and pull.max() <= TOLERANCE and np.abs(pull[x > 0]).max() <= TOLERANCE
+    feasible = rest - pull.max() / 2  # every combination has two lengths or more
+    feasible[0] = 0
+    bound = target @ feasible - 0.5 * feasible @ feasible
+    assert 0.5 * rest @ rest <= bound + 0.01 * 0.5 * target @ target
+    placed = np.floor(x + 0.5)
+    assert (placed[:, None] * (combos > 0)).sum() > 0.75 * target.sum()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, W - 1), st.integers(1, 40), max_size=20))
 def test_plan_places_every_tail(hist):
