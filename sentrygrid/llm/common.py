@@ -51,7 +51,16 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
         atexit.register(_drop_scratch, spark, root)
     path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more; other tables stay."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            _drop_scratch(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

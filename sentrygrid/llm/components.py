@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import materialize
+from sentrygrid.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     edges = materialize(spark, links.select("u", "v").where("u != v").distinct(), "cc")
     mark = None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(spark, _small_star(_large_star(edges)), "cc")
+        before, edges = edges, materialize(spark, _small_star(_large_star(edges)), "cc")
+        discard(spark, before)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -49,7 +50,8 @@ def roots(spark: SparkSession, forest: DataFrame) -> DataFrame:
     cur = materialize(spark, forest.select("id", F.col("parent").alias("root")), "roots")
     for _ in range(MAX_ROUNDS):
         up = cur.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        cur = materialize(spark, cur.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+        before, cur = cur, materialize(spark, cur.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+        discard(spark, before)
         if cur.where("moved").isEmpty():
             break
     else:

@@ -28,8 +28,8 @@ from sentrygrid.llm.common import id_text, slices
 UNDETERMINED = "und"
 #: Stands for non-letters in n-grams; no letter has this code point.
 BORDER = 1
-#: N-grams in a profile; texts a language that the fit reads, about; labels that it learns; sharpness of the score.
-PROFILE, FIT_ROWS, LANGUAGES, SHARPNESS = 400, 2000, 1000, 60.0
+#: N-grams in a profile; texts a language that the fit reads, about; sharpness of the score.
+PROFILE, FIT_ROWS, SHARPNESS = 400, 2000, 60.0
 #: Characters whose n-grams are counted at once.
 PART = 1 << 18
 
@@ -118,14 +118,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, list[int]]:
-    """A profile of at most ``PROFILE`` n-grams for each language of the labelled rows that are not held out."""
+    """A profile of at most ``PROFILE`` n-grams for each language of the labelled rows that are not held out: the model, whose
+    size depends on the number of languages alone.  Without such rows it is empty."""
     usable = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return {}
     steps = 1 << 24
-    quota = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(steps, int(steps * fit_rows / n) + 1))])
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.element_at(quota, F.col("lang"))).select("lang", "text")
+    quota = usable.groupBy("lang").agg(F.least(F.lit(float(steps)), F.floor(F.lit(float(steps * fit_rows)) / F.count("*")) + 1.0).cast("int").alias("quota"))
+    chosen = usable.join(F.broadcast(quota), "lang")  # a row a language, like the model
+    sample = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.col("quota")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank").collect()  # PROFILE rows a language
@@ -151,7 +150,8 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: dict[str, list[int]
 
 def keep_identified(spark: SparkSession, docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns and the predicted language in ``lang``, where
-    there is such a column: rows are judged where they lie, without a join."""
+    there is such a column: rows are judged where they lie, without a join.  Where no language was learned, texts with a
+    letter stay as they are."""
     held = spark.sparkContext.broadcast(profiles)
     names = docs.columns
     schema = docs.schema
@@ -160,8 +160,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, profiles: dict[str, li
         model = Profiles(held.value)
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                found = [model.predict(t)[0] for t in part.column(text).to_pylist()]
-                columns = [pa.array(found, c.type) if n == lang else c for n, c in zip(names, part.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNDETERMINED for x in found], pa.bool_()))
+                texts = part.column(text).to_pylist()
+                if model.langs:
+                    found = [model.predict(t)[0] for t in texts]
+                    stays = [x != UNDETERMINED for x in found]
+                    columns = [pa.array(found, c.type) if n == lang else c for n, c in zip(names, part.columns, strict=True)]
+                else:
+                    stays, columns = [any(map(str.isalpha, t or "")) for t in texts], part.columns
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -4,7 +4,8 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
 
 1. Every set gets ``REGISTERS`` SetSketch registers: for each register the least of exponential hash values over the
    set, truncated to the exponent of base ``BASE``.  Registers of a union are the element-wise maximum.
-2. Equal sets become one class, named by its smallest doc_id; only classes go on.
+2. Equal sets become one class, under a number of its own; only classes go on.  A class's text is that of its smallest row by
+   id and text (``row_key``), so rows that share an id are told apart.
 3. Each band of ``ROWS`` registers is a bucket key.  In a bucket every class is paired with the smallest one (its
    pivot), never all with all.  A pair's registers are compared jointly: the maximum-likelihood similarity given both
    set sizes and how many registers are larger, smaller and equal.  Pairs ``MARGIN`` below the threshold go.
@@ -19,15 +20,16 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) tex
    sets of two blocks, counts what each set shares with all sets of the other block by one sorted index of their
    members, and returns the links that join something new there.  Texts are thus repeated by blocks and not by pairs,
    and a true link inside a pair of blocks is left out only if it joins nothing new.
-6. Components are the transitive closure of the confirmed links.
+6. Components are the transitive closure of the confirmed links, named by their smallest doc_id at the end.
 
 A pair at the threshold shares a bucket with probability 1 - 2e-5, more similar pairs with more.
 
 Defined results: null text is the empty text; without words a document has no shingles and is linked with nothing;
 with one to four words the whole sequence is the one shingle; equal sets are linked even if texts differ in white
-space or case; repeated rows give repeated results; a null doc_id joins its class but names none (and
-``drop_near_duplicates`` cannot tell such rows apart: it keeps all of them or none); an empty table gives an empty
-result; extra columns are ignored by ``find_components`` and carried through by ``drop_near_duplicates``.
+space or case; repeated rows give repeated results; rows that share an id but not the text are separate documents, so that one
+may stay and the other go; null ids join their class and name it only where it has no other; very long texts are read
+whole, and one at a time by a task; an empty table gives an empty result; extra columns are ignored by ``find_components``
+and carried through by ``drop_near_duplicates``, which keeps exactly one row of each component, and all rows without words.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import id_text, materialize, salted_join, slices, text_buffers
+from sentrygrid.llm.common import discard, id_text, materialize, row_key, salted_join, slices, text_buffers
 from sentrygrid.llm.components import components, roots
 
 SHINGLE = 5
@@ -186,7 +188,7 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return enough(int((both[1:] == both[:-1]).sum()), len(x), len(y))
 
 
-SKETCHED = "doc_id long, n_shingles long, digest binary, registers binary"
+SKETCHED = "doc_id long, mark string, n_shingles long, digest binary, registers binary"
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = np.stack([one, two, size[some].astype(np.uint64)], axis=1)
                 for i, k, r in zip(some.tolist(), keys, registers(values, offs), strict=True):
                     digest[i], sketch[i] = k.tobytes(), r.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "mark", "n_shingles", "digest", "registers"])
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -380,11 +382,17 @@ def _new_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
 
-def _joining(spark: SparkSession, needed: DataFrame, comps: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+def _read(texts: tuple[DataFrame, DataFrame], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (id, ...) with the texts of its classes: from (mark, text) and (id, mark)."""
+    rows, marks = texts
+    return rows.hint("merge").join(wanted.join(marks, "id"), "mark")
+
+
+def _joining(spark: SparkSession, needed: DataFrame, comps: DataFrame, texts: tuple[DataFrame, DataFrame], tag: str) -> DataFrame:
     """The links on full sets among the classes of ``_compared`` that, within their pair of blocks, join something new: edges (u, v)."""
     named = needed.join(comps, "id", "left").select("group", "l", "r", "left", "id", F.coalesce("component", "id").alias("component"))
     named = materialize(spark, named, f"{tag}-needed")
-    sets = texts.hint("merge").join(named, "id").select("group", "l", "r", "left", "id", "component", "text").mapInArrow(_sets, "group long, l int, r int, left boolean, id long, component long, members binary")
+    sets = _read(texts, named).select("group", "l", "r", "left", "id", "component", "text").mapInArrow(_sets, "group long, l int, r int, left boolean, id long, component long, members binary")
     dealt = sets.repartition("group", "l", "r").sortWithinPartitions("group", "l", "r", "id")
     return materialize(spark, dealt.mapInArrow(_new_links, "u long, v long"), tag)
 
@@ -420,29 +428,36 @@ def _likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, tag: str, li
     return materialize(spark, sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimate(limit), "a long, b long, est double"), tag)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+def _verified(spark: SparkSession, pairs: DataFrame, texts: tuple[DataFrame, DataFrame], tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
     pairs = materialize(spark, pairs.select("a", "b"), f"{tag}-pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     partners = salted_join(pairs, groups, ["a"], "b").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
     pivots = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
     wanted = partners.unionByName(pivots)
-    read = texts.hint("merge").join(wanted, "id").select("a", "salt", "b", "text").mapInArrow(_sets, "a long, salt int, b long, members binary")
+    read = _read(texts, wanted).select("a", "salt", "b", "text").mapInArrow(_sets, "a long, salt int, b long, members binary")
     dealt = read.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return materialize(spark, dealt.mapInArrow(_confirm, "u long, v long"), tag)
 
 
 def sketch(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers: a written table."""
-    return materialize(spark, id_text(docs, text).mapInArrow(_sketch, SKETCHED), "sketch")
+    """doc_id, mark (of id and text), n_shingles, digest of the set, registers: a written table."""
+    rows = id_text(docs, text)
+    return materialize(spark, rows.select("doc_id", row_key(rows["doc_id"], rows["text"]).alias("mark"), "text").mapInArrow(_sketch, SKETCHED), "sketch")
 
 
-def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _found(spark: SparkSession, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows with what names their component, ``first`` (doc_id, mark), null for rows without words; the marks that repeat."""
     rows = sketch(spark, docs, text)
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    reps = materialize(spark, classes, "classes")  # equal sets have equal registers
-    texts = id_text(docs, text).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    smallest = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(smallest).alias("first"), F.min("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    reps = materialize(spark, classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so each class keeps its number; equal sets have equal registers
+    repeated = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    source = id_text(docs, text)
+    source = source.select(row_key(source["doc_id"], source["text"]).alias("mark"), "text")
+    if not repeated.isEmpty():  # rows that repeat id and text: one of them is read
+        source = materialize(spark, source.dropDuplicates(["mark"]), "texts")
+    texts = (source, reps.select("id", F.col("first.mark").alias("mark")))
 
     bands = reps.mapInArrow(_band, "key long, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other").select("key", "pivot")
@@ -454,21 +469,35 @@ def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     links = _verified(spark, near.where(F.col("est") >= LIKELY), texts, "links-best")
     comps = roots(spark, links.select(F.col("v").alias("id"), F.col("u").alias("parent")).distinct())
     families = materialize(spark, roots(spark, near.select(F.col("b").alias("id"), F.col("a").alias("parent"))).withColumnRenamed("component", "family"), "families")
+    discard(spark, near)
     within = _joining(spark, _family_pairs(spark, families, comps, reps), comps, texts, "links-families")
     if not within.isEmpty():
         links = links.unionByName(within)
         comps = components(spark, links)
     links = links.unionByName(_joining(spark, _bucket_pairs(spark, buckets, families, reps), comps, texts, "links-buckets"))
     comps = components(spark, links)
+    discard(spark, buckets, families)
+
+    placed = reps.select("id", "digest", "first").join(comps, "id", "left").select("digest", "first", F.coalesce("component", "id").alias("component"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("least"))
+    named = placed.join(firsts, "component").select("digest", F.col("least").alias("first"))
+    return rows.select("doc_id", "mark", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "mark", "n_shingles", "first"), repeated
 
-    named = reps.select("digest", F.col("id").alias("class_id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("found"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+
+def find_components(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    found, _ = _found(spark, docs, text)
+    out = found.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = find_components(spark, docs, text).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return joined
-
+    """The rows of ``docs`` that stay, one of each component and all without words, with all their columns."""
+    found, repeated = _found(spark, docs, text)
+    kept = found.where(F.col("first").isNull() | (F.col("first.mark") == F.col("mark"))).select(F.col("mark").alias("__kept"), F.col("first").isNotNull().alias("__one")).distinct()
+    mark = row_key(docs["doc_id"].cast("long"), F.coalesce(docs[text].cast("string"), F.lit("")))
+    joined = docs.withColumn("__mark", mark).join(kept, F.col("__mark") == F.col("__kept"))
+    if not repeated.isEmpty():
+        several = joined.where("__one").dropDuplicates(["__mark"])
+        joined = several.unionByName(joined.where("not __one"))
+    return joined.drop("__mark", "__kept", "__one")

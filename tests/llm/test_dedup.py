@@ -180,6 +180,24 @@ def test_near_dedup_edges(spark):
     assert got == sorted([(2, 2, True), (5, 2, False), (5, 2, False), (None, 2, False), (None, None, True)], key=str)
 
 
+def test_rows_that_share_an_id(spark):
+    """Ids name rows only for output: of two texts under one id, one may have a near copy and the other none."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(500)]
+    alone, twin = (" ".join(rng.choices(vocab, k=80)) for _ in range(2))
+    near = " ".join([*twin.split()[:-1], "other"])
+    third = " ".join(rng.choices(vocab, k=60))
+    rows = [(7, alone), (7, twin), (3, near), (9, third), (9, third), (None, third), (None, None), (None, "- "), (None, alone + " more"), (8, None), (8, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in nd.find_components(spark, df).collect()), key=str)
+    want = [(7, 7, True), (7, 3, False), (3, 3, True), (9, 9, True), (9, 9, True), (None, 9, False), (None, None, True), (None, None, True), (None, 7, False), (8, 8, True), (8, 8, True)]
+    assert got == sorted(want, key=str)
+    kept = nd.drop_near_duplicates(spark, df)
+    stays = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert stays == sorted([(7, alone), (3, near), (9, third), (None, None), (None, "- "), (8, None), (8, None)], key=str)
+    assert kept.columns == df.columns
+
+
 def test_long_chain_of_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.id: r.component for r in components(spark, links).collect()}

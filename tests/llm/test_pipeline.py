@@ -82,3 +82,33 @@ def test_stages_keep_columns_with_extra_ones(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, extra, str(DATA))
         assert out.columns == extra.columns and 0 < out.count() <= 61
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def staged(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(DATA))
+    return sorted(((r.doc_id, r.text, r.lang) for r in docs.collect()), key=str), corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA))
+
+
+def test_shared_ids_and_unlabelled_tables(spark):
+    """Rows that share an id are separate documents, and a table without labels loses only rows without a letter."""
+    import random
+
+    rng = random.Random(2)
+    alone, twin = (" ".join(rng.choices([f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], k=90)) for _ in range(2))
+    near = " ".join([*twin.split()[:-1], "anders"])
+    rows = [(7, alone, None, "s", 1), (7, twin, None, "s", 1), (3, near, None, None, None), (4, alone.replace(" ", "\n"), None, "s", 1), (5, None, None, "s", 1), (6, "12 34", None, "s", 1)]
+    left, packed = staged(spark, rows)
+    assert left == sorted([(4, alone.replace(" ", "\n"), None), (3, near, None)], key=str)
+    assert {r.doc_id for r in packed.collect()} == {3, 4}
+
+
+def test_empty_table(spark):
+    left, packed = staged(spark, [])
+    assert left == [] and packed.count() == 0
