@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FLOOR, STEP = 0.3, 0.6
@@ -30,22 +30,43 @@ def _step(f: float, decision: str) -> float:
     return round(max(FLOOR, f * STEP), 6) if decision == "dismiss" else round(min(1.0, f / STEP), 6)
 
 
-def weights(ledger: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Factor and version of each (entity, detector): dismissals multiply by the step down to the floor, confirmations divide up to 1.
+def pair_maps(ledger: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The decisions of each (entity, detector), in order, as one map from factor to factor, with their number and last time.
 
-    Decisions are cut into slices by ascending id.  Those of a pair within a slice become one map from factor to factor,
-    and a pair's maps are composed in order, so that no pair's decisions come into one row."""
+    Decisions are cut into slices by ascending id.  Those of a pair within a slice become one map, and a pair's maps are
+    composed in order, so that no pair's decisions come into one row."""
     states = _states()
-    array = lambda values: F.array(*map(F.lit, values))
-    leads = {d: array([states.index(_step(f, d)) for f in states]) for d in ("dismiss", "confirm")}
-    through = lambda m, to: F.transform(m, lambda i: F.get(to, i))
+    leads = {d: _array([states.index(_step(f, d)) for f in states]) for d in ("dismiss", "confirm")}
     cut = ledger.repartitionByRange(max(1, math.ceil(ledger.count() / slice_rows)), "feedback_id").withColumn("slice", F.spark_partition_id())
     events = F.array_sort(F.collect_list(F.struct("feedback_id", "decision")))
-    fold = F.aggregate("events", array(range(len(states))), lambda m, e: F.when(e["decision"] == "dismiss", through(m, leads["dismiss"])).when(e["decision"] == "confirm", through(m, leads["confirm"])).otherwise(m))
+    fold = F.aggregate("events", _array(range(len(states))), lambda m, e: F.when(e["decision"] == "dismiss", _through(m, leads["dismiss"])).when(e["decision"] == "confirm", _through(m, leads["confirm"])).otherwise(m))
     part = cut.groupBy("entity_id", "detector_id", "slice").agg(events.alias("events"), F.max("created_at").alias("updated_at")).select("entity_id", "detector_id", "slice", fold.alias("map"), F.size("events").alias("n"), "updated_at")
+    return composed(part)
+
+
+def _array(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _through(m: Column, to: Column) -> Column:
+    return F.transform(m, lambda i: F.get(to, i))
+
+
+def composed(parts: DataFrame) -> DataFrame:
+    """Maps (entity_id, detector_id, slice, map, n, updated_at) of each pair in the order of their slices, as one map."""
     maps = F.array_sort(F.collect_list(F.struct("slice", "map")))
-    last = F.aggregate("maps", F.lit(0), lambda i, m: F.get(m["map"], i))
-    return part.groupBy("entity_id", "detector_id").agg(maps.alias("maps"), F.sum("n").cast("int").alias("version"), F.max("updated_at").alias("updated_at")).select("entity_id", "detector_id", F.get(array(states), last).alias("factor"), "version", "updated_at")
+    whole = F.aggregate("maps", _array(range(len(_states()))), lambda m, x: _through(m, x["map"]))
+    return parts.groupBy("entity_id", "detector_id").agg(maps.alias("maps"), F.sum("n").cast("int").alias("n"), F.max("updated_at").alias("updated_at")).select("entity_id", "detector_id", whole.alias("map"), "n", "updated_at")
+
+
+def factors(maps: DataFrame) -> DataFrame:
+    """What the maps lead to from a factor of 1."""
+    return maps.select("entity_id", "detector_id", F.get(_array(_states()), F.get("map", F.lit(0))).alias("factor"), F.col("n").alias("version"), "updated_at")
+
+
+def weights(ledger: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Factor and version of each (entity, detector): dismissals multiply by the step down to the floor, confirmations divide up to 1."""
+    return factors(pair_maps(ledger, slice_rows))
 
 
 def listed(weighted: DataFrame) -> DataFrame:
