@@ -278,42 +278,42 @@ def findings(detector: str, c: Context) -> DataFrame:
     refs = lambda: F.coalesce("refs", no_refs)
     hits = METRICS[detector](c).where("hit")
     if detector == "EG-01":
-        return finding(hits, detector, EXECUTION, cat(lit("alert:"), col("alert_id")), col("alert_id"), F.when(col("severity") == "critical", 5.0).otherwise(3.0), F.bround("z", 3), F.bround("percentile", 4), _tiered(0.95, 0.85), F.format_string("%s alert closed in %.0f s; peers' 5th percentile is %.0f s", "severity", "dur", "p5"), F.array(alert_ref), ["dur", "p5", "median", "cohort_level"])
+        return finding(hits, detector, EXECUTION, cat(lit("alert:"), col("alert_id")), col("alert_id"), F.when(col("severity") == "critical", 5.0).otherwise(3.0), F.bround("z", 3), F.bround("percentile", 4), _tiered(0.95, 0.85), F.format_string("%s alert closed in %.0f s; peers' 5th percentile is %.0f s", "severity", F.round("dur", 0), F.round("p5", 0)), F.array(alert_ref), ["dur", "p5", "median", "cohort_level"])
     if detector == "EG-02":
         hits = hits.join(_samples(c.alerts.where(ch() & ~col("is_escalated")), ["entity_id"], alert_ref, ALERT_ORDER, SAMPLE), "entity_id", "left")
-        return finding(hits, detector, EXECUTION, entity, lit("esc"), lit(4.0), F.bround("z", 3), F.bround("percentile", 4), _tiered(0.90, 0.80), F.format_string("%.1f%% of critical and high alerts escalated; peers' median is %.1f%%", col("value") * 100, col("median") * 100), refs(), ["value", "median", "peers", "cohort_level"])
+        return finding(hits, detector, EXECUTION, entity, lit("esc"), lit(4.0), F.bround("z", 3), F.bround("percentile", 4), _tiered(0.90, 0.80), F.format_string("%.1f%% of critical and high alerts escalated; peers' median is %.1f%%", F.round(col("value") * 100, 1), F.round(col("median") * 100, 1)), refs(), ["value", "median", "peers", "cohort_level"])
     if detector == "EG-03":
-        return finding(hits, detector, EXECUTION, cat(lit("alert:"), col("alert_id")), col("alert_id"), lit(2.5), lit(-2.5), lit(0.05), lit(0.92), F.format_string("case %s was open %.0f s without a workflow event", "case_id", "closure_duration_sec"), F.array(alert_ref, cat(lit("cases:"), col("case_id"))), ["closure_duration_sec"])
+        return finding(hits, detector, EXECUTION, cat(lit("alert:"), col("alert_id")), col("alert_id"), lit(2.5), lit(-2.5), lit(0.05), lit(0.92), F.format_string("case %s was open %.0f s without a workflow event", "case_id", F.round("closure_duration_sec", 0)), F.array(alert_ref, cat(lit("cases:"), col("case_id"))), ["closure_duration_sec"])
     if detector == "EG-04":
         hits = hits.join(_samples(entity_cases(c.bundle), ["entity_id"], cat(lit("cases:"), col("case_id")), ["case_id"], 5), "entity_id", "left")
-        return finding(hits, detector, EXECUTION, entity, lit("notes"), lit(3.5), F.bround(col("similarity") - THRESHOLDS.eg04_similarity, 3), lit(0.95), lit(0.88), F.format_string("one note covers %.0f%% of notes, similarity %.2f", col("share") * 100, "similarity"), refs(), ["share", "similarity", "entropy"])
+        return finding(hits, detector, EXECUTION, entity, lit("notes"), lit(3.5), F.bround(col("similarity") - THRESHOLDS.eg04_similarity, 3), lit(0.95), lit(0.88), F.format_string("one note covers %.0f%% of notes, similarity %.2f", F.round(col("share") * 100, 0), F.round("similarity", 2)), refs(), ["share", "similarity", "entropy"])
     if detector == "EG-05":
         key = ["entity_id", "asset_id", "category"]
         hits = hits.join(_samples(c.alerts.where("is_repeat_7d"), key, alert_ref, ["created_ts", "alert_id"], 5), key, "left")
         return finding(hits, detector, EXECUTION, cat(lit("asset:"), col("asset_id")), F.concat_ws(":", "asset_id", "category"), lit(3.0), col("repeats"), lit(0.90), lit(0.85), F.format_string("%d repeats of %s within a week of the one before", "repeats", "category"), refs(), ["category", "repeats"])
     if detector == "EG-06":
         hits = hits.join(_samples(c.alerts.where("is_sla_window"), ["entity_id"], alert_ref, ALERT_ORDER, SAMPLE), "entity_id", "left")
-        return finding(hits, detector, EXECUTION, entity, lit("sla"), lit(3.2), F.bround("z", 3), F.bround("percentile", 4), lit(0.88), F.format_string("%.1f%% of closures fall just before the hour", col("value") * 100), refs(), ["value", "median", "cohort_level"])
+        return finding(hits, detector, EXECUTION, entity, lit("sla"), lit(3.2), F.bround("z", 3), F.bround("percentile", 4), lit(0.88), F.format_string("%.1f%% of closures fall just before the hour", F.round(col("value") * 100, 1)), refs(), ["value", "median", "cohort_level"])
     if detector == "EG-07":
         named = c.alerts.where(ch() & col("case_id").isNotNull() & col("analyst_id").isNotNull())
         hits = hits.join(_samples(named, ["entity_id", "analyst_id"], cat(lit("cases:"), col("case_id")), ALERT_ORDER, 5), ["entity_id", "analyst_id"], "left")
-        return finding(hits, detector, EXECUTION, cat(lit("analyst:"), col("analyst_id")), col("analyst_id"), lit(2.8), F.bround("z", 3), F.bround("percentile", 4), lit(0.86), F.format_string("one analyst closed %.0f%% of critical and high alerts", col("value") * 100), refs(), ["analyst_id", "value", "median"])
+        return finding(hits, detector, EXECUTION, cat(lit("analyst:"), col("analyst_id")), col("analyst_id"), lit(2.8), F.bround("z", 3), F.bround("percentile", 4), lit(0.86), F.format_string("one analyst closed %.0f%% of critical and high alerts", F.round(col("value") * 100, 0)), refs(), ["analyst_id", "value", "median"])
     if detector == "EG-08":
-        return finding(hits, detector, EXECUTION, entity, lit("drift"), lit(3.2), F.bround("cusum", 3), lit(0.92), lit(0.88), F.format_string("false-positive rate drifted from %.2f to %.2f", "first_rate", "last_rate"), no_refs, ["cusum", "first_rate", "last_rate", "months"])
+        return finding(hits, detector, EXECUTION, entity, lit("drift"), lit(3.2), F.bround("cusum", 3), lit(0.92), lit(0.88), F.format_string("false-positive rate drifted from %.2f to %.2f", F.round("first_rate", 2), F.round("last_rate", 2)), no_refs, ["cusum", "first_rate", "last_rate", "months"])
     if detector == "NS-01":
         return finding(hits, detector, NEGATIVE, cat(lit("asset:"), col("asset_id")), col("asset_id"), lit(4.5), lit(-3.0), lit(0.02), lit(0.95), F.format_string("monitored critical asset %s sent no alert", "asset_id"), F.array(cat(lit("assets:"), col("asset_id"))), ["asset_id"])
     if detector == "NS-02":
-        return finding(hits, detector, NEGATIVE, cat(lit("category:"), col("category")), col("category"), lit(4.0), F.bround(col("n") - col("mu"), 2), F.bround("p", 4), lit(0.92), F.format_string("%d alerts of %s where %.1f were expected", "n", "category", "mu"), no_refs, ["category", "n", "mu", "p"])
+        return finding(hits, detector, NEGATIVE, cat(lit("category:"), col("category")), col("category"), lit(4.0), F.bround(col("n") - col("mu"), 2), F.bround("p", 4), lit(0.92), F.format_string("%d alerts of %s where %.1f were expected", "n", "category", F.round("mu", 1)), no_refs, ["category", "n", "mu", "p"])
     if detector == "NS-03":
         hits = hits.join(_samples(c.alerts.where(ch() & ~col("has_case")), ["entity_id"], alert_ref, ALERT_ORDER, SAMPLE), "entity_id", "left")
         return finding(hits, detector, NEGATIVE, entity, lit("orphans"), lit(3.8), -col("orphans"), lit(0.05), lit(0.90), F.format_string("%d critical or high alerts have no case", "orphans"), refs(), ["orphans"])
     if detector == "NS-04":
-        return finding(hits, detector, NEGATIVE, entity, lit("volume"), lit(4.2), F.bround(col("ratio") - 1, 3), F.bround("percentile", 4), lit(0.88), F.format_string("%.2f alerts an asset; peers' median is %.2f", "value", "median"), no_refs, ["value", "median", "ratio", "z"])
+        return finding(hits, detector, NEGATIVE, entity, lit("volume"), lit(4.2), F.bround(col("ratio") - 1, 3), F.bround("percentile", 4), lit(0.88), F.format_string("%.2f alerts an asset; peers' median is %.2f", F.round("value", 2), F.round("median", 2)), no_refs, ["value", "median", "ratio", "z"])
     if detector == "NS-05":
         period = cat(lit("period:"), col("start").cast("string"), lit("_to_"), col("end").cast("string"))
         return finding(hits, detector, NEGATIVE, period, col("start").cast("string"), lit(4.0), -col("days"), lit(0.01), lit(0.94), F.format_string("no alert for %d days", "days"), no_refs, ["days"])
     if detector == "NS-06":
-        return finding(hits, detector, NEGATIVE, entity, lit("coverage"), lit(4.0), F.bround("z", 3), F.bround("percentile", 4), lit(0.90), F.format_string("critical coverage %.0f%%; peers' median is %.0f%%", col("value") * 100, col("median") * 100), no_refs, ["value", "median"])
+        return finding(hits, detector, NEGATIVE, entity, lit("coverage"), lit(4.0), F.bround("z", 3), F.bround("percentile", 4), lit(0.90), F.format_string("critical coverage %.0f%%; peers' median is %.0f%%", F.round(col("value") * 100, 0), F.round(col("median") * 100, 0)), no_refs, ["value", "median"])
     return finding(hits, detector, NOVEL, cat(lit("period:"), col("year_month")), col("year_month"), lit(3.5), F.bround("forest_score", 3), lit(0.98), lit(0.82), F.format_string("unusual month: %s", F.array_join("drivers", ", ")), no_refs, ["year_month", "forest_score", "lof", "drivers"])
 
 

@@ -128,13 +128,36 @@ sims AS (SELECT entity_id, max(sim) AS sim FROM (SELECT x.entity_id, x.note, y.n
 done AS (SELECT t.entity_id, cases, notes, dominant / notes::DOUBLE AS share, CASE WHEN nn.n = 1 THEN 1 ELSE coalesce(sim, 0) END AS similarity, bits AS entropy
   FROM (SELECT entity_id, max(n) AS dominant FROM top GROUP BY 1) t JOIN tot USING (entity_id) JOIN cas USING (entity_id) JOIN nn USING (entity_id) LEFT JOIN sims USING (entity_id) JOIN entropy_t USING (entity_id) WHERE cases >= 5 AND notes >= 5)"""
 
-_HEAD = "SELECT 'FND-{d}-' || left(sha256('{d}:' || entity_id || ':' || {seed}), 12) AS finding_id, '{d}' AS detector_id, '{kind}' AS category, entity_id, {scope} AS scope, {sev} AS sev, {dev} AS dev, {pct} AS pct, {conf} AS conf, {refs} AS refs FROM {rows}"
+def _named(**params: str) -> str:
+    """Parameters as text: names in order, numbers with six digits; values ending in a star are text."""
+    one = lambda k, v: f"'{k}=' || {v[:-1]}" if v.endswith("*") else f"'{k}=' || printf('%.6f', round(({v})::DOUBLE, 6))"
+    return "array_to_string([" + ", ".join(one(k, v) for k, v in sorted(params.items())) + "], ',')"
+
+
+_RATIO = "CASE WHEN median > 0 THEN value / median ELSE 1 END"
+REASONS = {
+    "EG-01": ("printf('%s alert closed in %.0f s; peers'' 5th percentile is %.0f s', severity, round(dur, 0), round(p5, 0))", _named(dur="dur", p5="p5", median="median", cohort_level="cohort_level*")),
+    "EG-02": ("printf('%.1f%% of critical and high alerts escalated; peers'' median is %.1f%%', round(value * 100, 1), round(median * 100, 1))", _named(value="value", median="median", peers="peers", cohort_level="cohort_level*")),
+    "EG-03": ("printf('case %s was open %.0f s without a workflow event', case_id, round(dur, 0))", _named(closure_duration_sec="dur")),
+    "EG-04": ("printf('one note covers %.0f%% of notes, similarity %.2f', round(share * 100, 0), round(similarity::DOUBLE, 2))", _named(share="share", similarity="similarity", entropy="entropy")),
+    "EG-05": ("printf('%d repeats of %s within a week of the one before', repeats, category)", _named(category="category*", repeats="repeats")),
+    "EG-06": ("printf('%.1f%% of closures fall just before the hour', round(value * 100, 1))", _named(value="value", median="median", cohort_level="cohort_level*")),
+    "EG-07": ("printf('one analyst closed %.0f%% of critical and high alerts', round(value * 100, 0))", _named(analyst_id="analyst_id*", value="value", median="median")),
+    "EG-08": ("printf('false-positive rate drifted from %.2f to %.2f', round(first_rate, 2), round(last_rate, 2))", _named(cusum="cusum", first_rate="first_rate", last_rate="last_rate", months="months")),
+    "NS-01": ("printf('monitored critical asset %s sent no alert', asset_id)", _named(asset_id="asset_id*")),
+    "NS-02": ("printf('%d alerts of %s where %.1f were expected', n, category, round(mu, 1))", _named(category="category*", n="n", mu="mu", p="p")),
+    "NS-03": ("printf('%d critical or high alerts have no case', count(*))", "'orphans=' || printf('%.6f', count(*)::DOUBLE)"),
+    "NS-04": ("printf('%.2f alerts an asset; peers'' median is %.2f', round(value, 2), round(median, 2))", _named(value="value", median="median", ratio=_RATIO, z="z")),
+    "NS-05": ("printf('no alert for %d days', days)", _named(days="days")),
+    "NS-06": ("printf('critical coverage %.0f%%; peers'' median is %.0f%%', round(value * 100, 0), round(median * 100, 0))", _named(value="value", median="median")),
+}
+_HEAD = "SELECT {reason} AS reason_text, {params} AS params, 'FND-{d}-' || left(sha256('{d}:' || entity_id || ':' || {seed}), 12) AS finding_id, '{d}' AS detector_id, '{kind}' AS category, entity_id, {scope} AS scope, {sev} AS sev, {dev} AS dev, {pct} AS pct, {conf} AS conf, {refs} AS refs FROM {rows}"
 _ENTITY, _TIERED = "'entity:' || entity_id", "CASE WHEN cohort_level = 'primary' THEN {} ELSE {} END"
 
 
 def found(d: str, kind: str, seed: str, scope: str, sev: float | str, dev: str, pct: float | str, conf: float | str, rows: str, refs: str = "[]::VARCHAR[]", lead: str = "") -> None:
     """The findings of a detector as a CTE; ``lead``: CTEs of its own."""
-    sql = _HEAD.format(d=d, kind=kind, seed=seed, scope=scope, sev=sev, dev=dev, pct=pct, conf=conf, refs=refs, rows=rows)
+    sql = _HEAD.format(d=d, kind=kind, seed=seed, scope=scope, sev=sev, dev=dev, pct=pct, conf=conf, refs=refs, rows=rows, reason=REASONS[d][0], params=REASONS[d][1])
     cte("f_" + d.replace("-", "").lower(), f"WITH {lead.strip()}\n{sql}" if lead else sql)
 
 
@@ -165,8 +188,8 @@ found("NS-02", "NEGATIVE_SPACE", "category", "'category:' || category", 4.0, "ro
 found("NS-04", "NEGATIVE_SPACE", "'volume'", _ENTITY, 4.2, "round_even(CASE WHEN median > 0 THEN value / median ELSE 1 END - 1, 3)", _P, "0.88", "peer WHERE (CASE WHEN median > 0 THEN value / median ELSE 1 END <= 0.45 OR z <= -1.5) AND median > 0", lead=peers(_ALERTS_PER_ASSET))
 found("NS-05", "NEGATIVE_SPACE", "strftime(start, '%Y-%m-%d')", "'period:' || strftime(start, '%Y-%m-%d') || '_to_' || strftime(\"end\", '%Y-%m-%d')", 4.0, "-days::DOUBLE", "0.01", "0.94", "gaps JOIN (SELECT entity_id, max(make_timestamp(created_us)::DATE) - min(make_timestamp(created_us)::DATE) + 1 AS span FROM alerts GROUP BY 1) USING (entity_id) WHERE span >= 14 AND days >= 3")
 found("NS-06", "NEGATIVE_SPACE", "'coverage'", _ENTITY, 4.0, _Z, _P, "0.9", "peer WHERE z <= -1.8 AND value <= 0.7", lead=peers(_COVERAGE))
-cte("f_eg03", """
-SELECT 'FND-EG-03-' || left(sha256('EG-03:' || entity_id || ':' || alert_id), 12) AS finding_id, 'EG-03' AS detector_id, 'EXECUTION_GAP' AS category, entity_id, 'alert:' || alert_id AS scope,
+cte("f_eg03", f"""
+SELECT {REASONS['EG-03'][0]} AS reason_text, {REASONS['EG-03'][1]} AS params, 'FND-EG-03-' || left(sha256('EG-03:' || entity_id || ':' || alert_id), 12) AS finding_id, 'EG-03' AS detector_id, 'EXECUTION_GAP' AS category, entity_id, 'alert:' || alert_id AS scope,
   2.5 AS sev, -2.5 AS dev, 5e-2 AS pct, 0.92 AS conf, ['alerts:' || alert_id, 'cases:' || case_id] AS refs
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY asset_id, category, created_us, alert_id) AS r FROM af WHERE has_case AND wf_n = 0 AND dur >= 60) WHERE r <= 15""")
 cte("walk", """
@@ -175,11 +198,11 @@ FROM (SELECT *, first_value(fp_rate) OVER w AS first, row_number() OVER w AS r F
 cte("drift", """
 SELECT entity_id, max(s) AS cusum, count(*) AS months, sum(monthly_volume)::BIGINT AS alerts, arg_min(fp_rate, year_month) AS first_rate, arg_max(fp_rate, year_month) AS last_rate
 FROM (SELECT *, p - least(0, min(p) OVER (PARTITION BY entity_id ORDER BY year_month)) AS s FROM walk) GROUP BY 1""")
-cte("f_eg08", """
-SELECT 'FND-EG-08-' || left(sha256('EG-08:' || entity_id || ':drift'), 12) AS finding_id, 'EG-08' AS detector_id, 'EXECUTION_GAP' AS category, entity_id, 'entity:' || entity_id AS scope,
+cte("f_eg08", f"""
+SELECT {REASONS['EG-08'][0]} AS reason_text, {REASONS['EG-08'][1]} AS params, 'FND-EG-08-' || left(sha256('EG-08:' || entity_id || ':drift'), 12) AS finding_id, 'EG-08' AS detector_id, 'EXECUTION_GAP' AS category, entity_id, 'entity:' || entity_id AS scope,
   3.2 AS sev, round_even(cusum, 3) AS dev, 0.92 AS pct, 0.88 AS conf, []::VARCHAR[] AS refs FROM drift WHERE alerts >= 50 AND months >= 3 AND cusum >= 4""")
-cte("f_ns03", """
-SELECT 'FND-NS-03-' || left(sha256('NS-03:' || entity_id || ':orphans'), 12) AS finding_id, 'NS-03' AS detector_id, 'NEGATIVE_SPACE' AS category, entity_id, 'entity:' || entity_id AS scope,
+cte("f_ns03", f"""
+SELECT {REASONS['NS-03'][0]} AS reason_text, {REASONS['NS-03'][1]} AS params, 'FND-NS-03-' || left(sha256('NS-03:' || entity_id || ':orphans'), 12) AS finding_id, 'NS-03' AS detector_id, 'NEGATIVE_SPACE' AS category, entity_id, 'entity:' || entity_id AS scope,
   3.8 AS sev, -count(*)::DOUBLE AS dev, 5e-2 AS pct, 0.9 AS conf, list('alerts:' || alert_id ORDER BY r) FILTER (r <= 10) AS refs
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY asset_id, category, created_us, alert_id) AS r FROM af WHERE ch AND NOT has_case) GROUP BY entity_id""")
 FOUND = tuple(f"f_{d.replace('-', '').lower()}" for d in DETECTOR_AREAS if d != "NOV-01")
@@ -302,16 +325,16 @@ cte("kd", "SELECT a AS b, max(d) AS kd FROM near GROUP BY 1")
 cte("lrd", "SELECT a, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (b) GROUP BY 1")
 
 
-def needs(sql: str, own: str = "") -> str:
+def needs(sql: str, own: str = "", ctes: dict[str, str] = CTES) -> str:
     """``sql`` with the CTEs that it names, in order of definition."""
     used, todo = set(), [sql + own]
     while todo:
         text = todo.pop()
-        for name in CTES:
+        for name in ctes:
             if name not in used and re.search(rf"(?<![\w.']){name}(?![\w'(])", text):
                 used.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in used] + ([own.strip()] if own else [])
+                todo.append(ctes[name])
+    parts = [f"{n} AS ({ctes[n]})" for n in ctes if n in used] + ([own.strip()] if own else [])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
