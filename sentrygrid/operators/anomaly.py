@@ -1,4 +1,4 @@
-"""Novel months: robust scaling, exact local outlier factors, and a seeded isolation forest."""
+"""Novel months: robust scaling, exact local outlier factors, and an isolation forest that grows from hashes."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrygrid.schema import THRESHOLDS
+from sentrygrid.sources import scratch
 
 FEATURES = ("monthly_volume", "crit_volume", "crit_median_close_sec", "ch_esc_rate", "unworked_ratio", "sla_window_ratio", "fp_rate", "unique_assets_alerted")
-TREES, SUBSAMPLE, SEED = 100, 256, 42
+TREES, SUBSAMPLE = 100, 256
+#: Digits of the features that the forest and the leading features see, so that engines agree on ties.
+DIGITS = 9
 #: Points that are compared pairwise at once.
 BLOCK = 2000
 
@@ -26,8 +29,8 @@ def scaled(months: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Computed once: written to the shared folder of ``spark.checkpoint.dir``, so that plans stay short, or cached where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Computed once: written to the session's shared folder and read back, so that plans stay short."""
+    return scratch.written(df.sparkSession, df, "novelty")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -133,30 +136,51 @@ def _path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow_forest(sample: np.ndarray, trees: int = TREES, seed: int = SEED) -> list[list[tuple]]:
-    """Isolation trees (Liu et al. 2008) on a bounded sample: lists of (feature, cut, left, right) or (-1, depth + expected rest)."""
-    rng = np.random.default_rng(seed)
-    size = min(SUBSAMPLE, len(sample))
-    limit = math.ceil(math.log2(max(size, 2)))
-    forest = []
-    for _ in range(trees):
-        nodes: list[tuple] = [()]
-        todo = [(0, sample[rng.choice(len(sample), size, replace=False)], 0)]
-        while todo:
-            at, rows, depth = todo.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            open_ = np.flatnonzero(high > low)
-            if depth >= limit or len(rows) <= 1 or not len(open_):
-                nodes[at] = (-1, depth + _path(len(rows)), 0, 0)
-                continue
-            f = int(rng.choice(open_))
-            cut = float(rng.uniform(low[f], high[f]))
-            nodes[at] = (f, cut, len(nodes), len(nodes) + 1)
-            nodes += [(), ()]
-            left = rows[:, f] <= cut
-            todo += [(nodes[at][2], rows[left], depth + 1), (nodes[at][3], rows[~left], depth + 1)]
-        forest.append(nodes)
-    return forest
+def _draw(kind: str, *keys: Column) -> Column:
+    """A whole number below 2 ** 32 for keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(kind), *keys)), 1, 8), 16, 10).cast("long")
+
+
+def grow_forest(points: DataFrame, rows: int, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """Isolation trees (Liu et al. 2008) as rows (tree, node, feature, cut, size, depth), the root 1 and the children of n 2n and 2n + 1;
+    leaves have no feature.
+
+    A tree takes the rows whose hash with it is low enough, about ``subsample``.  Trees grow a level at a time: a window over each node counts
+    its rows and bounds their features; the feature, among those that vary, and the cut are drawn from a hash of tree and node.  A
+    tree's rows stay in one partition, so no level shuffles."""
+    limit = math.ceil(math.log2(max(min(subsample, rows), 2)))
+    enough = (subsample << 32) // rows if rows > subsample else 1 << 32
+    x = F.array(*[F.round(F.col(f).cast("double"), DIGITS) for f in FEATURES])
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _draw("row", t.cast("string"), F.col("a")) < enough)
+    grown = points.select(F.concat_ws("/", "entity_id", "year_month").alias("a"), x.alias("x")).select("x", F.explode(mine).alias("tree")).repartition("tree")
+    step = "struct<node:long,feature:int,cut:double,size:long,depth:int>"
+    grown = grown.select("tree", "x", F.lit(1).cast("long").alias("node"), F.lit(False).alias("done"), F.array().cast(f"array<{step}>").alias("steps"))
+    node = Window.partitionBy("tree", "node")
+    name = [F.col("tree").cast("string"), F.col("node").cast("string")]
+    for depth in range(limit + 1):
+        bounds = [F.array(*[f(F.col("x")[i]).over(node) for i in range(len(FEATURES))]) for f in (F.min, F.max)]
+        level = grown.withColumns({"size": F.count("*").over(node), "lo": bounds[0], "hi": bounds[1]})
+        level = level.withColumn("open", F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: F.get("hi", i) > F.get("lo", i)))
+        inner = ~F.col("done") & (F.col("size") > 1) & (F.size("open") > 0) & F.lit(depth < limit)
+        level = level.withColumn("feature", F.when(inner, F.get("open", (_draw("feature", *name) % F.size("open")).cast("int"))))
+        low, high = F.get("lo", F.col("feature")), F.get("hi", F.col("feature"))
+        level = level.withColumn("cut", low + _draw("cut", *name) / float(1 << 32) * (high - low))
+        here = F.array(F.struct("node", "feature", "cut", "size", F.lit(depth).alias("depth")).cast(step))
+        child = F.col("node") * 2 + F.when(F.get("x", F.col("feature")) <= F.col("cut"), 0).otherwise(1)
+        grown = level.select("tree", "x", F.when(F.col("feature").isNull(), F.col("node")).otherwise(child).alias("node"), F.col("feature").isNull().alias("done"), F.when(F.col("done"), F.col("steps")).otherwise(F.concat("steps", here)).alias("steps"))
+    return grown.select("tree", F.explode("steps").alias("s")).select("tree", "s.*").distinct()
+
+
+def _tables(splits: list) -> list[list[tuple]]:
+    """Trees as lists of (feature, cut, left, right), or (-1, depth + expected rest, 0, 0)."""
+    trees: dict[int, dict[int, tuple]] = {}
+    for r in splits:
+        trees.setdefault(r["tree"], {})[r["node"]] = (r["feature"], r["cut"], r["size"], r["depth"])
+    out = []
+    for nodes in trees.values():
+        at = {n: i for i, n in enumerate(sorted(nodes))}
+        out.append([(-1, depth + _path(size), 0, 0) if f is None else (f, cut, at[2 * n], at[2 * n + 1]) for n, (f, cut, size, depth) in sorted(nodes.items())])
+    return out
 
 
 def forest_scores(x: np.ndarray, forest: list[list[tuple]], size: int) -> np.ndarray:
@@ -176,21 +200,21 @@ def forest_scores(x: np.ndarray, forest: list[list[tuple]], size: int) -> np.nda
     return -(2.0 ** (-depth / len(forest) / max(_path(size), 1e-9)))
 
 
-def isolation_forest(points: DataFrame, fit_rows: int = 4096) -> DataFrame:
-    """forest_score of every row; the forest is grown on at most about ``fit_rows`` rows picked by hash and broadcast."""
-    n = points.count()
-    step = max(1, math.ceil(n / fit_rows))
+def isolation_forest(points: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """forest_score of every row.  The forest, at most ``trees`` times twice ``subsample`` nodes, goes to the tasks; rows are scored where they lie."""
+    rows = points.count()
     names = list(FEATURES)
-    sample = points.where(F.pmod(F.xxhash64("entity_id", "year_month"), F.lit(step)) == 0).orderBy("entity_id", "year_month").select(*names).toPandas().to_numpy(float)
-    if len(sample) < 2:
+    forest = _tables(grow_forest(points, rows, trees, subsample).collect()) if rows > 1 else []
+    if not forest:
         return points.select("entity_id", "year_month", F.lit(-0.5).alias("forest_score"))
-    forest, size = grow_forest(sample), min(SUBSAMPLE, len(sample))
+    size = min(subsample, rows)
 
     def score(parts):
         for pdf in parts:
             yield pd.DataFrame({"entity_id": pdf["entity_id"], "year_month": pdf["year_month"], "forest_score": forest_scores(pdf[names].to_numpy(float), forest, size)})
 
-    return points.select("entity_id", "year_month", *names).mapInPandas(score, "entity_id string, year_month string, forest_score double")
+    rounded = [F.round(F.col(f).cast("double"), DIGITS).alias(f) for f in names]
+    return points.select("entity_id", "year_month", *rounded).mapInPandas(score, "entity_id string, year_month string, forest_score double")
 
 
 def novelty(months: DataFrame) -> DataFrame:
@@ -204,7 +228,7 @@ def novelty(months: DataFrame) -> DataFrame:
     cut = joined.agg(F.percentile("forest_score", t.nov01_contamination).alias("low"), F.percentile("lof", 1 - t.nov01_contamination).alias("high"))
 
     def strength(f: str) -> Column:
-        return F.struct((-F.abs(F.col(f))).alias("s"), F.lit(f).alias("f"))
+        return F.struct((-F.abs(F.round(f, DIGITS))).alias("s"), F.lit(f).alias("f"))
 
     drivers = F.transform(F.slice(F.array_sort(F.array(*[strength(f) for f in FEATURES])), 1, 2), lambda s: s["f"])
     hit = (F.col("forest_score") < F.col("low")) | F.coalesce(F.col("lof") > F.col("high"), F.lit(False))

@@ -21,12 +21,17 @@ SAMPLE = 10
 class Context:
     """A bundle with the frames that detectors share, each planned once."""
 
-    def __init__(self, bundle: Bundle, persist: bool = False):
-        self.bundle, self._persist, self._made = bundle, persist, {}
+    def __init__(self, bundle: Bundle, keep: str | None = None):
+        """``keep``: a new folder where shared frames are written when they are first used; without it each use plans them anew."""
+        self.bundle, self._keep, self._made = bundle, keep, {}
 
     def _get(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make().persist() if self._persist else make()
+            df = make()
+            if self._keep:
+                df.write.parquet(f"{self._keep}/{name}")
+                df = df.sparkSession.read.schema(df.schema).parquet(f"{self._keep}/{name}")
+            self._made[name] = df
         return self._made[name]
 
     @property
@@ -49,10 +54,6 @@ class Context:
     def cohorts(self) -> DataFrame:
         return self._get("cohorts", lambda: cohorts(self.bundle.entities))
 
-    def release(self) -> None:
-        for df in self._made.values():
-            df.unpersist()
-
 
 # ---------------------------------------------------------------- metrics
 def eg01(c: Context) -> DataFrame:
@@ -324,9 +325,9 @@ def data_gap(bundle: Bundle, detector: str) -> DataFrame:
     return finding(bundle.entities.select("entity_id"), detector, kind, lit(f"table:{table}"), lit(f"no-{table}"), lit(weight), lit(deviation), lit(0.05), lit(confidence), lit(f"table {table} is empty"), F.array().cast("array<string>"), ["entity_id"])
 
 
-def run_detectors(bundle: Bundle, detectors: list[str] | None = None, persist: bool = False) -> DataFrame:
-    """All findings.  Empty tables are probed once, so that data gaps are told from silence."""
-    c = Context(bundle, persist)
+def run_detectors(bundle: Bundle, detectors: list[str] | None = None, keep: str | None = None) -> DataFrame:
+    """All findings.  Empty tables are probed once, so that data gaps are told from silence.  ``keep``: as in ``Context``."""
+    c = Context(bundle, keep)
     out: DataFrame | None = None
     gaps = {"EG-03": bundle.workflow_events.isEmpty(), "NS-01": bundle.assets.isEmpty()}
     for d in detectors or [*METRICS, *ADDED]:

@@ -325,6 +325,32 @@ cte("kd", "SELECT a AS b, max(d) AS kd FROM near GROUP BY 1")
 cte("lrd", "SELECT a, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (b) GROUP BY 1")
 
 
+# The isolation forest a level at a time, as the operator grows it.
+_TREES, _SUBSAMPLE, _LEVELS = 100, 256, 8
+_MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+cte("fx", "SELECT a, [" + ", ".join(f"round({f}, 9)" for f in FEATURES) + "] AS x, count(*) OVER () AS rows FROM lp")
+cte("fm0", f"SELECT tree, 1::BIGINT AS node, a, x FROM fx, (SELECT unnest(range({_TREES})) AS tree) WHERE {_MD5.format("'row:' || tree || ':' || a")} < CASE WHEN rows > {_SUBSAMPLE} THEN ({_SUBSAMPLE} * 4294967296) // rows ELSE 4294967296 END")
+for _i in range(_LEVELS + 1):
+    _bounds = ", ".join("[" + ", ".join(f"{f}(x[{j}]) OVER w" for j in range(1, len(FEATURES) + 1)) + f"] AS {n}" for f, n in (("min", "lo"), ("max", "hi")))
+    cte(f"fo{_i}", f"SELECT *, list_filter(range(1, {len(FEATURES) + 1}), lambda i: hi[i] > lo[i]) AS open FROM (SELECT *, count(*) OVER w AS size, {_bounds} FROM fm{_i} WINDOW w AS (PARTITION BY tree, node))")
+    cte(f"ff{_i}", f"SELECT *, CASE WHEN size > 1 AND len(open) > 0 AND {_i} < least({_LEVELS}, ceil(log2(greatest((SELECT count(*) FROM lp), 2)))) THEN open[{_MD5.format("'feature:' || tree || ':' || node")} % len(open) + 1] END AS f FROM fo{_i}")
+    cte(f"fc{_i}", f"SELECT *, lo[f] + {_MD5.format("'cut:' || tree || ':' || node")} / 4294967296.0::DOUBLE * (hi[f] - lo[f]) AS cut FROM ff{_i}")
+    cte(f"fm{_i + 1}", f"SELECT tree, node * 2 + CASE WHEN x[f] <= cut THEN 0 ELSE 1 END AS node, a, x FROM fc{_i} WHERE f IS NOT NULL")
+cte("fsplits", " UNION ALL ".join(f"SELECT DISTINCT tree, node, f, cut, size, {i} AS depth FROM fc{i}" for i in range(_LEVELS + 1)))
+cte("fw0", f"SELECT a, x, tree, 1::BIGINT AS node FROM fx, (SELECT unnest(range({_TREES})) AS tree)")
+for _i in range(_LEVELS):
+    cte(f"fw{_i + 1}", f"SELECT a, x, tree, CASE WHEN f IS NULL THEN node ELSE node * 2 + CASE WHEN x[f] <= cut THEN 0 ELSE 1 END END AS node FROM fw{_i} JOIN fsplits USING (tree, node)")
+_rest = "CASE WHEN {0} <= 1 THEN 0 WHEN {0} = 2 THEN 1 ELSE 2 * (ln({0} - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({0} - 1) / {0} END"
+cte("fscore", f"SELECT a, -pow(2.0::DOUBLE, -(sum(depth + {_rest.format('size')}) / {_TREES}) / (SELECT {_rest.format('n')} FROM (SELECT least(count(*), {_SUBSAMPLE}) AS n FROM lp))) AS forest_score FROM fw{_LEVELS} JOIN fsplits USING (tree, node) GROUP BY a")
+cte("flof", "SELECT a, around / lrd AS lof FROM lrd JOIN (SELECT n.a, avg(l.lrd) AS around FROM near n JOIN lrd l ON l.a = n.b GROUP BY 1) USING (a)")
+cte("novel", """
+SELECT *, forest_score < quantile_cont(forest_score, 0.08) OVER () OR coalesce(lof > quantile_cont(lof, 0.92) OVER (), false) AS hit FROM (
+  SELECT lp.entity_id, lp.year_month, forest_score, lof, list_transform(list_slice(list_sort([""" + ", ".join(f"{{'s': -abs(round({f}, 9)), 'f': '{f}'}}" for f in FEATURES) + """]), 1, 2), lambda d: d.f) AS drivers
+  FROM lp JOIN fscore USING (a) LEFT JOIN flof USING (a))""")
+cte("f_nov01", """
+SELECT 'unusual month: ' || array_to_string(drivers, ', ') AS reason_text, '' AS params, 'FND-NOV-01-' || left(sha256('NOV-01:' || entity_id || ':' || year_month), 12) AS finding_id, 'NOV-01' AS detector_id, 'NOVEL' AS category, entity_id, 'period:' || year_month AS scope,
+  3.5 AS sev, round_even(forest_score, 3) AS dev, 0.98 AS pct, 0.82 AS conf, []::VARCHAR[] AS refs FROM novel WHERE hit AND (SELECT count(*) FROM lp) >= 8""")
+
 def needs(sql: str, own: str = "", ctes: dict[str, str] = CTES) -> str:
     """``sql`` with the CTEs that it names, in order of definition."""
     used, todo = set(), [sql + own]
@@ -399,6 +425,9 @@ SELECT entity_id, category, n, round(mu, 6) AS mu, round(p, 6) AS p, p <= 0.01 O
     "ns03": "SELECT entity_id, count(*) AS orphans, true AS hit FROM af WHERE ch AND NOT has_case GROUP BY 1",
     "ns05": "SELECT entity_id, strftime(start, '%Y-%m-%d') AS start, days, days >= 3 AS hit FROM gaps JOIN (SELECT entity_id, max(make_timestamp(created_us)::DATE) - min(make_timestamp(created_us)::DATE) + 1 AS span FROM alerts GROUP BY 1) USING (entity_id) WHERE span >= 14",
     "nov01_scaled": "SELECT entity_id, year_month, " + _r(*FEATURES) + " FROM pts",
+    "nov01_iforest": "SELECT split_part(a, '/', 1) AS entity_id, split_part(a, '/', 2) AS year_month, round(forest_score, 6) AS forest_score FROM fscore",
+    "nov01_months": "SELECT entity_id, year_month, round(forest_score, 6) AS forest_score, round(log10(lof), 5) AS log_lof, array_to_string(list_sort(drivers), ',') AS drivers, hit FROM novel",
+    "all_findings": "SELECT detector_id, count(*) AS findings FROM (SELECT detector_id FROM findings UNION ALL SELECT detector_id FROM f_nov01) GROUP BY 1",
     "nov01_lof": "SELECT split_part(a, '/', 1) AS entity_id, split_part(a, '/', 2) AS year_month, round(log10(around / lrd), 5) AS log_lof FROM lrd JOIN (SELECT n.a, avg(l.lrd) AS around FROM near n JOIN lrd l ON l.a = n.b GROUP BY 1) USING (a)",
     "finding_ids": "SELECT finding_id, detector_id, entity_id, scope FROM findings",
     "finding_score": "SELECT finding_id, round(score, 6) AS score FROM findings",

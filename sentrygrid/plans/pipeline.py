@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sentrygrid.operators import audit, claims, feedback, quarantine, review_queue, scoring
 from sentrygrid.operators.detectors import run_detectors
 from sentrygrid.schema import TABLES, THRESHOLDS
-from sentrygrid.sources import store
+from sentrygrid.sources import scratch, store
 
 ARTIFACTS = ("findings", "scores", "queues", "claims", "claim_index")
 
@@ -25,10 +25,12 @@ def run_all(spark: SparkSession, source: str | dict[str, DataFrame], output: str
     raw = store.load_dataset(spark, source, f"{output}/quarantine")
     store.write_store(raw, f"{output}/store")
     bundle = store.load_bundle(spark, f"{output}/store")  # later stages read columns and row groups that they need
-    found = run_detectors(bundle, persist=True)
+    features = f"{output}/features-{run_id}"
+    found = run_detectors(bundle, keep=features)
     if ledger:
         found = feedback.apply(found, feedback.weights(spark.read.parquet(ledger)))
     found.write.mode("overwrite").parquet(f"{output}/findings.parquet")
+    scratch.remove(spark, features)
     findings = spark.read.parquet(f"{output}/findings.parquet")
     compared = claims.compare(bundle)
     parts = {"scores": scoring.portfolio(spark, findings, bundle), "queues": review_queue.build_queues(findings, bundle.alerts, budget, seed), "claims": compared, "claim_index": claims.claim_index(compared)}

@@ -102,6 +102,11 @@ for _d in BASIC:
     _register(_d)
 
 
+@query(_WHOLE.format("f_nov01").removesuffix(", params FROM f_nov01") + " FROM f_nov01")
+def planted_nov01(spark, d):
+    return whole(detectors.findings("NOV-01", Context(bundle(spark, d)))).drop("params")
+
+
 @query("SELECT 'alerts' AS name, count(*) AS n FROM alerts UNION ALL SELECT 'cases', count(*) FROM cases UNION ALL SELECT 'events', count(*) FROM wf UNION ALL SELECT 'escalations', count(*) FROM esc UNION ALL SELECT 'monitored', count(*) FILTER (monitoring_expected) FROM assets UNION ALL SELECT 'false positives', count(*) FILTER (disposition = 'false_positive') FROM alerts")
 def planted_counts(spark, d):
     b = bundle(spark, d)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,12 +11,12 @@ from pyspark.sql import functions as F
 from sentrygrid.functions.stats import correlation_p, entropy_bits, gini, poisson_cdf, spearman
 from sentrygrid.operators import anomaly, audit, claims, cohorts, detectors, evaluation, features, feedback, generators, quarantine, review_queue, robustness, scoring, serving
 from sentrygrid.operators.detectors import Context
-from sentrygrid.schema import Bundle
-from sentrygrid.sources import driver_tables, store
+from sentrygrid.schema import FINDING, Bundle
+from sentrygrid.sources import driver_tables, scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Detectors whose findings the scoring and queue queries use: all but the one that learns, whose forest SQL cannot repeat.
+#: Detectors whose findings the scoring and queue queries over the given tables use: all but the one that learns, which ``planted`` queries score.
 BASIC = [d for d in detectors.METRICS if d != "NOV-01"]
 BUDGET = 40
 
@@ -40,15 +38,18 @@ def ctx(spark: SparkSession, d: str) -> Context:
     return Context(driver_tables.bundle(spark, d))
 
 
-_made: dict[tuple[str, str], DataFrame] = {}
+SOURCES = ("nation", "region", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def basic_findings(spark: SparkSession, d: str) -> DataFrame:
-    """The findings over the tables, computed once a session and folder, as a run writes them once for scores, queues and reports."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _made:
-        _made[key] = anomaly.kept(detectors.run_detectors(driver_tables.bundle(spark, d), BASIC))
-    return _made[key]
+    """The findings over the tables, written once a session by this step and read by scores, queues and reports, as in a whole run.
+    Tables that were written anew have another fingerprint, so their findings are made again."""
+    name = f"findings-{scratch.fingerprint(spark, [f'{d}/{t}.parquet' for t in SOURCES])}"
+    return scratch.kept_as(spark, name, lambda: _findings(spark, d), FINDING)
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.run_detectors(driver_tables.bundle(spark, d), BASIC, keep=scratch.folder(spark, "features"))
 
 
 def _register_findings(detector: str) -> None:
@@ -107,20 +108,10 @@ def sql_quarantine_sample(spark, d):
     return spark.sql(serving.CANNED["quarantine_sample"].replace("FROM quarantine", "FROM {quarantine}"), quarantine=_orphaned(spark, d).quarantine)
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sentrygrid-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query
 def store_roundtrip(spark, d):
     """Rows of each table, and alerts by severity through SQL, of a store written and read back."""
-    path = _scratch(spark, "store")
+    path = scratch.folder(spark, "store")
     store.write_store(driver_tables.bundle(spark, d), path)
     by_severity = store.query(spark, path, "SELECT concat('severity ', severity) AS table_name, count(*) AS rows FROM alerts GROUP BY severity")
     return quarantine.counts(store.load_bundle(spark, path)).unionByName(by_severity)
@@ -128,7 +119,7 @@ def store_roundtrip(spark, d):
 
 def _from_text(spark: SparkSession, d: str, fmt: str) -> DataFrame:
     """Valid and quarantined alerts by reason of a dataset written as text and loaded."""
-    path = _scratch(spark, fmt)
+    path = scratch.folder(spark, fmt)
     driver_tables.dirty_alerts(spark, d).write.option("header", True).format(fmt).save(f"{path}/alerts.{fmt}")
     loaded = store.load_dataset(spark, path)
     parts = [loaded.alerts.select(F.lit("valid").alias("reason")), loaded.quarantine.select(F.col("quarantine_reason").alias("reason"))]
@@ -444,7 +435,8 @@ def nov01_iforest(spark, d):
 def nov01_months(spark, d):
     """Every month with both scores, its leading features, and whether it is novel."""
     out = anomaly.novelty(ctx(spark, d).months)
-    return rounded(out.select("entity_id", "year_month", "forest_score", "lof", joined("drivers").alias("drivers"), "hit"), "forest_score", "lof")
+    out = rounded(out.select("entity_id", "year_month", "forest_score", F.log10("lof").alias("log_lof"), joined("drivers").alias("drivers"), "hit"), "forest_score")
+    return rounded(out, "log_lof", digits=5)
 
 
 # ---------------------------------------------------------------- findings and scores

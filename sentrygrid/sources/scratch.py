@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder's name: below ``spark.checkpoint.dir``, or a temporary one where that is unset and all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+def root(spark: SparkSession) -> str:
+    """The session's folder: below ``spark.checkpoint.dir``, or a temporary one where that is unset and all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/sentrygrid-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    out = f"{base.rstrip('/')}/sentrygrid-{spark.sparkContext.applicationId}"
+    if out not in _known:
+        _known.add(out)
+        atexit.register(_forget, spark, out)
+    return out
+
+
+_known: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session may already be gone at interpreter exit; the folder then outlives it
+        pass
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name."""
+    return f"{root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
@@ -42,6 +65,28 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of files, and of the files in folders: it changes when a table is written anew."""
+    found, todo = [], list(paths)
+    while todo:
+        fs, p = _fs(spark, todo.pop())
+        for s in fs.listStatus(p) if fs.exists(p) else ():
+            if s.isDirectory():
+                todo.append(s.getPath().toString())
+            else:
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:24]
+
+
+def kept_as(spark: SparkSession, name: str, make: Callable[[], DataFrame], schema: StructType) -> DataFrame:
+    """A table of the session under a name of its own: written when it is first asked for, whole or not at all, and read from then on."""
+    path = f"{root(spark)}/{name}"
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    if not fs.exists(p):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     stream = fs.open(p)

@@ -27,9 +27,15 @@ def resolve(spark: SparkSession, data_dir: str, name: str) -> tuple[str, str] |
     return next(((f, f"{data_dir}/{name}.{f}") for f in FORMATS if _exists(spark, f"{data_dir}/{name}.{f}")), None)
 
 
+def _has_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field of CSV files goes on in the next line: a line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The wanted columns of a CSV file, those of them that it has."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=_has_breaks(spark, path), escape='"')
     return raw.select(*[c for c in columns if c in raw.columns])
 
 
@@ -39,21 +45,21 @@ def _is_array(spark: SparkSession, path: str) -> bool:
     return first is not None and first["value"].lstrip().startswith("[")
 
 
-def read_raw(spark: SparkSession, fmt: str, path: str, multi_line: bool = True) -> DataFrame:
+def read_raw(spark: SparkSession, fmt: str, path: str, multi_line: bool | None = None) -> DataFrame:
     """A file as it is; text formats as strings, so that bad values survive to validation.
 
-    ``row_pos``, where a file has none, is the scan order.  CSV fields may hold line breaks; without ``multi_line`` they
-    may not, and large files are split.  JSON is an object a line, which is split, or an array a file."""
+    ``row_pos``, where a file has none, is the scan order.  CSV fields may hold line breaks: where no line has an odd number of
+    quotes there are none, and large files are split; else a file is one task.  ``multi_line`` decides without looking.  JSON is an object a line, which is split, or an array a file."""
     if fmt == "parquet":
         raw = spark.read.parquet(path)
     elif fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+        raw = spark.read.csv(path, header=True, multiLine=_has_breaks(spark, path) if multi_line is None else multi_line, escape='"')
     else:
         raw = spark.read.option("primitivesAsString", True).json(path, multiLine=_is_array(spark, path))
     return raw.withColumn("row_pos", F.col("row_pos").cast("long") if "row_pos" in raw.columns else F.monotonically_increasing_id())
 
 
-def load_dataset(spark: SparkSession, source: str | dict[str, DataFrame], quarantine_dir: str | None = None, multi_line: bool = True) -> Bundle:
+def load_dataset(spark: SparkSession, source: str | dict[str, DataFrame], quarantine_dir: str | None = None, multi_line: bool | None = None) -> Bundle:
     """Read, validate and tie together the canonical tables of a folder or of DataFrames."""
     if isinstance(source, str) and not _exists(spark, source):
         raise FileNotFoundError(source)
@@ -137,9 +143,14 @@ def query(spark: SparkSession, path: str, sql: str, limit: int | None = None) ->
     bare = re.sub(r"^(\s|--[^\n]*\n|/\*.*?\*/|\()+", "", sql, flags=re.DOTALL)
     if not re.match(r"(?i)(select|with|values|from)\b", bare):
         raise ValueError("only queries are allowed")
-    for name in list_tables(spark, path):
+    tables = list_tables(spark, path)
+    for name in tables:
         read_table(spark, path, name).createOrReplaceTempView(name)
-    out = spark.sql(sql)
+    try:
+        out = spark.sql(sql)  # resolved here, so the names are needed no longer
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
     return out.limit(limit) if limit is not None else out
 
 

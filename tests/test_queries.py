@@ -6,8 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sentrygrid.plans.oracles import ORACLE_SQL
-from sentrygrid.plans.registry import QUERIES
+from sentrygrid.plans import extended, oracles, planted, registry
+
+ORACLE_SQL = oracles.ORACLE_SQL | extended.ORACLE_SQL | planted.ORACLE_SQL
+QUERIES = registry.QUERIES | extended.QUERIES | planted.QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
