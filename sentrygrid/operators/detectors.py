@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrygrid.functions.stats import entropy_bits, mean_percentile, poisson_cdf, robust_z
 from sentrygrid.operators import anomaly
 from sentrygrid.operators.cohorts import cohorts, peer_stats
-from sentrygrid.operators.features import alert_features, analyst_counts, asset_features, ch, entity_cases, entity_features, entity_month_features, rate, zero_runs
+from sentrygrid.operators.features import alert_features, analyst_counts, asset_features, ch, entity_cases, entity_features, entity_month_features, numbered, rate, zero_runs
 from sentrygrid.schema import FINDING, THRESHOLDS, Bundle
 
 EXECUTION, NEGATIVE, NOVEL = "EXECUTION_GAP", "NEGATIVE_SPACE", "NOVEL"
@@ -93,9 +93,9 @@ def eg02(c: Context) -> DataFrame:
 
 def eg03(c: Context) -> DataFrame:
     gap = c.alerts.where(F.col("has_case") & (F.col("workflow_event_count") == 0) & (F.col("closure_duration_sec") >= THRESHOLDS.eg03_gap_sec))
-    order = Window.partitionBy("entity_id").orderBy("asset_id", "category", "created_ts", "alert_id")
-    rank = F.row_number().over(order)
-    return gap.select("entity_id", "alert_id", "case_id", "closure_duration_sec", rank.alias("ordinal")).withColumn("hit", F.col("ordinal") <= THRESHOLDS.eg03_cap)
+    head = F.coalesce(F.substring("asset_id", 1, 4), F.lit(""))  # keeps the order of ids
+    ranked = numbered(gap.select("entity_id", "alert_id", "case_id", "closure_duration_sec", "asset_id", "category", "created_ts"), "entity_id", [head], ["asset_id", "category", "created_ts", "alert_id"], "ordinal")
+    return ranked.select("entity_id", "alert_id", "case_id", "closure_duration_sec", "ordinal").withColumn("hit", F.col("ordinal") <= THRESHOLDS.eg03_cap)
 
 
 def note_similarity(top: DataFrame) -> DataFrame:

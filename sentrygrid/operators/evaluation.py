@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrygrid.functions.stats import spearman
-from sentrygrid.operators.features import alert_features
+from sentrygrid.operators.features import alert_features, numbered
 from sentrygrid.operators.scoring import scored
 from sentrygrid.schema import Bundle
 
@@ -29,16 +29,49 @@ def singular(ref: Column) -> Column:
     return out
 
 
+#: Lengths of the pieces by which texts are looked up: a text is found by its last piece of the longest length that it has.
+PIECES = (6, 3, 1)
+
+
+def _ending(text: Column) -> Column:
+    """The end of a text that stands for it: whatever contains the text contains it."""
+    size = F.length(text)
+    return F.when(size >= PIECES[0], F.right(text, F.lit(PIECES[0]))).when(size >= PIECES[1], F.right(text, F.lit(PIECES[1]))).otherwise(F.right(text, F.lit(PIECES[2])))
+
+
+def _pieces(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """``texts`` (entity_id, text, ...) that contain one of the non-empty ``parts`` (entity_id, part, ...) of their entity: rows of both.
+
+    Texts are cut into pieces that serve as keys of an equi-join with the parts' ends; containment is checked on what meets."""
+    ends = parts.where(F.length("part") > 0).withColumn("__end", _ending(F.col("part")))
+    found = None
+    for n in PIECES:
+        meets = texts.where(F.length("text") >= n).withColumn("__end", F.explode(_pieces(F.col("text"), n)))
+        some = meets.join(ends.where(F.length("__end") == n), ["entity_id", "__end"]).where(F.contains("text", F.col("part")))
+        found = some if found is None else found.unionByName(some)
+    return found.drop("__end")
+
+
 def matched(items: DataFrame, truth: DataFrame) -> DataFrame:
     """Items (entity_id, item_id, detector_id, scope, evidence_refs) that a fault of the same entity explains: the scopes
     contain each other, a reference contains the fault's scope, or the detector is the expected one of a broad fault."""
-    fault = truth.select("entity_id", F.lower("scope").alias("f_scope"), F.col("detector_expected").alias("f_det"))
-    scope, f = F.lower("scope"), F.col("f_scope")
-    by_scope = (F.length(scope) > 0) & (F.length(f) > 0) & (F.contains(scope, f) | F.contains(f, scope))
-    by_ref = F.exists("evidence_refs", lambda r: F.contains(singular(F.lower(r)), F.col("f_scope")))
-    broad = F.contains(f, F.lit("entity:")) | F.contains(f, F.lit("category:")) | F.contains(f, F.lit("period:"))
-    by_detector = F.coalesce((F.col("detector_id") == F.col("f_det")) & broad, F.lit(False))
-    return items.join(fault.withColumnRenamed("entity_id", "f_entity"), (F.col("entity_id") == F.col("f_entity")) & (by_scope | by_ref | by_detector), "left_semi")
+    fault = truth.select("entity_id", F.lower("scope").alias("f"), "detector_expected").distinct()
+    row = F.sha2(F.to_json(F.struct("entity_id", "item_id", "detector_id", "scope", "evidence_refs")), 256)
+    keyed = items.withColumn("__row", row)
+    scope = F.lower("scope")
+    own = keyed.where(F.length("scope") > 0).select("entity_id", "__row", scope.alias("text"))
+    refs = keyed.select("entity_id", "__row", F.explode("evidence_refs").alias("ref")).where("ref is not null").select("entity_id", "__row", singular(F.lower("ref")).alias("text"))
+    scopes = fault.select("entity_id", F.col("f").alias("part")).distinct()
+    broad = fault.where(F.contains("f", F.lit("entity:")) | F.contains("f", F.lit("category:")) | F.contains("f", F.lit("period:"))).select("entity_id", F.col("detector_expected").alias("detector_id")).distinct()
+    hits = contained(own.unionByName(refs), scopes).select("__row")
+    hits = hits.unionByName(contained(scopes.select("entity_id", F.col("part").alias("text")), own.withColumnRenamed("text", "part")).select("__row"))
+    hits = hits.unionByName(keyed.join(broad, ["entity_id", "detector_id"], "left_semi").select("__row"))
+    hits = hits.unionByName(refs.join(fault.where("f = ''"), "entity_id", "left_semi").select("__row"))
+    return keyed.join(hits.distinct(), "__row", "left_semi").drop("__row")
 
 
 def budget_of(n: Column, share: float) -> Column:
@@ -62,19 +95,6 @@ def random_baseline(alerts: DataFrame, hits: DataFrame) -> DataFrame:
     return alerts.select("entity_id", "alert_id").join(flagged, "alert_id", "left").groupBy("entity_id").agg(F.count("*").alias("alerts"), F.count("hit").alias("hits")).withColumn("expected_precision", F.col("hits") / F.col("alerts"))
 
 
-def numbered(rows: DataFrame, key: str, coarse: list[Column], order: list[Column | str], name: str) -> DataFrame:
-    """Positions from 1 within each key, ordered by ``coarse``, whose values are never null, and then ``order``.
-
-    Rows are numbered within each coarse value and shifted by the counts of earlier ones, so that a key's rows are spread over tasks."""
-    parts = [f"__c{i}" for i in range(len(coarse))]
-    dealt = rows.withColumns(dict(zip(parts, coarse, strict=True)))
-    counts = dealt.groupBy(key, *parts).agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(key, *parts).orderBy(*order))
-    return dealt.withColumn("__r", within).join(starts, [key, *parts]).withColumn(name, (F.col("__before") + F.col("__r")).cast("int")).drop(*parts, "__n", "__r", "__before")
-
-
 def _day(c: str) -> Column:
     """The day of a time as a number; a missing time comes first, as in ascending order."""
     return F.coalesce(F.unix_date(F.to_date(c)), F.lit(-(1 << 31)))

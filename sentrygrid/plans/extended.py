@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
 from sentrygrid.operators import features, feedback_state, intervals, reach, sketches
 from sentrygrid.plans.oracles import needs
 from sentrygrid.plans.registry import Query, ledger, longs, rounded
-from sentrygrid.sources import driver_tables, scratch, store
+from sentrygrid.sources import bucketed, driver_tables, scratch, store
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,3 +140,19 @@ def feedback_merged(spark, d):
     for batch in (rows.where(F.col("feedback_id") <= low), rows.where((F.col("feedback_id") > low) & (F.col("feedback_id") <= high)), rows.where(F.col("feedback_id") <= high), rows.where(F.col("feedback_id") > high)):
         feedback_state.merge(spark, path, batch)
     return longs(rounded(feedback_state.weights(spark, path), "factor", digits=4).select("entity_id", "detector_id", "factor", "version"), "version")
+
+
+@query("SELECT a.alert_id, c.case_id, coalesce(n, 0) AS workflow_event_count, e.case_id IS NOT NULL AS is_escalated FROM alerts a LEFT JOIN cases c USING (alert_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM wf GROUP BY 1) w ON w.case_id = c.case_id LEFT JOIN (SELECT DISTINCT case_id FROM esc) e ON e.case_id = c.case_id")
+def bucketed_alerts(spark, d):
+    """Alerts with their case and its events, joined in place in a bucketed store of the catalog."""
+    database = f"sentrygrid_{uuid.uuid4().hex}"
+    bucketed.write(spark, driver_tables.bundle(spark, d), database)
+    atexit.register(_drop, spark, database)
+    return bucketed.worked_alerts(spark, database).select("alert_id", "case_id", "workflow_event_count", "is_escalated")
+
+
+def _drop(spark, database: str) -> None:
+    try:
+        bucketed.drop(spark, database)
+    except Exception:  # the session may already be gone at interpreter exit
+        pass

@@ -41,12 +41,18 @@ def run_all(spark: SparkSession, source: str | dict[str, DataFrame], output: str
         store.write_json(df, f"{output}/json/{name}")
     totals = {r["table_name"]: r["rows"] for r in quarantine.counts(bundle).collect()}
     digest = audit.canonical_hash({n: df.agg(F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()[0] for n, df in out.items()})
+    config, versions = {"budget": budget, "seed": seed, **asdict(THRESHOLDS)}, {"spark": pyspark.__version__}
+    inputs = {n: found[1] for n in TABLES if isinstance(source, str) and (found := store.resolve(spark, source, n))}
+    outputs = {n: f"{output}/{n}.parquet" for n in out}
     local = output.removeprefix("file://")
-    if "://" not in local:  # the seal is a small local file; elsewhere the caller keeps it
-        inputs = {n: found[1].removeprefix("file://") for n in TABLES if isinstance(source, str) and (found := store.resolve(spark, source, n))}
-        outputs = {n: f"{local}/{n}.parquet" for n in out}
-        sealed = audit.manifest(run_id, {"budget": budget, "seed": seed, **asdict(THRESHOLDS)}, inputs, outputs, totals, {"spark": pyspark.__version__})
+    if "://" not in local:
+        bare = lambda paths: {n: p.removeprefix("file://") for n, p in paths.items()}
+        sealed = audit.manifest(run_id, config, bare(inputs), bare(outputs), totals, versions)
         Path(f"{local}/manifest.json").write_text(json.dumps(sealed, indent=2, sort_keys=True))
         audit.append_entry(f"{local}/audit.jsonl", "run", run_id, sealed["manifest_hash"])
+    else:  # hashed by tasks, and an entry in a log that several runs may share
+        sealed = audit.shared_manifest(spark, run_id, config, inputs, outputs, totals, versions)
+        scratch.put_if_absent(spark, f"{output}/manifest-{run_id}.json", json.dumps(sealed, indent=2, sort_keys=True))
+        audit.append_shared(spark, f"{output}/audit", "run", run_id, sealed["manifest_hash"])
     out["summary"] = spark.createDataFrame([(run_id, digest, pyspark.__version__, str(totals))], "run_id string, data_hash string, spark string, rows string")
     return out
