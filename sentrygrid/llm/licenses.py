@@ -4,8 +4,10 @@
 * Units are the lines of a text, their sentences, and its blocks between lines without words, that hold a term which
   templates have and other texts are not full of.
 * A unit's terms are its lower-cased words and numbers.  Inverse document frequencies come from all units of all
-  texts together with the templates.  Only terms that a template has are kept one by one, the others count in the
-  unit's norm, so the vectors that are shuffled are sparse.
+  texts together with the templates.  A template's term weighs at least what it weighs among the templates alone, so that
+  licence words stay telling where notices are common, and a term that no template has at most ``OTHER``, so that a rare name
+  in a notice does not hide it.  Only terms that a template has are kept one by one, the others count in the unit's norm, so
+  the vectors that are shuffled are sparse.
 * A unit's licences are those with a template of cosine ``LEAST`` or more whose naming term it holds; a text's is the
   best of its units', of equal ones the one with more templates met.  A bare reservation of rights counts only in texts
   where no grant is found.
@@ -27,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import materialize, row_key, text_col
+from sentrygrid.llm.common import materialize, row_key, salted_join, text_col
 
 # Notices of common licences, each with its name in SPDX and the terms without which it is not meant.
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -95,12 +97,22 @@ TEXTS = [
 ]
 #: Reservations, which stand beside many grants: a text's licence only where no grant is found.
 RESERVED = [("Proprietary", "reserved", "All rights reserved"), ("Proprietary", "reserved", "Copyright (c) All rights reserved")]
+#: Disclaimers of full texts and headers, which stand beside their grants: like reservations they decide only where no grant is found.
+DISCLAIMERS = [
+    ("Apache-2.0", "warranties", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "merchantability", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("GPL-3.0", "gnu", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("ISC", "disclaims", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("MIT", "noninfringement", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+]
 TEMPLATES = [(x, 0, must, notice) for x, must, notice in TEXTS]
 TEMPLATES += [(x, 0, MUST[x], f"{lead} {name}") for x, spdx, long in NAMED for lead, name in (("SPDX-License-Identifier:", spdx), ("SPDX-License-Identifier:", x), ("Licensed under", x), ("License:", x), ("This work is licensed under the", long), ("", long))]
-TEMPLATES += [(x, 1, must, notice) for x, must, notice in RESERVED]
+TEMPLATES += [(x, 1, must, notice) for x, must, notice in RESERVED + DISCLAIMERS]
 #: Words of templates that other texts are full of: a unit that has only these is no notice.
 COMMON = set("a above all and any are as at be by can c code conditions copies copy derived do except fee file files following for form forms free from general holder if in is it its january june february november later list may met name names no not of on one option or other part person persons portions products program prior provided public published publish purpose rights sell shall source subject terms that the this to under use used version was whom with without work you v http https www org 0 1 2 3 4 19 29 1991 1999 2004 2007 mit materials either neither nor obtain obtaining one appear including included deal merge must party retain reproduce specific written sa nd nc by cc0 zero international universal domain isc".split())
 LEAST, FILE_SHARE = 0.6, 0.5
+#: The most that a term weighs which no template has.
+OTHER = 2.0
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -141,8 +153,10 @@ def detect(spark: SparkSession, files: DataFrame) -> DataFrame:
     stated = templates.select("template", "license", "rank", "must", F.explode("terms").alias("term")).groupBy("template", "license", "rank", "must", "term").agg(F.count("*").alias("tf"))
     total = bag.select("key", "unit").distinct().count() + len(TEMPLATES)
     frequency = bag.select("term").unionByName(stated.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = bag.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    among = stated.groupBy("term").agg((F.log(F.lit(1.0 + len(TEMPLATES)) / (1 + F.count("*"))) + 1).alias("among"))
+    whole = (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf")
+    idf = frequency.select("term", whole).join(F.broadcast(among), "term", "left").select("term", F.when(F.col("among").isNull(), F.least("idf", F.lit(OTHER))).otherwise(F.greatest("idf", "among")).alias("idf"))
+    weighed = salted_join(bag, idf, ["term"], "key").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     shapes = stated.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = shapes.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

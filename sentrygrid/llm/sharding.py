@@ -24,30 +24,36 @@ from sentrygrid.llm.common import buckets_for, hash_bucket, materialize
 ROW_OVERHEAD = 16
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a string key among ``len(weights)`` shards."""
+def _cost(key: Column, shard: Column, weight: Column) -> Column:
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key, F.lit("null")), shard.cast("string"))), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / weight
+
+
+def _winner(key: Column, weights: Sequence[float]) -> Column:
+    """The least (cost, shard)."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     shards = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)])
+    return F.array_min(F.transform(shards, lambda x: F.struct(_cost(key, x["shard"], x["weight"]).alias("cost"), x["shard"].alias("shard"))))
 
-    def cost(x: Column) -> Column:
-        bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key, F.lit("null")), x["shard"].cast("string"))), 1, 13), 16, 10).cast("double")
-        return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / x["weight"]
 
-    return F.array_min(F.transform(shards, lambda x: F.struct(cost(x).alias("cost"), x["shard"].alias("shard"))))["shard"]
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard of a string key among ``len(weights)`` shards."""
+    return _winner(key, weights)["shard"]
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, weights: Sequence[float], new_weight: float = 1.0, text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, grown_shard and slot for every row of ``docs``."""
+    """doc_id, size, text_crc32, shard, grown_shard and slot for every row of ``docs``; a further shard is compared with the winner alone."""
     value, key = docs[text].cast("string"), docs["doc_id"].cast("long").cast("string")
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.coalesce(value, F.lit("")).cast("binary")).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, new_weight]).alias("grown_shard"),
+        _winner(key, weights).alias("best"),
     )
-    rows = materialize(spark, rows, "shards")
+    new = F.lit(len(weights))
+    grown = F.when(_cost(F.col("doc_id").cast("string"), new, F.lit(float(new_weight))) < F.col("best.cost"), new).otherwise(F.col("best.shard"))
+    rows = materialize(spark, rows.select("doc_id", "size", "text_crc32", F.col("best.shard").alias("shard"), grown.alias("grown_shard")), "shards")
     return number_slots(rows, ["shard"], ["doc_id", "text_crc32", "size"], rows.count())
 
 

@@ -1,6 +1,7 @@
 """PII, secrets and licences against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -156,6 +157,61 @@ def test_notices_of_many_forms(spark):
     assert {t: got[i] for i, t in enumerate(want)} == want
 
 
+def test_scores_equal_dense_cosines(spark):
+    """Weights and cosines of every unit with every template, word by word."""
+    rng = random.Random(3)
+    pool = [n for *_, n in licenses.TEMPLATES if len(n.split()) > 3]
+    texts = []
+    for i in range(25):
+        notice = rng.choice(pool).split()
+        for _ in range(rng.randrange(4)):
+            notice.insert(rng.randrange(len(notice)), f"name{rng.randrange(9)}")
+        texts.append(" ".join(notice))
+    split = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower().replace("licenc", "licens")) if w]
+    df = spark.createDataFrame([(str(i), f"d{i}/x", t) for i, t in enumerate(texts)], "key string, path string, text string")
+    units = [(r["key"], split(u)) for r in df.select("key", licenses._unit_texts(F.col("text")).alias("u")).collect() for u in r["u"]]
+    bags = [split(n) for *_, n in licenses.TEMPLATES]
+    df_all = Counter(w for _, u in units for w in set(u)) + Counter(w for b in bags for w in set(b))
+    df_own = Counter(w for b in bags for w in set(b))
+    total = len(units) + len(bags)
+
+    def weight(w):
+        idf = math.log((1 + total) / (1 + df_all[w])) + 1
+        return max(idf, math.log((1 + len(bags)) / (1 + df_own[w])) + 1) if w in df_own else min(idf, licenses.OTHER)
+
+    vector = lambda words: {w: n * weight(w) for w, n in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best = {}
+    for key, u in units:
+        v = vector(u)
+        for (name, rank, must, _), b in zip(licenses.TEMPLATES, bags, strict=True):
+            if set(must.split("|")) & set(b) & set(u):
+                t = vector(b)
+                score = round(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), 6)
+                if score >= licenses.LEAST:
+                    best.setdefault(key, {})[rank, name] = max(score, best.get(key, {}).get((rank, name), 0))
+    got = {r["key"]: (r["own"], r["own_score"]) for r in licenses.detect(spark, df).collect()}
+    for key, (own, score) in got.items():
+        found = best.get(key, {})
+        if not found:
+            assert own is None
+            continue
+        rank = min(r for r, _ in found)
+        top = max(x for (r, _), x in found.items() if r == rank)
+        assert abs(score - top) < 2e-6 and abs(found[rank, own] - top) < 2e-6
+
+
+def test_common_notices_with_names_and_disclaimers(spark):
+    """Where notices are common, each is still found, whatever rare name it holds."""
+    lines = [f"Licensed under the MIT License item{i}." for i in range(5000)]
+    mit = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    gpl = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    apache = 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    rows = [(1, "a/x", "\n".join(lines)), (2, "b/x", "\n\n".join(["words", mit, "words"])), (3, "c/x", gpl), (4, "d/x", apache)]
+    got = {r.doc_id: r for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert got[1].notices >= 5000 and [got[i].own for i in (1, 2, 3, 4)] == ["MIT", "MIT", "GPL-3.0", "Apache-2.0"]
+
+
 def test_spans_apart_and_running_values(spark):
     rng = random.Random(5)
     rows = []
