@@ -309,3 +309,38 @@ def test_found_spans_equal_brute_force(spark):
     got = sorted((r.doc_id, f.kind, f.start, f.end) for r in pii.find_pii(spark, df).collect() for f in r.found)
     assert got == brute_found(rows) and {320, 321} <= {d for d, *_ in got} and len(got) > 25
     assert pii.find_pii(spark, df.limit(0)).count() == 0
+
+
+def linked_by_hand(text, scope):
+    """Weak parts with a complementary part within the scope: every part compared with every other."""
+    spans_of = lambda p: [(m.start(), m.end()) for m in re.finditer(p, text)]
+    assigned = [(m.start(), m.end(), len(m[2])) for m in re.finditer(secrets.PATTERNS["assign"], text)]
+    long = [(a, b) for a, b, n in assigned if n >= secrets.ASSIGN_LENGTH]
+    strict = long + spans_of(secrets.PATTERNS["access"]) + spans_of(secrets.PATTERNS["hex"])
+    own = [(a, b, "secret") for a, b, n in assigned if n < secrets.ASSIGN_LENGTH]
+    own += [(a, b, role) for role in ("access", "secret") for a, b in spans_of(secrets.WEAK[role])]
+    others = own + [(a, b, "secret") for a, b in long] + [(a, b, "access") for a, b in spans_of(secrets.PATTERNS["access"])] + [(a, b, "endpoint") for a, b in spans_of(secrets.WEAK["endpoint"])]
+    fits = {("access", "secret"), ("secret", "access"), ("secret", "endpoint")}
+    out = set()
+    for a, b, role in own:
+        if any(a < d and c < b for c, d in strict):
+            continue
+        for c, d, other in others:
+            if (role, other) in fits and (b <= c or d <= a) and max(a, c) - min(b, d) <= scope:
+                out.add((a, b, role))
+    return sorted(out)
+
+
+def test_linking_equals_all_pairs(spark):
+    rng = random.Random(88)
+    parts = ["user = alice7", "login:bobby", "pwd: hunter22", "auth=abcdefg", "http://h.example/x", "host = db.example", "password=short1", "secret: longlonglonglong", "AKIA" + "Q7" * 8, "0123456789abcdef01", "key_id=K123 pass = 'abcdef'"]
+    texts = []
+    for _ in range(120):
+        pieces = []
+        for _ in range(rng.randrange(1, 14)):
+            pieces += [rng.choice(parts), "w " * rng.choice([0, 1, 3, 60, 125, 128, 130, 200])]
+        texts.append(" ".join(pieces))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.weak] for r in secrets.find_secrets(spark, df).collect()}
+    want = {i: linked_by_hand(t, secrets.SCOPE) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 100 and any(not w for w in want.values())

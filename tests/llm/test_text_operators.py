@@ -217,3 +217,37 @@ def test_predictions_equal_brute_force(spark):
         lang = min(sorted(away), key=away.get)
         score = 1 / sum(math.exp(-language_id.SHARPNESS * (a - away[lang]) / (language_id.PROFILE * len(mine))) for a in away.values())
         assert got[d][0] == lang and got[d][1] == pytest.approx(score)
+
+
+def hash_by_hand(image):
+    """The cosine hash by sums over every sample: block means of a 32 x 32 grid, then one cosine sum a frequency."""
+    import math
+
+    height, width, channels = image.shape
+    grey = [[256 * sum(int(image[y, x, c]) for c in range(channels)) for x in range(width)] for y in range(height)]
+
+    def shrink(lines):
+        n = len(lines)
+        if n < 32:
+            return [lines[i * n // 32] for i in range(32)]
+        cuts = [i * n // 32 for i in range(33)]
+        return [[sum(lines[y][x] for y in range(a, b)) // (b - a) for x in range(len(lines[0]))] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    turned = lambda m: [list(r) for r in zip(*m, strict=True)]
+    small = turned(shrink(turned(shrink(grey))))
+    cosine = [[math.cos(math.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+    freq = [sum(small[y][x] * cosine[u][y] * cosine[v][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(freq[1:])[31]
+    bits = [int(i > 0 and f > middle) for i, f in enumerate(freq)]
+    return bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, 64, 8)).hex(), freq, middle
+
+
+def test_cosine_hash_by_hand():
+    rng = np.random.default_rng(10)
+    for size in (192, 192 * 3, 192 * 31, 192 * 40, 192 * 100):
+        image = media.decode_png(media.encode_png(bytes(rng.integers(32, 127, size, dtype=np.uint8))))
+        want, freq, middle = hash_by_hand(image)
+        got = media.cosine_hash(image)
+        close = [abs(f - middle) < 1e-3 * max(map(abs, freq[1:])) for f in freq]
+        bits = lambda h: [int(b) for b in f"{int(h, 16):064b}"]
+        assert all(a == b or c for a, b, c in zip(bits(got), bits(want), close, strict=True))
