@@ -29,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrygrid.llm.common import materialize, row_key, salted_join, text_col
+from sentrygrid.llm.common import materialize, row_key, text_col
 
 # Notices of common licences, each with its name in SPDX and the terms without which it is not meant.
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -155,8 +155,12 @@ def detect(spark: SparkSession, files: DataFrame) -> DataFrame:
     frequency = bag.select("term").unionByName(stated.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     among = stated.groupBy("term").agg((F.log(F.lit(1.0 + len(TEMPLATES)) / (1 + F.count("*"))) + 1).alias("among"))
     whole = (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf")
-    idf = frequency.select("term", whole).join(F.broadcast(among), "term", "left").select("term", F.when(F.col("among").isNull(), F.least("idf", F.lit(OTHER))).otherwise(F.greatest("idf", "among")).alias("idf"))
-    weighed = salted_join(bag, idf, ["term"], "key").withColumn("w", F.col("tf") * F.col("idf"))
+    every = frequency.select("term", whole)
+    among = among.join(every, "term").select("term", F.greatest("idf", "among").alias("idf"))
+    # Other terms weigh OTHER unless they stand in a share of the units; that many terms are no more than a few times a unit's mean.
+    frequent = every.join(F.broadcast(among.select("term")), "term", "left_anti").where(F.col("idf") < OTHER)
+    idf = materialize(spark, among.unionByName(frequent), "licence-weights")
+    weighed = bag.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(OTHER)))
     norms = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     shapes = stated.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = shapes.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
