@@ -109,7 +109,7 @@ TEMPLATES = [(x, 0, must, notice) for x, must, notice in TEXTS]
 TEMPLATES += [(x, 0, MUST[x], f"{lead} {name}") for x, spdx, long in NAMED for lead, name in (("SPDX-License-Identifier:", spdx), ("SPDX-License-Identifier:", x), ("Licensed under", x), ("License:", x), ("This work is licensed under the", long), ("", long))]
 TEMPLATES += [(x, 1, must, notice) for x, must, notice in RESERVED + DISCLAIMERS]
 #: Words of templates that other texts are full of: a unit that has only these is no notice.
-COMMON = set("a above all and any are as at be by can c code conditions copies copy derived do except fee file files following for form forms free from general holder if in is it its january june february november later list may met name names no not of on one option or other part person persons portions products program prior provided public published publish purpose rights sell shall source subject terms that the this to under use used version was whom with without work you v http https www org 0 1 2 3 4 19 29 1991 1999 2004 2007 mit materials either neither nor obtain obtaining one appear including included deal merge must party retain reproduce specific written sa nd nc by cc0 zero international universal domain isc".split())
+COMMON = set("a above all and any are as at be by can c code conditions copies copy derived do except fee file files following for form forms free from general holder if in is it its january june february november later list may met name names no not of on one option or other part person persons portions products program prior provided public published publish purpose rights sell shall source subject terms that the this to under use used version was whom with without work you v http https www org 0 1 2 3 4 19 29 1991 1999 2004 2007 mit materials either neither nor obtain obtaining one appear including included deal merge must party retain reproduce specific written sa nd nc by cc0 zero international universal domain isc but details even express fitness governing holders hope implied kind language law limitations limited more particular purpose regard required see specific unless useful will writing agreed applicable an author contributors disclaimed basis distributed permissions".split())
 LEAST, FILE_SHARE = 0.6, 0.5
 #: The most that a term weighs which no template has.
 OTHER = 2.0
