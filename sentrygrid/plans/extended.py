@@ -1,4 +1,4 @@
-"""Queries of joins over time, recursion, reach, sketches and merged state, with their SQL."""
+"""Queries of joins over time, recursion, reach, sketches, merged state, layouts, sinks and serving, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sentrygrid.operators import features, feedback_state, intervals, reach, sketches
+from sentrygrid.operators import features, feedback_state, intervals, quarantine, reach, review_queue, scoring, serving, sketches
 from sentrygrid.plans.oracles import needs
-from sentrygrid.plans.registry import Query, ledger, longs, rounded
+from sentrygrid.plans.registry import BUDGET, Query, basic_findings, ledger, longs, rounded
+from sentrygrid.schema import FINDING
 from sentrygrid.sources import bucketed, driver_tables, scratch, store
 
 QUERIES: dict[str, Query] = {}
@@ -156,3 +157,75 @@ def _drop(spark, database: str) -> None:
         bucketed.drop(spark, database)
     except Exception:  # the session may already be gone at interpreter exit
         pass
+
+
+# ---------------------------------------------------------------- validation of cases and assets, sinks read back, serving
+@query("""SELECT CASE WHEN k % 103 = 0 THEN 'Timestamp ordering violation: opened_ts > closed_ts' WHEN k % 97 = 0 THEN 'Unparseable timestamp in column ''opened_ts''' END AS quarantine_reason, count(*) AS n
+FROM (SELECT l_orderkey AS k FROM lineitem GROUP BY 1) GROUP BY ALL""")
+def quarantine_cases(spark, d):
+    """Cases, some closed before they were opened and some without a readable time, by the reason why they are set aside."""
+    k = F.substring("case_id", 2, 20).cast("long")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    raw = driver_tables.cases(spark, d).withColumn("row_pos", k).withColumn("closed_ts", F.when(k % 103 == 0, text(F.col("opened_ts") - F.expr("interval 1 day"))).otherwise(text("closed_ts")))
+    raw = raw.withColumn("opened_ts", F.when((k % 97 == 0) & (k % 103 != 0), "soon").otherwise(text("opened_ts")))
+    return quarantine.with_reason("cases", raw).groupBy("quarantine_reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN k % 11 = 0 THEN 'Invalid criticality tier' END AS quarantine_reason, CASE WHEN k % 11 = 0 THEN 'aside' WHEN monitored AND k % 13 <> 0 THEN 'true' ELSE 'false' END AS monitoring_expected, count(*) AS n
+FROM (SELECT c_custkey AS k, c_acctbal >= 0 AS monitored FROM customer) GROUP BY ALL""")
+def quarantine_assets(spark, d):
+    """Assets, some of an unknown criticality, with truth written in many ways and some of it unreadable."""
+    k = F.substring("asset_id", 2, 20).cast("long")
+    one_of = lambda *words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    said = F.when(k % 13 == 0, "perhaps").when(F.col("monitoring_expected"), one_of("true", "Yes", " 1 ", "Y", "t")).otherwise(one_of("false", "No", "0", "n"))
+    raw = driver_tables.assets(spark, d).where("asset_id like 'C%'").withColumn("row_pos", k).withColumns({"criticality": F.when(k % 11 == 0, "vital").otherwise(F.upper("criticality")), "monitoring_expected": said})
+    good, bad = quarantine.validate("assets", raw)
+    parts = [good.select(F.lit(None).cast("string").alias("quarantine_reason"), F.col("monitoring_expected").cast("string").alias("monitoring_expected")), bad.select("quarantine_reason", F.lit("aside").alias("monitoring_expected"))]
+    return parts[0].unionByName(parts[1]).groupBy("quarantine_reason", "monitoring_expected").agg(F.count("*").alias("n"))
+
+
+@query("SELECT finding_id, entity_id, scope, round(dev, 3) AS deviation, to_json(list_sort(refs))::VARCHAR AS refs FROM findings")
+def sink_csv(spark, d):
+    """Findings as CSV read back: nested columns are JSON there."""
+    path = scratch.folder(spark, "csv")
+    store.write_csv(basic_findings(spark, d).withColumn("evidence_refs", F.array_sort("evidence_refs")), path)
+    back = spark.read.csv(path, header=True, escape='"')
+    return rounded(back.select("finding_id", "entity_id", "scope", "deviation", F.col("evidence_refs").alias("refs")), "deviation", digits=3)
+
+
+@query("SELECT finding_id, entity_id, scope, round(dev, 3) AS deviation, len(refs) AS refs FROM findings")
+def sink_json(spark, d):
+    """Findings as JSON lines read back."""
+    path = scratch.folder(spark, "json")
+    store.write_json(basic_findings(spark, d), path)
+    back = spark.read.schema(FINDING).json(path)
+    return rounded(longs(back.select("finding_id", "entity_id", "scope", "deviation", F.size("evidence_refs").alias("refs")), "refs"), "deviation", digits=3)
+
+
+@query("SELECT quarantine_reason, count(*) AS n FROM judged WHERE quarantine_reason IS NOT NULL GROUP BY 1")
+def sink_quarantine(spark, d):
+    """What validation sets aside, written as CSV beside the data and read back."""
+    path = scratch.folder(spark, "aside")
+    _, bad = quarantine.validate("alerts", driver_tables.dirty_alerts(spark, d))
+    store.write_csv(bad, path)
+    return spark.read.csv(path, header=True, escape='"').groupBy("quarantine_reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT entity_id, risk_index, risk_tier FROM risk WHERE entity_id = 'N4'")
+def entity_detail(spark, d):
+    scores = scoring.risk_index(scoring.area_scores(spark, basic_findings(spark, d), driver_tables.entities(spark, d)))
+    return serving.entity_detail(scores, "n4").select("entity_id", "risk_index", "risk_tier")
+
+
+@query("SELECT finding_id, detector_id, entity_id, scope FROM findings WHERE finding_id = (SELECT min(finding_id) FROM findings)")
+def finding_by_id(spark, d):
+    f = basic_findings(spark, d)
+    first = f.agg(F.min("finding_id")).first()[0]
+    return serving.find(f, finding_id=first.lower()).select("finding_id", "detector_id", "entity_id", "scope")
+
+
+@query("SELECT entity_id, rank, scope FROM (SELECT entity_id, rank, scope FROM picked UNION ALL SELECT entity_id, taken + pick, 'alert:' || alert_id FROM control) WHERE entity_id = 'N4' AND rank <= 25")
+def queue_by_budget(spark, d):
+    """The first items of one entity's queue."""
+    q = review_queue.build_queues(basic_findings(spark, d), driver_tables.alerts(spark, d), BUDGET)
+    return longs(serving.queue_of(q, "n4", 25).select("entity_id", "rank", "scope"), "rank")

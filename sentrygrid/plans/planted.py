@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrygrid.operators import detectors, faults
+from sentrygrid.operators import detectors, evaluation, faults, review_queue, scoring
 from sentrygrid.operators.detectors import Context
-from sentrygrid.plans.oracles import CTES, needs
-from sentrygrid.plans.registry import BASIC, Query, joined, longs
-from sentrygrid.schema import Bundle
-from sentrygrid.sources import driver_tables
+from sentrygrid.plans.oracles import CTES, PLAIN, needs
+from sentrygrid.plans.registry import BASIC, BUDGET, SOURCES, Query, joined, longs, rounded
+from sentrygrid.schema import FINDING, Bundle
+from sentrygrid.sources import driver_tables, scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,9 +54,28 @@ FROM cases_given c JOIN (SELECT alert_id AS about, entity_id, severity FROM aler
     "wf": f"SELECT w.* FROM wf_given w JOIN cases USING (case_id) JOIN (SELECT alert_id, entity_id FROM alerts) USING (alert_id) WHERE NOT {_slot('EG-03', 50)}",
     "esc": f"SELECT e.* FROM esc_given e JOIN cases USING (case_id) JOIN (SELECT alert_id, entity_id FROM alerts) USING (alert_id) WHERE NOT {_ENTITY['EG-02']}",
 }
+OVERLAY |= {
+    "findings": CTES["findings"].removesuffix(")") + " UNION ALL SELECT finding_id, detector_id, category, entity_id, scope, sev::DOUBLE, dev::DOUBLE, pct::DOUBLE, conf::DOUBLE, refs FROM f_nov01)",
+    "truth": f"""
+SELECT entity_id, det, scope, intensity, CASE intensity WHEN 'strong' THEN 2.0 ELSE 1.0 END AS w FROM (
+  SELECT entity_id, ['{"', '".join(SCHEDULE.values())}'][substr(entity_id, 2)::INT + 1] AS det, 'entity:' || entity_id AS scope, CASE WHEN {" OR ".join(_ENTITY[k] for k in ("EG-06", "EG-08", "NS-04"))} THEN 'subtle' ELSE 'strong' END AS intensity
+  FROM entities WHERE {" OR ".join(_ENTITY[k] for k in ("EG-02", "EG-04", "EG-06", "EG-07", "EG-08", "NS-03", "NS-04", "NS-06"))}
+  UNION ALL SELECT entity_id, 'EG-01', 'alert:' || alert_id, 'strong' FROM alerts WHERE {_slot('EG-01', 33, _SEVERE)}
+  UNION ALL SELECT entity_id, 'EG-03', 'alert:' || a.alert_id, 'strong' FROM alerts a JOIN (SELECT alert_id AS about FROM cases) ON about = a.alert_id WHERE {_slot('EG-03', 50)}
+  UNION ALL SELECT DISTINCT entity_id, 'EG-05', 'asset:' || asset_id, 'strong' FROM alerts WHERE {_ENTITY['EG-05']}
+  UNION ALL SELECT DISTINCT entity_id, 'NS-01', 'asset:' || asset_id, 'strong' FROM alerts_given WHERE {_slot('NS-01', 25, key='asset_id')}
+  UNION ALL SELECT entity_id, 'NS-02', 'category:{faults.CATEGORY}', 'strong' FROM entities WHERE {_ENTITY['NS-02']}
+  UNION ALL SELECT entity_id, 'NS-05', 'period:{faults.SILENCE[0]}', 'strong' FROM entities WHERE {_ENTITY['NS-05']}
+  UNION ALL SELECT entity_id, 'NOV-01', 'period:{faults.ODD_MONTH}', 'strong' FROM entities WHERE {_ENTITY['NOV-01']})""",
+    "suites": "SELECT unnest(['full', CASE WHEN detector_id IN ('EG-03', 'EG-05', 'NS-01', 'NS-03', 'NS-05') THEN 'rules' WHEN detector_id = 'NOV-01' THEN 'learned' ELSE 'statistics' END]) AS suite, * FROM findings",
+}
 PLANTED_CTES: dict[str, str] = {}
-for _name, _sql in CTES.items():
-    if _name in OVERLAY:
+_names, _from, _to = list(CTES), list(CTES).index("findings"), list(CTES).index("nov")
+for _name in _names[:_from] + _names[_to:] + _names[_from:_to]:  # the months' detector before the findings
+    _sql = CTES[_name]
+    if _name in ("findings", "truth", "suites"):
+        PLANTED_CTES[_name] = OVERLAY[_name]
+    elif _name in OVERLAY:
         PLANTED_CTES |= {f"{_name}_given": _sql, _name: OVERLAY[_name]}
     else:
         PLANTED_CTES[_name] = _sql
@@ -117,20 +136,7 @@ def planted_counts(spark, d):
     return out
 
 
-_TRUTH = f"""
-SELECT entity_id, det, scope, intensity FROM (
-  SELECT entity_id, ['{"', '".join(SCHEDULE.values())}'][substr(entity_id, 2)::INT + 1] AS det, 'entity:' || entity_id AS scope, CASE WHEN {" OR ".join(_ENTITY[k] for k in ("EG-06", "EG-08", "NS-04"))} THEN 'subtle' ELSE 'strong' END AS intensity
-  FROM entities WHERE {" OR ".join(_ENTITY[k] for k in ("EG-02", "EG-04", "EG-06", "EG-07", "EG-08", "NS-03", "NS-04", "NS-06"))}
-  UNION ALL SELECT entity_id, 'EG-01', 'alert:' || alert_id, 'strong' FROM alerts WHERE {_slot('EG-01', 33, _SEVERE)}
-  UNION ALL SELECT entity_id, 'EG-03', 'alert:' || a.alert_id, 'strong' FROM alerts a JOIN (SELECT alert_id AS about FROM cases) ON about = a.alert_id WHERE {_slot('EG-03', 50)}
-  UNION ALL SELECT DISTINCT entity_id, 'EG-05', 'asset:' || asset_id, 'strong' FROM alerts WHERE {_ENTITY['EG-05']}
-  UNION ALL SELECT DISTINCT entity_id, 'NS-01', 'asset:' || asset_id, 'strong' FROM alerts_given WHERE {_slot('NS-01', 25, key='asset_id')}
-  UNION ALL SELECT entity_id, 'NS-02', 'category:{faults.CATEGORY}', 'strong' FROM entities WHERE {_ENTITY['NS-02']}
-  UNION ALL SELECT entity_id, 'NS-05', 'period:{faults.SILENCE[0]}', 'strong' FROM entities WHERE {_ENTITY['NS-05']}
-  UNION ALL SELECT entity_id, 'NOV-01', 'period:{faults.ODD_MONTH}', 'strong' FROM entities WHERE {_ENTITY['NOV-01']})"""
-
-
-@query(f"SELECT entity_id, det AS detector_expected, scope, intensity FROM ({_TRUTH})")
+@query("SELECT entity_id, det AS detector_expected, scope, intensity FROM truth")
 def planted_truth(spark, d):
     given = driver_tables.bundle(spark, d)
     return faults.truth(faults.plant(given, SCHEDULE), given, SCHEDULE).select("entity_id", "detector_expected", "scope", "intensity")
@@ -139,6 +145,60 @@ def planted_truth(spark, d):
 @query("SELECT detector_id, count(*) AS findings, count(*) FILTER (entity_id = 'N' || det) AS at_the_faulty FROM findings JOIN det_order USING (detector_id) GROUP BY 1")
 def planted_by_detector(spark, d):
     """Findings of each detector, and how many are at the entity that has its fault."""
-    f = detectors.run_detectors(bundle(spark, d), BASIC)
     at = F.create_map(*[F.lit(x) for e, k in SCHEDULE.items() for x in (k, e)])
-    return longs(f.groupBy("detector_id").agg(F.count("*").alias("findings"), F.count_if(F.col("entity_id") == at[F.col("detector_id")]).alias("at_the_faulty")), "findings")
+    return longs(findings(spark, d).groupBy("detector_id").agg(F.count("*").alias("findings"), F.count_if(F.col("entity_id") == at[F.col("detector_id")]).alias("at_the_faulty")), "findings")
+
+
+# ---------------------------------------------------------------- scores, queues and evaluation over all fifteen detectors
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """All findings over the planted tables, written once a session."""
+    name = f"planted-{scratch.fingerprint(spark, [f'{d}/{t}.parquet' for t in SOURCES])}"
+    return scratch.kept_as(spark, name, lambda: detectors.run_detectors(bundle(spark, d), list(detectors.METRICS), keep=scratch.folder(spark, "features")), FINDING)
+
+
+def _sizes(b: Bundle, t: DataFrame) -> DataFrame:
+    return b.alerts.groupBy("entity_id").agg(F.count("*").alias("alerts")).join(t.groupBy("entity_id").agg(F.count("*").alias("faults")), "entity_id")
+
+
+def _truth(spark: SparkSession, d: str) -> tuple[Bundle, DataFrame]:
+    given = driver_tables.bundle(spark, d)
+    b = faults.plant(given, SCHEDULE)
+    return b, faults.truth(b, given, SCHEDULE)
+
+
+@query(PLAIN["area_scores"])
+def planted_area_scores(spark, d):
+    out = scoring.area_scores(spark, findings(spark, d), driver_tables.entities(spark, d))
+    return rounded(out.select("entity_id", "area", "score", "findings", F.array_join("top_detectors", ",").alias("top_detectors")), "score", digits=2)
+
+
+@query("SELECT entity_id, risk_tier FROM risk")
+def planted_risk_tier(spark, d):
+    return scoring.risk_index(scoring.area_scores(spark, findings(spark, d), driver_tables.entities(spark, d))).select("entity_id", "risk_tier")
+
+
+@query(PLAIN["queue_full"])
+def planted_queue(spark, d):
+    q = review_queue.build_queues(findings(spark, d), bundle(spark, d).alerts, BUDGET)
+    return longs(q.select("entity_id", "rank", "item_id", "bucket", "scope", "target_type"), "rank")
+
+
+@query(PLAIN["match_findings"])
+def planted_matches(spark, d):
+    items = findings(spark, d).select("entity_id", F.col("finding_id").alias("item_id"), "detector_id", "scope", "evidence_refs")
+    return evaluation.matched(items, _truth(spark, d)[1]).select("item_id", "detector_id")
+
+
+@query(PLAIN["precision_at_k"])
+def planted_precision(spark, d):
+    b, t = _truth(spark, d)
+    order = Window.partitionBy("entity_id").orderBy(F.desc("score"), "finding_id")
+    ranked = scoring.scored(findings(spark, d)).withColumn("rank", F.row_number().over(order)).select("entity_id", F.col("finding_id").alias("item_id"), "detector_id", "scope", "evidence_refs", "rank")
+    return longs(evaluation.precision_at(ranked.select("entity_id", "item_id", "rank"), evaluation.matched(ranked.drop("rank"), t), _sizes(b, t)), "true_positives", "items")
+
+
+@query(PLAIN["ablation_precision"])
+def planted_ablation(spark, d):
+    """Each suite of detectors alone, the learned one among them."""
+    b, t = _truth(spark, d)
+    return longs(evaluation.ablation_precision(findings(spark, d), t, _sizes(b, t)), "findings", "items", "true_positives")
