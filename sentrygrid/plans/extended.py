@@ -171,7 +171,7 @@ def quarantine_cases(spark, d):
     return quarantine.with_reason("cases", raw).groupBy("quarantine_reason").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN k % 11 = 0 THEN 'Invalid criticality tier' END AS quarantine_reason, CASE WHEN k % 11 = 0 THEN 'aside' WHEN monitored AND k % 13 <> 0 THEN 'true' ELSE 'false' END AS monitoring_expected, count(*) AS n
+@query("""SELECT CASE WHEN k % 11 = 0 THEN 'Invalid asset criticality tier' END AS quarantine_reason, CASE WHEN k % 11 = 0 THEN 'aside' WHEN monitored AND k % 13 <> 0 THEN 'true' ELSE 'false' END AS monitoring_expected, count(*) AS n
 FROM (SELECT c_custkey AS k, c_acctbal >= 0 AS monitored FROM customer) GROUP BY ALL""")
 def quarantine_assets(spark, d):
     """Assets, some of an unknown criticality, with truth written in many ways and some of it unreadable."""
