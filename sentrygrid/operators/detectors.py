@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrygrid.functions.stats import entropy_bits, mean_percentile, poisson_cdf, robust_z
-from sentrygrid.operators import anomaly
+from sentrygrid.operators import anomaly, histograms
 from sentrygrid.operators.cohorts import cohorts, peer_stats
 from sentrygrid.operators.features import alert_features, analyst_counts, asset_features, ch, entity_cases, entity_features, entity_month_features, numbered, rate, zero_runs
 from sentrygrid.schema import FINDING, THRESHOLDS, Bundle
+from sentrygrid.sources.scratch import written
 
 EXECUTION, NEGATIVE, NOVEL = "EXECUTION_GAP", "NEGATIVE_SPACE", "NOVEL"
 VERSION = "1.0.0"
@@ -59,31 +60,19 @@ class Context:
 def eg01(c: Context) -> DataFrame:
     """Closures of critical and high alerts far faster than the peers' (the entity itself left out where enough remain).
 
-    Each alert is paired with the entities whose cohort it belongs to, aggregated by (target, severity); only the
-    targets' own rows carry ids."""
+    Durations are counted once a cohort; an entity's own counts are taken off where ranks are looked up."""
     t = THRESHOLDS
-    own = c.alerts.where(ch() & F.col("closure_duration_sec").isNotNull()).select("alert_id", "entity_id", "severity", F.col("closure_duration_sec").alias("dur"))
+    own = c.alerts.where(ch() & F.col("closure_duration_sec").isNotNull()).select("alert_id", "entity_id", "severity", F.col("closure_duration_sec").cast("double").alias("dur"))
     co = c.cohorts
-    targets = co.select(F.col("entity_id").alias("target"), F.col("cohort_key").alias("key"))
-    groups = co.select("entity_id", F.explode("groups").alias("key"))
-    pooled = own.select("entity_id", "severity", "dur").groupBy("entity_id", "severity", "dur").agg(F.count("*").alias("m"))  # equal durations of an entity travel once
-    rows = pooled.join(groups, "entity_id").join(targets, "key").select("target", "severity", "dur", "m", (F.col("entity_id") == F.col("target")).alias("mine"))
-    sized = rows.groupBy("target", "severity").agg(F.sum(F.when(F.col("mine"), F.col("m")).otherwise(0)).alias("n_own"), F.sum("m").alias("n_all"))
-    enough = sized.where((F.col("n_own") >= t.eg01_min_alerts) & (F.col("n_all") >= t.eg01_min_alerts))
-    enough = enough.withColumn("others_only", F.col("n_all") - F.col("n_own") >= t.eg01_min_alerts)
-    tagged = rows.join(enough.select("target", "severity", "others_only"), ["target", "severity"]).withColumn("peer", F.when(~F.col("mine") | ~F.col("others_only"), F.col("m")).otherwise(0))
-    peers = tagged.where("peer > 0")
-    first = peers.groupBy("target", "severity").agg(F.percentile("dur", 0.05, F.col("peer")).alias("p5"), F.percentile("dur", 0.5, F.col("peer")).alias("median"), F.sum("peer").alias("n"), F.sum(F.col("dur") * F.col("peer")).alias("s1"), F.sum(F.col("dur") * F.col("dur") * F.col("peer")).alias("s2"))
-    second = peers.join(first.select("target", "severity", "median"), ["target", "severity"]).groupBy("target", "severity").agg(F.percentile(F.abs(F.col("dur") - F.col("median")), 0.5, F.col("peer")).alias("mad"))
-    each = tagged.groupBy("target", "severity", "dur").agg(F.sum("peer").alias("at"))
-    upto = F.sum("at").over(Window.partitionBy("target", "severity").orderBy("dur").rowsBetween(Window.unboundedPreceding, 0))
-    placed = each.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("at"))
-    stats = first.join(second, ["target", "severity"])
-    scored = own.withColumnRenamed("entity_id", "target").join(placed, ["target", "severity", "dur"]).join(stats, ["target", "severity"])
-    std = F.sqrt(F.greatest(F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), 2), F.lit(0.0)))
-    scored = scored.withColumn("z", robust_z(F.col("dur"), F.col("median"), F.col("mad"), std)).withColumn("percentile", mean_percentile(F.col("below"), F.col("upto"), F.col("n")))
+    pooled = written(c.bundle.alerts.sparkSession, own.groupBy("entity_id", "severity", F.col("dur").alias("value")).agg(F.count("*").alias("m")), "durations")
+    whole = pooled.join(co.select("entity_id", F.explode("groups").alias("key")), "entity_id").groupBy("key", "severity", "value").agg(F.sum("m").alias("m"))
+    mine = pooled.join(co.select("entity_id", F.col("cohort_key").alias("key")), "entity_id")
+    placed, stats = histograms.peers(whole, mine, ["key", "severity"], "entity_id", {"p5": 0.05, "median": 0.5}, t.eg01_min_alerts)
+    ranks = placed.select("entity_id", "severity", F.col("value").alias("dur"), "below", "upto")
+    scored = own.join(ranks, ["entity_id", "severity", "dur"]).join(stats.drop("key", "mean"), ["entity_id", "severity"])
+    scored = scored.withColumn("z", robust_z(F.col("dur"), F.col("median"), F.col("mad"), F.col("std"))).withColumn("percentile", mean_percentile(F.col("below"), F.col("upto"), F.col("n")))
     hit = (F.col("dur") > 0) & ((F.col("dur") <= F.col("p5")) | (F.col("z") <= t.eg01_z) | (F.col("percentile") <= t.eg01_percentile))
-    return scored.select(F.col("target").alias("entity_id"), "alert_id", "severity", "dur", "p5", "median", "z", "percentile", hit.alias("hit")).join(co.select("entity_id", "cohort_level"), "entity_id")
+    return scored.select("entity_id", "alert_id", "severity", "dur", "p5", "median", "z", "percentile", hit.alias("hit")).join(co.select("entity_id", "cohort_level"), "entity_id")
 
 
 def eg02(c: Context) -> DataFrame:
