@@ -35,15 +35,23 @@ def pair_maps(ledger: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 
     Decisions are cut into slices by ascending id.  Those of a pair within a slice become one map, and a pair's maps are
     composed in order, so that no pair's decisions come into one row."""
-    states = _states()
-    leads = {d: _array([states.index(_step(f, d)) for f in states]) for d in ("dismiss", "confirm")}
     cut = ledger.repartitionByRange(max(1, math.ceil(ledger.count() / slice_rows)), "feedback_id").withColumn("slice", F.spark_partition_id())
-    events = F.array_sort(F.collect_list(F.struct("feedback_id", "decision")))
-    fold = F.aggregate("events", _array(range(len(states))), lambda m, e: F.when(e["decision"] == "dismiss", _through(m, leads["dismiss"])).when(e["decision"] == "confirm", _through(m, leads["confirm"])).otherwise(m))
-    part = cut.groupBy("entity_id", "detector_id", "slice").agg(events.alias("events"), F.max("created_at").alias("updated_at")).select("entity_id", "detector_id", "slice", fold.alias("map"), F.size("events").alias("n"), "updated_at")
+    part = cut.groupBy("entity_id", "detector_id", "slice").agg(*in_order()).select("entity_id", "detector_id", "slice", as_map().alias("map"), F.size("events").alias("n"), "updated_at")
     return composed(part)
 
 
+def in_order() -> list[Column]:
+    """Aggregates of a slice: its decisions by ascending id and its last time."""
+    return [F.array_sort(F.collect_list(F.struct("feedback_id", "decision"))).alias("events"), F.max("created_at").alias("updated_at")]
+
+
+def as_map() -> Column:
+    """The decisions ``events`` of a slice as one map from factor to factor."""
+    states = _states()
+    leads = {d: _array([states.index(_step(f, d)) for f in states]) for d in ("dismiss", "confirm")}
+    return F.aggregate("events", _array(range(len(states))), lambda m, e: F.when(e["decision"] == "dismiss", _through(m, leads["dismiss"])).when(e["decision"] == "confirm", _through(m, leads["confirm"])).otherwise(m))
+
+
 def _array(values) -> Column:
     return F.array(*map(F.lit, values))
 
