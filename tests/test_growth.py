@@ -36,3 +36,14 @@ def test_matching_broadcasts_no_side(spark):
     assert len(rows) == len(want) and set(rows) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_recursion_beyond_the_bounds_of_spark(spark, tmp_path):
+    day = datetime(1995, 1, 1)
+    orders = [(i, 1, day + timedelta(days=i), "1-URGENT", "F", 10.0) for i in range(150)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    rows = extended.QUERIES["sql_recursive_chains"](spark, str(tmp_path)).collect()
+    assert [(r["head"], r["length"]) for r in rows] == [("O0", 150)]
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit") == before
