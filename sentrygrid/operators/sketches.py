@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Registers of a distinct count, as a power of two (a standard error of 1.04 / sqrt(2 ** 12), 1.6 %), and the size of a quantile summary (a
-#: rank error of about 1.3 % at 99 %).
-LG_K, QUANTILE_K = 12, 200
-#: Errors that estimates keep: three standard errors of a count, and twice the rank error.
+#: Registers of a distinct count, as a power of two (a standard error of 1.04 / sqrt(2 ** 14), 0.8 %), and the size of a quantile summary (a
+#: rank error of about 0.35 % at 99 %).
+LG_K, QUANTILE_K = 14, 800
+#: Errors that estimates keep: six standard errors of a count, and eight times the rank error, so that none of very many estimates is expected beyond.
 COUNT_ERROR, RANK_ERROR = 0.05, 0.03
 
 

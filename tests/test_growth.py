@@ -47,3 +47,9 @@ def test_recursion_beyond_the_bounds_of_spark(spark, tmp_path):
     rows = extended.QUERIES["sql_recursive_chains"](spark, str(tmp_path)).collect()
     assert [(r["head"], r["length"]) for r in rows] == [("O0", 150)]
     assert spark.conf.get("spark.sql.cteRecursionLevelLimit") == before
+
+
+def test_counts_of_many_sketches_keep_their_error(spark):
+    assets = spark.range(600 * 6000).select((F.col("id") % 600).cast("string").alias("entity_id"), F.concat(F.lit("C"), "id").alias("asset_id"), F.lit(datetime(2026, 3, 1)).alias("created_ts"), F.lit(1.0).alias("s"))
+    got = sketches.estimates(sketches.daily(assets, F.col("s")), (0.5,))
+    assert got.where(F.abs(F.col("assets") - 6000) > 6000 * sketches.COUNT_ERROR).count() == 0
