@@ -53,3 +53,13 @@ def test_counts_of_many_sketches_keep_their_error(spark):
     assets = spark.range(600 * 6000).select((F.col("id") % 600).cast("string").alias("entity_id"), F.concat(F.lit("C"), "id").alias("asset_id"), F.lit(datetime(2026, 3, 1)).alias("created_ts"), F.lit(1.0).alias("s"))
     got = sketches.estimates(sketches.daily(assets, F.col("s")), (0.5,))
     assert got.where(F.abs(F.col("assets") - 6000) > 6000 * sketches.COUNT_ERROR).count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_times_of_cases_need_no_parts(spark, tmp_path, monkeypatch):
+    for t in ("orders", "customer", "lineitem", "nation", "region", "supplier"):
+        (tmp_path / f"{t}.parquet").symlink_to(DATA / f"{t}.parquet")
+    times = {tuple(r) for r in driver_tables.case_times(spark, str(tmp_path)).collect()}
+    assert times == {tuple(r) for r in driver_tables.cases(spark, str(DATA)).select("case_id", "alert_id", "opened_ts", "closed_ts").collect()}
+    monkeypatch.setattr(driver_tables, "cases", lambda spark, d: spark.createDataFrame([], "case_id string, alert_id string, opened_ts timestamp, closed_ts timestamp"))
+    assert extended.QUERIES["range_cases_on_asset"](spark, str(tmp_path)).count() > 0
