@@ -13,9 +13,10 @@ def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int | N
     """(node, hops) of every node that directed edges (u, v) lead to from seeds (node), with the fewest hops.
 
     Breadth first: each round follows the last round's new nodes only and writes those not seen before beside the others, so that
-    the plan is one scan whatever the depth.  ``most``: rounds, without it until nothing is new."""
+    the plan is one scan whatever the depth.  Edges may be repeated: new nodes are told apart each round, so all edges need no sort or table of
+    their own in memory.  ``most``: rounds, without it until nothing is new."""
     path = scratch.folder(spark, "reach")
-    edges = scratch.written(spark, edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
+    edges = scratch.written(spark, edges.select("u", "v").where("u is not null and v is not null and u <> v"), "edges")
     kind = edges.schema["u"].dataType
     seeds.select(F.col(seeds.columns[0]).cast(kind).alias("node")).where("node is not null").distinct().write.parquet(f"{path}/hops=0")
     at = 0

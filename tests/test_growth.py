@@ -63,3 +63,12 @@ def test_times_of_cases_need_no_parts(spark, tmp_path, monkeypatch):
     assert times == {tuple(r) for r in driver_tables.cases(spark, str(DATA)).select("case_id", "alert_id", "opened_ts", "closed_ts").collect()}
     monkeypatch.setattr(driver_tables, "cases", lambda spark, d: spark.createDataFrame([], "case_id string, alert_id string, opened_ts timestamp, closed_ts timestamp"))
     assert extended.QUERIES["range_cases_on_asset"](spark, str(tmp_path)).count() > 0
+
+
+def test_edges_are_written_without_a_shuffle(spark, monkeypatch):
+    plans = []
+    real = scratch.written
+    monkeypatch.setattr(scratch, "written", lambda s, df, tag: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(s, df, tag))[1])
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (2, 2)], "u long, v long")
+    got = {(r["node"], r["hops"]) for r in reach.reach(spark, edges, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got == {(1, 0), (2, 1), (3, 2)} and "Exchange" not in plans[0]
