@@ -72,3 +72,10 @@ def test_edges_are_written_without_a_shuffle(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (2, 2)], "u long, v long")
     got = {(r["node"], r["hops"]) for r in reach.reach(spark, edges, spark.createDataFrame([(1,)], "node long")).collect()}
     assert got == {(1, 0), (2, 1), (3, 2)} and "Exchange" not in plans[0]
+
+
+def test_novelty_makes_months_once(spark):
+    months = [(f"E{i % 4}", f"20{i // 48 + 10}-{i // 4 % 12 + 1:02d}", *[float(i * 7919 % 101 + f) for f in range(len(anomaly.FEATURES))]) for i in range(120)]
+    df, made = counted(spark, spark.createDataFrame(months, "entity_id string, year_month string, " + ", ".join(f"{f} double" for f in anomaly.FEATURES)))
+    assert anomaly.novelty(df).count() == 120
+    assert made.value == 120
