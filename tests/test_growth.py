@@ -79,3 +79,23 @@ def test_novelty_makes_months_once(spark):
     df, made = counted(spark, spark.createDataFrame(months, "entity_id string, year_month string, " + ", ".join(f"{f} double" for f in anomaly.FEATURES)))
     assert anomaly.novelty(df).count() == 120
     assert made.value == 120
+
+
+def worked(spark):
+    b = bundle(spark, alerts=[alert(i, e, f"A{e}{i % 5}") for e in ("E1", "E2", "E3") for i in range(40)], assets=[asset(f"A{e}{i}", e, "critical" if i % 2 else "low", i % 3 > 0) for e in ("E1", "E2", "E3") for i in range(8)], cases=[case(f"{e}-{i}") for e in ("E1", "E2") for i in range(40)])
+    return b
+
+
+def test_volumes_are_those_of_the_entities_features(spark):
+    b = worked(spark)
+    got = {tuple(r) for r in features.entity_volumes(b.entities, b.alerts, b.assets).collect()}
+    assert got == {tuple(r) for r in features.entity_features(b).select("entity_id", "alerts_per_asset", "crit_coverage_ratio").collect()}
+
+
+def test_a_run_of_detectors_makes_cases_once_and_no_percentiles(spark):
+    b = worked(spark)
+    df, made = counted(spark, b.cases)
+    keep = scratch.folder(spark, "test-features")
+    assert run_detectors(b.replace(cases=df), ["EG-04", "NS-01", "NS-04", "NS-06"], keep).count() > 0
+    assert made.value == 2 * 80  # for the alerts, and with their entity
+    assert scratch.names(spark, keep) == ["alerts", "cases", "cohorts", "volumes"]
