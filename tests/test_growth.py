@@ -99,3 +99,14 @@ def test_a_run_of_detectors_makes_cases_once_and_no_percentiles(spark):
     assert run_detectors(b.replace(cases=df), ["EG-04", "NS-01", "NS-04", "NS-06"], keep).count() > 0
     assert made.value == 2 * 80  # for the alerts, and with their entity
     assert scratch.names(spark, keep) == ["alerts", "cases", "cohorts", "volumes"]
+
+
+def test_planting_makes_cases_once(spark):
+    b = worked(spark)
+    df, made = counted(spark, b.cases)
+    schedule = {"E1": "EG-07", "E2": "EG-03"}
+    kept = faults.plant(b.replace(cases=df), schedule, lambda name, d: scratch.written(spark, d, f"test-{name}"))
+    plain = faults.plant(b, schedule)
+    for name, d in kept.tables().items():
+        assert sorted(map(str, d.collect())) == sorted(map(str, plain.tables()[name].select(*d.columns).collect()))
+    assert made.value == b.cases.count()
