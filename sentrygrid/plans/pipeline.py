@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrygrid.operators import audit, claims, feedback, quarantine, review_queue, scoring
-from sentrygrid.operators.detectors import run_detectors
+from sentrygrid.operators.detectors import each_detector
 from sentrygrid.schema import TABLES, THRESHOLDS
 from sentrygrid.sources import scratch, store
 
@@ -26,10 +26,11 @@ def run_all(spark: SparkSession, source: str | dict[str, DataFrame], output: str
     store.write_store(raw, f"{output}/store")
     bundle = store.load_bundle(spark, f"{output}/store")  # later stages read columns and row groups that they need
     features = f"{output}/features-{run_id}"
-    found = run_detectors(bundle, keep=features)
+    found = each_detector(bundle, keep=features)
     if ledger:
-        found = feedback.apply(found, feedback.weights(spark.read.parquet(ledger)))
-    found.write.mode("overwrite").parquet(f"{output}/findings.parquet")
+        weights = scratch.written(spark, feedback.weights(spark.read.parquet(ledger)), "weights")
+        found = (feedback.apply(part, weights) for part in found)
+    scratch.write_parts(found, f"{output}/findings.parquet")
     scratch.remove(spark, features)
     findings = spark.read.parquet(f"{output}/findings.parquet")
     compared = claims.compare(bundle)

@@ -1,6 +1,7 @@
 """What must not grow faster than the tables: repeated work, broadcasts, bounds of other engines."""
 
 import re
+import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from helpers import alert, asset, bundle, case
 from pyspark.sql import functions as F
 
 from sentrygrid.operators import anomaly, evaluation, faults, features, histograms, reach, scoring, sketches
-from sentrygrid.operators.detectors import Context, ns01, run_detectors
+from sentrygrid.operators.detectors import Context, each_detector, ns01, run_detectors
 from sentrygrid.plans import extended
 from sentrygrid.sources import driver_tables, scratch
 
@@ -147,3 +148,32 @@ def test_months_count_assets_apart_from_durations(spark):
     assert {tuple(r) for r in found.collect()} == {(e, "2026-01", 5, 3600.0) for e in ("E1", "E2", "E3")}
     keys = re.findall(r"ObjectHashAggregate\(keys=\[([^\]]*)\]", plan(months))
     assert keys and not any("asset_id" in k for k in keys)
+
+
+def test_findings_are_written_a_detector_at_a_time(spark):
+    b = worked(spark)
+    path, seen = scratch.folder(spark, "test-parts"), []
+
+    def parts():
+        for part in each_detector(b, ["NS-01", "NS-03", "EG-03"], scratch.folder(spark, "test-features")):
+            seen.append(len(scratch.names(spark, path)))
+            yield part
+
+    scratch.write_parts(parts(), path)
+    assert seen[0] == 0 and seen == sorted(set(seen))  # each part is on disk before the next one is made
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(spark.read.parquet(path)) == key(run_detectors(b, ["NS-01", "NS-03", "EG-03"]))
+
+
+def test_a_table_kept_in_parts_is_whole_or_made_again(spark):
+    name = f"test-kept-{uuid.uuid4().hex}"
+    one = spark.range(3)
+
+    def broken():
+        yield one
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        scratch.kept_as(spark, name, broken, one.schema)
+    assert scratch.kept_as(spark, name, lambda: [one, one], one.schema).count() == 6
+    assert scratch.kept_as(spark, name, broken, one.schema).count() == 6
