@@ -177,3 +177,21 @@ def test_a_table_kept_in_parts_is_whole_or_made_again(spark):
         scratch.kept_as(spark, name, broken, one.schema)
     assert scratch.kept_as(spark, name, lambda: [one, one], one.schema).count() == 6
     assert scratch.kept_as(spark, name, broken, one.schema).count() == 6
+
+
+def test_budgets_are_counted_in_one_pass(spark):
+    b = worked(spark)
+    hits = b.alerts.where("asset_id like '%1'").select("entity_id", "alert_id")
+    order, made = counted(spark, evaluation.stratified_order(b.alerts))
+    sizes = spark.createDataFrame([(e, 40, 8) for e in ("E1", "E2", "E3")], "entity_id string, alerts long, faults long")
+    got = {r.share: (r["items"], r.true_positives) for r in evaluation.precision_at(order.select("entity_id", F.col("alert_id").alias("item_id"), F.col("position").alias("rank")), hits.withColumnRenamed("alert_id", "item_id"), sizes).collect()}
+    assert made.value == 120
+    places = [(r.entity_id, r.alert_id, r.position) for r in evaluation.stratified_order(b.alerts).collect()]
+    hit = {tuple(r) for r in hits.collect()}
+    want = {s: [(e, a) in hit for e, a, p in places if p <= n] for s, n in ((0.05, 5), (0.1, 5), (0.2, 8))}
+    assert got == {s: (len(x), sum(x)) for s, x in want.items()}
+    order, made = counted(spark, evaluation.stratified_order(b.alerts))
+    manual = {r.share: (r["items"], r.true_positives) for r in evaluation.manual_precision(order.select("entity_id", "alert_id", "position"), hits, (0.05, 0.1, 0.2)).collect()}
+    assert manual == got and made.value <= 2 * 120  # for the sizes, and for all budgets
+    none = evaluation.manual_precision(order.limit(0).select("entity_id", "alert_id", "position"), hits).collect()
+    assert [(r.share, r["items"], r.true_positives, r.precision) for r in none] == [(s, 0, 0, None) for s in evaluation.BUDGETS]
