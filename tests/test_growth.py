@@ -193,5 +193,7 @@ def test_budgets_are_counted_in_one_pass(spark):
     order, made = counted(spark, evaluation.stratified_order(b.alerts))
     manual = {r.share: (r["items"], r.true_positives) for r in evaluation.manual_precision(order.select("entity_id", "alert_id", "position"), hits, (0.05, 0.1, 0.2)).collect()}
     assert manual == got and made.value <= 2 * 120  # for the sizes, and for all budgets
+    plans = [plan(evaluation.precision_at(order.select("entity_id", F.col("alert_id").alias("item_id"), F.col("position").alias("rank")), hits.withColumnRenamed("alert_id", "item_id"), sizes)), plan(evaluation.manual_precision(order, hits))]
+    assert not any("Union" in x for x in plans)  # a plan for all budgets, not one each
     none = evaluation.manual_precision(order.limit(0).select("entity_id", "alert_id", "position"), hits).collect()
     assert [(r.share, r["items"], r.true_positives, r.precision) for r in none] == [(s, 0, 0, None) for s in evaluation.BUDGETS]
